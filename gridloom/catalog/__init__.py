@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("sources", "filters", "profile", "charts", "diagnose")
+AREAS = ("sources", "filters", "profile", "charts", "diagnose", "clean", "engineer")
 _LATER = (
     "sources", "filters", "profile", "charts", "diagnose", "clean", "engineer", "features", "models",
     "evaluate", "text",
