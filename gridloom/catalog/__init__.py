@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("sources", "filters", "profile", "charts", "diagnose", "clean", "engineer", "features", "evaluate")
-_LATER = (
-    "sources", "filters", "profile", "charts", "diagnose", "clean", "engineer", "features", "models",
-    "evaluate", "text",
-)
+AREAS = ("sources", "filters", "profile", "charts", "diagnose", "clean", "engineer", "features", "evaluate", "models", "text")
 
 
 def load() -> None:
