@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -75,15 +76,19 @@ def tokens(text: Column) -> Column:
 
 def mentioned(text: Column, names) -> Column:
     """The names, in list order, that occur in the text whole or with all their words apart."""
-    plain = normalize(text)
-    words = F.split(plain, " ")
-    entries = F.array(*[F.struct(F.lit(n).alias("name"), normalize(F.lit(n)).alias("plain")) for n in names])
-    hits = F.filter(
-        entries,
-        lambda e: (e["plain"] != "")
-        & (plain.contains(e["plain"]) | (F.size(F.array_except(F.split(e["plain"], " "), words)) == 0)),
-    )
-    return F.transform(hits, lambda e: e["name"])
+    plain_names = [(n, re.sub("[^a-z0-9]+", " ", n.lower()).strip()) for n in names]
+
+    def hits(plain: Column) -> Column:
+        padded = F.concat(F.lit(" "), plain, F.lit(" "))
+        found = []
+        for name, wanted in plain_names:
+            words = [padded.contains(f" {w} ") for w in wanted.split()]
+            if words:
+                found.append(F.when(plain.contains(wanted) | reduce(lambda a, b: a & b, words), F.lit(name)))
+        return F.array_compact(F.array(*found))
+
+    # Going through a one-element array normalizes each text once instead of once per name.
+    return F.transform(F.array(normalize(text)), hits)[0]
 
 
 def closest_names(text: Column, names, cutoff: float = CLOSE_ENOUGH) -> Column:

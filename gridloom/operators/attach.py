@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, quoted
+from ..session import checkpointed
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1000  # a key with at least 1/1000 of all rows is hot: there are at most 1000 of them
@@ -21,6 +22,7 @@ def broadcastable(stats: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 def attach(df: DataFrame, stats: DataFrame, keys, rows: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` plus the statistics columns of its key; ``rows`` is the row count column of ``stats``.
 
+    The statistics are materialized once, so that measuring them does not compute them twice.
     Small statistics are broadcast. Otherwise hot keys are broadcast alone (their number is bounded
     by definition) and the rest is shuffled, where no key is hot any more.
     """
@@ -28,6 +30,7 @@ def attach(df: DataFrame, stats: DataFrame, keys, rows: str, limit: int = BROADC
     stats = stats.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
                          *[col(c) for c in stats.columns if c not in keys])
     extra = stats.columns[len(keys):]
+    stats = checkpointed(stats)
 
     def on(left, right):
         cond = F.lit(True)

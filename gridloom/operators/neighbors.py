@@ -53,9 +53,8 @@ def _pivots(points: DataFrame, rows: int) -> np.ndarray:
     return _matrix(pd.Series([r[0] for r in chosen])) if chosen else np.zeros((1, 1))
 
 
-def _blocks(points: DataFrame, block_rows: int) -> DataFrame:
+def _blocks(points: DataFrame, rows: int, block_rows: int) -> DataFrame:
     """Add ``__block``: nearest pivot, pattern of missing coordinates, and a part number."""
-    rows = points.count()
     pivots = np.nan_to_num(_pivots(points, rows))
 
     @F.pandas_udf("int")
@@ -78,9 +77,8 @@ def _blocks(points: DataFrame, block_rows: int) -> DataFrame:
     return sized.select("__point", "__vector", F.concat_ws("#", "__cell", part.cast("string")).alias("__block"))
 
 
-def _boxes(blocks: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _boxes(blocks: DataFrame, dims: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Name, row count and corner coordinates of every block, on the driver."""
-    dims = len(blocks.select("__vector").first()[0])
     present = [F.when(~F.isnan(F.col("__vector")[i]), F.col("__vector")[i]) for i in range(dims)]
     found = blocks.groupBy("__block").agg(
         F.count(F.lit(1)).alias("n"),
@@ -96,20 +94,9 @@ def _boxes(blocks: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.nda
     )
 
 
-def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, point_key: str, vector: str,
-                      k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query key, ``neighbor``, ``distance``, ``position``): the k nearest points of every query.
-
-    Keys are unique longs; equal distances are settled by the smaller point key.
-    """
-    vec = F.transform(col(vector), lambda x: x.cast("double")).alias("__vector")
-    left = queries.select(col(query_key).cast("long").alias("__query"), vec)
-    right = points.select(col(point_key).cast("long").alias("__point"), vec)
-    if right.isEmpty():
-        return _result(left.select("__query").limit(0).select("__query", *_no_neighbor()), query_key, k)
-    blocks = _blocks(right, block_rows)
-    names, counts, low, high = _boxes(blocks)
-
+def _reachable(boxes, k: int):
+    """A function from query vectors to the blocks that may hold one of their k nearest points."""
+    names, counts, low, high = boxes
     names = np.array(names)
     mixed = np.array([n.startswith(MIXED) for n in names])
 
@@ -132,7 +119,30 @@ def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, poi
             found.append(names[keep])
         return pd.Series(found)
 
-    visits = left.select("__query", "__vector", F.explode(reachable("__vector")).alias("__block"))
+    return reachable
+
+
+def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, point_key: str, vector: str,
+                      k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query key, ``neighbor``, ``distance``, ``position``): the k nearest points of every query.
+
+    Keys are unique longs; equal distances are settled by the smaller point key.
+    """
+    vec = F.transform(col(vector), lambda x: x.cast("double")).alias("__vector")
+    left = queries.select(col(query_key).cast("long").alias("__query"), vec)
+    right = points.select(col(point_key).cast("long").alias("__point"), vec)
+    first = right.first()
+    if first is None:
+        return _result(left.select("__query").limit(0).select("__query", *_no_neighbor()), query_key, k)
+    rows = right.count()
+    if rows <= block_rows:  # one block, visited by every query
+        blocks = right.withColumn("__block", F.lit(MIXED))
+        visits = left.withColumn("__block", F.lit(MIXED))
+    else:
+        blocks = _blocks(right, rows, block_rows)
+        reachable = _reachable(_boxes(blocks, len(first["__vector"])), k)
+        visits = left.select("__query", "__vector", F.explode(reachable("__vector")).alias("__block"))
+
     load = F.broadcast(  # one row per block, whose number _boxes has bounded
         visits.groupBy("__block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("__chunks"))
     )

@@ -1,17 +1,21 @@
 """Exact order statistics and running totals without a one-task sort.
 
-Values are counted first, so repeated values travel once, and then split at approximate quantiles
-of the whole column. A group that holds a third of all rows therefore spreads over a third of the
-ranges, and no task ever sees more than about ``1 / ranges`` of the distinct values.
+Values are split into ranges at approximate quantiles of the whole column, so a group that holds a
+third of all rows spreads over a third of the ranges. Counting rows per range tells which ranges hold
+the wanted ranks; only their values are shuffled, repeated values once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, col, same
+from ..functions.columns import all_of, as_double, col, same
+from ..session import checkpointed
+from .attach import broadcastable
 
 # Distinct values one aggregation buffer may hold before the distributed form is used.
 MAX_BUFFERED_VALUES = 250_000
@@ -56,18 +60,69 @@ def running_totals(df: DataFrame, value: str, weights, by=(), splits=None) -> Da
     )
 
 
-def _fits_one_buffer(values: DataFrame, by, names, limit: int) -> bool:
-    distinct = sum((F.approx_count_distinct(n) for n in names), F.lit(0))
-    per_group = values.groupBy(*by).agg(distinct.alias("d"))
-    return (per_group.agg(F.max("d")).first()[0] or 0) <= limit
+def order_statistics(rows: DataFrame, by, ranks, splits, few_groups: bool = False) -> DataFrame:
+    """The values at given ranks (0-based, equal values side by side) of every group.
+
+    ``rows`` holds the group columns and the double ``v``; nulls are not ranked. ``ranks`` are functions
+    from the group size column to a rank. Output: the group columns, ``n`` (ranked rows) and ``r``, an
+    array of (v, below, equal) with the number of smaller and of equal rows; null for a rank beyond n.
+    ``few_groups`` says that the caller bounds the number of groups, which saves measuring it.
+    """
+    by = list(by)
+    ranged = Bucketizer(splits=splits, inputCol="v", outputCol="__range").transform(rows)
+    ranged = ranged.withColumn("__range", F.col("__range").cast("int"))
+    # Materialized because several steps start from these few counts.
+    sizes = checkpointed(ranged.groupBy(*by, "__range").agg(F.count("v").alias("__size")))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select(
+        *by, "__range", "__size", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__size").over(Window.partitionBy(*by)).alias("n"),
+    )
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), rank(F.col("n")).cast("long").alias("rank")) for i, rank in enumerate(ranks)])
+    here = F.filter(asked, lambda a: (F.col("__before") <= a["rank"]) & (a["rank"] < F.col("__before") + F.col("__size")))
+    spots = placed.withColumn("__asked", here).where(F.size("__asked") > 0).select(
+        *[F.col(b).alias(f"__s_{b}") for b in by], F.col("__range").alias("__s_range"), "__asked", "__before"
+    )
+    if few_groups or broadcastable(spots.drop("__asked")):
+        spots = F.broadcast(spots)
+    match = all_of([F.col("__range") == F.col("__s_range"), *[F.col(b).eqNullSafe(F.col(f"__s_{b}")) for b in by]])
+    counted = ranged.join(spots.drop("__asked", "__before"), match, "left_semi").groupBy(*by, "__range", "v").agg(
+        F.count(F.lit(1)).alias("__equal")
+    )
+    smaller = Window.partitionBy(*by, "__range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    located = counted.withColumn("__inside", F.coalesce(F.sum("__equal").over(smaller), F.lit(0))).join(spots, match)
+    below = F.col("__before") + F.col("__inside")
+    hit = F.filter("__asked", lambda a: (below <= a["rank"]) & (a["rank"] < below + F.col("__equal")))
+    value = F.struct("v", below.alias("below"), F.col("__equal").alias("equal"))
+    found = located.select(*by, value.alias("value"), hit.alias("hit")).where(F.size("hit") > 0)
+    answers = found.select(*by, "value", F.inline("hit")).groupBy(*by).agg(
+        F.array(*[F.max(F.when(F.col("i") == i, F.col("value"))) for i in range(len(ranks))]).alias("r")
+    )
+    # A group without ranked values still gets its row.
+    groups = sizes.groupBy(*by).agg(F.sum("__size").alias("n"))
+    return groups.join(answers, same(groups, answers, by), "left").select(
+        *[groups[b] for b in by], groups["n"], answers["r"]
+    )
+
+
+def _buffered_columns(values: DataFrame, by, names, limit: int) -> list[str]:
+    """The columns whose distinct values together fit one aggregation buffer of the largest group."""
+    per_group = values.groupBy(*by).agg(*[F.approx_count_distinct(n).alias(n) for n in names])
+    found = per_group.agg(*[F.max(n).alias(n) for n in names]).first()
+    kept, room = [], limit
+    for n in sorted(names, key=lambda n: found[n] or 0):
+        room -= found[n] or 0
+        if room >= 0:
+            kept.append(n)
+    return kept
 
 
 def quantiles(df: DataFrame, columns, probabilities, by=(), limit: int = MAX_BUFFERED_VALUES) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group and column.
 
     Output: the group columns, ``column``, ``n`` (non-missing values) and ``q`` (array in the order
-    of ``probabilities``; null when the group has no value). Groups whose distinct values fit one
-    aggregation buffer use the built-in ``percentile``; larger ones are ranked by range.
+    of ``probabilities``; null when the group has no value). Columns whose distinct values fit one
+    aggregation buffer use the built-in ``percentile``; larger ones are located by range.
     """
     columns, by = list(columns), list(by)
     keys = [f"__by{i}" for i in range(len(by))]
@@ -76,48 +131,45 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), limit: int = MAX_BUF
         *[col(b).alias(k) for b, k in zip(by, keys)],
         *[as_double(df, c).alias(n) for c, n in zip(columns, names)],
     )
-    position = {n: c for n, c in zip(names, columns)}
-    if _fits_one_buffer(values, keys, names, limit):
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        wide = values.groupBy(*keys).agg(
-            *[F.struct(F.count(n).alias("n"), F.percentile(n, wanted).alias("q")).alias(n) for n in names]
-        )
-        entries = F.array(*[
-            F.struct(F.lit(position[n]).alias("column"), F.col(f"{n}.n").alias("n"), F.col(f"{n}.q").alias("q"))
-            for n in names
-        ])
-        result = wide.select(*keys, F.inline(entries))
-    else:
-        result = _ranked_quantiles(values, keys, names, position, probabilities)
-    return result.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "column", "n", "q")
-
-
-def _ranked_quantiles(values, keys, names, position, probabilities) -> DataFrame:
+    title = dict(zip(names, columns))
+    small = _buffered_columns(values, keys, names, limit)
+    large = [n for n in names if n not in small]
+    parts = []
+    if small:
+        parts.append(_buffered_quantiles(values, keys, small, title, probabilities))
+    if large:
+        parts.append(_located_quantiles(values, keys, large, title, probabilities))
+    return reduce(DataFrame.unionByName, parts).select(
+        *[F.col(k).alias(b) for k, b in zip(keys, by)], "column", "n", "q"
+    )
+
+
+def _buffered_quantiles(values, keys, names, title, probabilities) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    wide = values.groupBy(*keys).agg(
+        *[F.struct(F.count(n).alias("n"), F.percentile(n, wanted).alias("q")).alias(n) for n in names]
+    )
     entries = F.array(*[
-        F.struct(F.lit(position[n]).alias("column"), F.col(n).alias("v")) for n in names
+        F.struct(F.lit(title[n]).alias("column"), F.col(f"{n}.n").alias("n"), F.col(f"{n}.q").alias("q")) for n in names
     ])
+    return wide.select(*keys, F.inline(entries))
+
+
+def _located_quantiles(values, keys, names, title, probabilities) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(i).alias("at"), F.col(n).alias("v")) for i, n in enumerate(names)])
     long = values.select(*keys, F.inline(entries))
-    group = [*keys, "column"]
-    present = long.where(F.col("v").isNotNull())
-    counted = present.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, "v", ["n"], by=group, splits=range_splits(present, "v"))
-    last = (F.col("all_n") - 1).cast("double")
-    picks = []
+    ranks = []
+    for p in probabilities:
+        ranks += [lambda n, p=p: F.floor((n - 1).cast("double") * p), lambda n, p=p: F.ceil((n - 1).cast("double") * p)]
+    found = order_statistics(long, [*keys, "at"], ranks, range_splits(long, "v"), few_groups=not keys)
+    interpolated = []
     for i, p in enumerate(probabilities):
-        for side, rank in (("lo", F.floor(last * p)), ("hi", F.ceil(last * p))):
-            hit = (F.col("below_n") <= rank) & (rank < F.col("below_n") + F.col("n"))
-            picks.append(F.max(F.when(hit, F.col("v"))).alias(f"__{side}{i}"))
-    found = ranked.groupBy(*group).agg(F.max("all_n").alias("n"), *picks)
-    spot = [(F.col("n") - 1).cast("double") * p for p in probabilities]
-    value = [
-        F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (s - F.floor(s))
-        for i, s in enumerate(spot)
-    ]
-    found = found.select(*group, "n", F.array(*value).alias("q"))
-    # Groups without any value still get their row, as in the buffered form.
-    every = long.groupBy(*group).agg(F.count("v").alias("n"))
-    return every.join(found, same(every, found, group), "left").select(
-        *[every[g] for g in group], every["n"], found["q"]
+        low, high = F.col("r")[2 * i]["v"], F.col("r")[2 * i + 1]["v"]
+        spot = (F.col("n") - 1).cast("double") * p
+        interpolated.append(low + (high - low) * (spot - F.floor(spot)))
+    column = F.get(F.array(*[F.lit(title[n]) for n in names]), F.col("at"))
+    return found.select(
+        *keys, column.alias("column"), "n", F.when(F.col("n") > 0, F.array(*interpolated)).alias("q")
     )
 
 

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import all_of, col, is_temporal, same, type_of
+from ..functions.columns import col, is_temporal, type_of
 from ..functions.hashing import HASH_RANGE, row_number_hash
 from .attach import attach
-from .order import running_totals
+from .order import MAX_RANGES, order_statistics, range_splits
 
 SEED = 42
-BIN_BITS = 32  # the upper 20 of 52 hash bits name a bin
 LATEST = float(2 ** 53)  # where rows without a time sort
 
 
@@ -32,38 +31,19 @@ def kfold(df: DataFrame, key, folds: int, seed: int = SEED) -> DataFrame:
 def hash_thresholds(hashed: DataFrame, by, shares) -> DataFrame:
     """Per group: rows ``n`` and ``t``, the hash at rank floor(n * share) for each share.
 
-    ``hashed`` holds the group columns and ``h``. Counting per hash bin finds the bin of every rank;
-    only the rows of those bins are ordered.
+    ``hashed`` holds the group columns and the hash as ``v``. Hashes are uniform, so equal-width ranges
+    serve; a rank past the last row has no hash and every row lies below it.
     """
-    by = list(by)
-    binned = hashed.select(*by, "h", F.shiftright("h", BIN_BITS).alias("bin"))
-    sizes = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("in_bin"))
-    earlier = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.select(
-        "*", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("below"),
-        F.sum("in_bin").over(Window.partitionBy(*by)).alias("n"),
-    )
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.floor(F.col("n") * F.lit(float(s))).alias("rank")) for i, s in enumerate(shares)
-    ])
-    wanted = placed.select(*by, "bin", "in_bin", "below", "n", F.inline(ranks)).where(
-        (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("in_bin"))
-    ).select(*[F.col(b).alias(f"__w_{b}") for b in by], F.col("bin").alias("__w_bin"), "i",
-             (F.col("rank") - F.col("below")).alias("at"))
-    match = all_of([F.col("bin") == F.col("__w_bin"), *[F.col(b).eqNullSafe(F.col(f"__w_{b}")) for b in by]])
-    order = Window.partitionBy(*by, "bin", "i").orderBy("h")
-    found = binned.join(wanted, match).withColumn("rn", F.row_number().over(order) - 1).where(F.col("rn") == F.col("at"))
-    picks = [F.max(F.when(F.col("i") == i, F.col("h"))).alias(f"t{i}") for i in range(len(shares))]
-    thresholds = found.groupBy(*by).agg(*picks)
-    totals = sizes.groupBy(*by).agg(F.sum("in_bin").alias("n"))
-    joined = totals.join(thresholds, same(totals, thresholds, by), "left")
-    # A rank past the last row has no hash: every row lies below it.
-    t = F.array(*[F.coalesce(thresholds[f"t{i}"], F.lit(HASH_RANGE)) for i in range(len(shares))])
-    return joined.select(*[totals[b] for b in by], totals["n"], t.alias("t"))
+    step = HASH_RANGE // MAX_RANGES
+    splits = [float("-inf"), *[float(i * step) for i in range(1, MAX_RANGES)], float("inf")]
+    ranks = [lambda n, s=s: F.floor(n * F.lit(float(s))) for s in shares]
+    found = order_statistics(hashed, by, ranks, splits)
+    t = F.transform("r", lambda r: F.coalesce(r["v"].cast("long"), F.lit(HASH_RANGE)))
+    return found.select(*by, "n", t.alias("t"))
 
 
 def _with_thresholds(df: DataFrame, target: str, key, shares, seed: int) -> DataFrame:
-    hashed = df.select(col(target).alias("y"), row_number_hash(key, seed).alias("h"))
+    hashed = df.select(col(target).alias("y"), row_number_hash(key, seed).cast("double").alias("v"))
     cuts = hash_thresholds(hashed, ["y"], shares).select(
         F.col("y").alias(target), F.col("n").alias("__n"), F.col("t").alias("__t")
     )
@@ -109,22 +89,20 @@ class Boundary:
 
 def time_boundaries(df: DataFrame, time: str, key, ranks, seed: int = SEED) -> list[Boundary]:
     """The rows at the given positions ordered by time, equal times by hash."""
-    rows = df.select(time_value(df, time).alias("x"), row_number_hash(key, seed).alias("h"))
-    counted = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, "x", ["n"])
-    spots = F.array(*[F.lit(int(r)) for r in ranks])
-    inside = F.filter(spots, lambda r: (r >= F.col("below_n")) & (r < F.col("below_n") + F.col("n")))
-    hits = ranked.withColumn("spots", inside).where(F.size("spots") > 0).select("x", "n", "below_n", "spots").collect()
-    found = {}
-    for hit in hits:
-        for rank in set(hit["spots"]):
-            if rank == hit["below_n"]:
-                found[rank] = Boundary(hit["x"], 0)
-                continue
-            share = (rank - hit["below_n"] + 0.5) / hit["n"]
-            tied = rows.where(F.col("x") == hit["x"])
-            found[rank] = Boundary(hit["x"], hash_thresholds(tied, ["x"], [share]).first()["t"][0])
-    return [found.get(int(r), Boundary(float("inf"), 0)) for r in ranks]
+    rows = df.select(time_value(df, time).alias("v"), row_number_hash(key, seed).alias("h")).withColumn("all", F.lit(0))
+    asked = [lambda n, r=r: F.lit(int(r)) for r in ranks]
+    found = order_statistics(rows.select("all", "v"), ["all"], asked, range_splits(rows, "v"), few_groups=True).first()
+    edges = []
+    for rank, hit in zip(ranks, found["r"] if found else [None] * len(ranks)):
+        if hit is None:
+            edges.append(Boundary(float("inf"), 0))
+        elif rank == hit["below"]:
+            edges.append(Boundary(hit["v"], 0))
+        else:
+            share = (rank - hit["below"] + 0.5) / hit["equal"]
+            tied = rows.where(F.col("v") == hit["v"]).select("all", F.col("h").cast("double").alias("v"))
+            edges.append(Boundary(hit["v"], hash_thresholds(tied, ["all"], [share]).first()["t"][0]))
+    return edges
 
 
 def time_split(df: DataFrame, time: str, key, fraction: float = 0.8, seed: int = SEED) -> DataFrame:
