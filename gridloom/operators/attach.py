@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, quoted
+from ..functions.columns import all_of, col
 from ..session import checkpointed
 
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -27,26 +27,19 @@ def attach(df: DataFrame, stats: DataFrame, keys, rows: str, limit: int = BROADC
     by definition) and the rest is shuffled, where no key is hot any more.
     """
     keys = list(keys)
-    stats = stats.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                         *[col(c) for c in stats.columns if c not in keys])
-    extra = stats.columns[len(keys):]
-    stats = checkpointed(stats)
-
-    def on(left, right):
-        cond = F.lit(True)
-        for i, k in enumerate(keys):
-            cond = cond & left[quoted(k)].eqNullSafe(right[f"__k{i}"])
-        return cond
-
-    def pick(left, right):
-        return [left[quoted(c)] for c in df.columns] + [right[quoted(c)] for c in extra]
+    extra = [c for c in stats.columns if c not in keys]
+    stats = checkpointed(stats.select(
+        *[col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+        *[col(c).alias(f"__extra{i}") for i, c in enumerate(extra)],
+    ))
+    on = all_of(col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys))
+    picked = [col(c) for c in df.columns] + [F.col(f"__extra{i}").alias(c) for i, c in enumerate(extra)]
 
     if broadcastable(stats, limit):
-        small = F.broadcast(stats)
-        return df.join(small, on(df, small)).select(*pick(df, small))
-    total = stats.agg(F.sum(rows)).first()[0] or 0
-    hot = F.broadcast(stats.where(F.col(rows) * HOT_SHARE >= total))
-    rest = stats.where(F.col(rows) * HOT_SHARE < total)
-    hot_part = df.join(hot, on(df, hot)).select(*pick(df, hot))
-    cold = df.join(hot, on(df, hot), "left_anti")
-    return hot_part.unionByName(cold.join(rest, on(cold, rest)).select(*pick(cold, rest)))
+        return df.join(F.broadcast(stats), on).select(*picked)
+    size = F.col(f"__extra{extra.index(rows)}")
+    total = stats.agg(F.sum(size)).first()[0] or 0
+    hot, rest = stats.where(size * HOT_SHARE >= total), stats.where(size * HOT_SHARE < total)
+    hot_part = df.join(F.broadcast(hot), on).select(*picked)
+    cold = df.join(F.broadcast(hot), on, "left_anti")
+    return hot_part.unionByName(cold.join(rest, on).select(*picked))

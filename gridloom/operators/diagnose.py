@@ -73,21 +73,29 @@ def outlier_report(df: DataFrame, columns=None, reach: float = 1.5) -> DataFrame
 
 
 def _pair_correlation(df: DataFrame, pairs) -> DataFrame:
-    """Absolute correlation of column pairs over rows where both are present, from one aggregation.
+    """Absolute correlation of column pairs over rows where both are present.
 
+    Pairs are rows of one map-side combined aggregation, so the code stays small for wide tables.
     Written out because the built-in ``corr`` raises on a column without variance.
     """
-    wide = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = as_double(df, a), as_double(df, b)
-        spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x))) * F.sqrt(F.var_pop(F.when(x.isNotNull(), y)))
-        value = F.abs(F.try_divide(F.covar_pop(x, y), spread))
-        wide.append(F.when(value > 1.0, 1.0).otherwise(value).alias(f"p{i}"))
+    names = sorted({c for pair in pairs for c in pair})
+    at = {c: f"__v{i}" for i, c in enumerate(names)}
+    values = df.select(*[as_double(df, c).alias(at[c]) for c in names])
     entries = F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("value"))
-        for i, (a, b) in enumerate(pairs)
+        F.struct(F.lit(i).alias("pair"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y")) for i, (a, b) in enumerate(pairs)
     ])
-    return df.agg(*wide).select(F.inline(entries))
+    both = values.select(F.inline(entries)).where("x is not null and y is not null")
+    moments = both.groupBy("pair").agg(
+        F.covar_pop("x", "y").alias("c"), (F.stddev_pop("x") * F.stddev_pop("y")).alias("s")
+    )
+    value = F.abs(F.try_divide("c", "s"))
+    labels = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"
+    )
+    # A pair without common rows keeps its row, without a value.
+    return labels.join(moments, "pair", "left").select(
+        "column_a", "column_b", F.when(value > 1.0, 1.0).otherwise(value).alias("value")
+    )
 
 
 def _empty_pairs(df: DataFrame) -> DataFrame:

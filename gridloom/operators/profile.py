@@ -22,6 +22,8 @@ def per_column(df: DataFrame, columns, measures: dict) -> DataFrame:
     ``measures`` maps an output name to a function from a column name to an aggregate.
     """
     columns = list(columns)
+    if not columns:
+        return df.limit(0).select(F.lit("").alias("column"), *[F.lit(None).alias(label) for label in measures])
     wide = df.agg(*[
         F.struct(*[make(c).alias(label) for label, make in measures.items()]).alias(f"__{i}")
         for i, c in enumerate(columns)
@@ -111,7 +113,8 @@ def year_like(df: DataFrame) -> DataFrame:
         inside = (F.min(col(c)) >= low) & (F.max(col(c)) <= high)
         return F.lit(True) if "year" in c.lower() else F.coalesce(inside, F.lit(False))
 
-    return per_column(df, whole, {"is_year": verdict})
+    found = per_column(df, whole, {"is_year": verdict})
+    return found.withColumn("is_year", F.col("is_year").cast("boolean"))
 
 
 def filter_domains(df: DataFrame, max_numeric: int = 15) -> DataFrame:
