@@ -136,13 +136,13 @@ class ModelSpec:
 
 CLASSIFIERS = {s.name: s for s in (
     ModelSpec("log_reg", "classification", lambda d, k, p: _scaled(
-        LogisticRegression(featuresCol="scaled", **{"maxIter": 1000, "regParam": 1e-3, **p}))),
+        LogisticRegression(featuresCol="scaled", **{"maxIter": 1000, "regParam": 1e-3, "tol": 1e-4, **p}))),
     ModelSpec("rf", "classification", lambda d, k, p: [
         RandomForestClassifier(**{"numTrees": 200, "maxDepth": 15, "seed": SEED, **p})]),
     ModelSpec("knn", "classification", lambda d, k, p: _scaled(
         NearestNeighbors(featuresCol="scaled", **{"numClasses": max(k, 2), **p}))),
     ModelSpec("svm", "classification", lambda d, k, p: _scaled(
-        _binary_or_rest(LinearSVC(featuresCol="scaled", **{"maxIter": 100, "regParam": 1e-3, **p}), k))),
+        _binary_or_rest(LinearSVC(featuresCol="scaled", **{"maxIter": 100, "regParam": 1e-3, "tol": 1e-3, **p}), k))),
     ModelSpec("nb", "classification", lambda d, k, p: [NaiveBayes(**{"modelType": "gaussian", **p})]),
     ModelSpec("mlp", "classification", lambda d, k, p: _scaled(MultilayerPerceptronClassifier(
         featuresCol="scaled", **{"layers": [d, 100, max(k, 2)], "maxIter": 1000, "seed": SEED, **p}))),
