@@ -153,9 +153,10 @@ def shortlist(t):
 
 @query("leaderboard_class")
 def class_board(t):
-    names = ("log_reg", "nb", "svm")
+    names = ("log_reg", "nb", "rf")
     return leaderboard(
-        labelled_documents(t), [CLASSIFIERS[n] for n in names], DOC_FEATURES, "quality", ["doc_id"], classes=2, folds=3
+        labelled_documents(t), [CLASSIFIERS[n] for n in names], DOC_FEATURES, "quality", ["doc_id"], classes=2, folds=2,
+        params={"rf": {"numTrees": 20, "maxDepth": 5}},
     )
 
 

@@ -25,6 +25,7 @@ from .neighbors import BLOCK_ROWS, nearest_neighbors
 from .prepare import feature_encoder
 
 SEED = 42
+ROWS_PER_TASK = 10_000
 SMALL_ROWS, WIDE_FEATURES, VERY_WIDE_FEATURES = 1000, 200, 500
 
 
@@ -175,6 +176,13 @@ def candidates(task: str, rows: int, features: int, categorical: int) -> list[Mo
     return [s for s in pool.values() if s.name not in skipped]
 
 
+def training_rows(df: DataFrame) -> DataFrame:
+    """Features and label, written once: iterative fits then read compact rows with a short lineage
+    that survives lost executors. Small tables go into few tasks, as every iteration is a job."""
+    rows = checkpointed(df.select("features", "label"))
+    return rows.coalesce(max(1, rows.count() // ROWS_PER_TASK))
+
+
 def fit_model(train: DataFrame, spec: ModelSpec, features=None, label: str = "label", classes: int = 0, **params) -> PipelineModel:
     """Encoder and estimator fitted on the training rows only.
 
@@ -184,9 +192,11 @@ def fit_model(train: DataFrame, spec: ModelSpec, features=None, label: str = "la
     rows = train.withColumn("label", col(label).cast("double")).where(F.col("label").isNotNull())
     if features is None:
         size = len(rows.select(vector_to_array("features").alias("f")).first()["f"])
-        return Pipeline(stages=spec.stages(size, classes, params)).fit(rows)
+        return Pipeline(stages=spec.stages(size, classes, params)).fit(training_rows(rows))
     encoder = feature_encoder(rows, list(features)).fit(rows)
-    fitted = Pipeline(stages=spec.stages(len(encoder.feature_names()), classes, params)).fit(encoder.transform(rows))
+    fitted = Pipeline(stages=spec.stages(len(encoder.feature_names()), classes, params)).fit(
+        training_rows(encoder.transform(rows))
+    )
     return PipelineModel([encoder, *fitted.stages])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col
 from .information import mutual_information
+from .models import training_rows
 from .prepare import encode_target, ordinal_encode
 from .profile import per_column
 
@@ -61,7 +62,7 @@ def _assembled(df: DataFrame, columns, target: str, task: str) -> DataFrame:
         rows = rows.withColumn("label", as_double(rows, target))
     plain = rows.select(*[col(c) for c in columns], "label")
     encoded = ordinal_encode(plain, columns)
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(encoded)
+    return training_rows(VectorAssembler(inputCols=list(columns), outputCol="features").transform(encoded))
 
 
 def _scores(df: DataFrame, columns, values) -> DataFrame:
@@ -72,20 +73,17 @@ def _scores(df: DataFrame, columns, values) -> DataFrame:
 
 def l1_scores(df: DataFrame, columns, target: str, task: str) -> DataFrame:
     """Absolute coefficients of an L1-penalized linear model."""
-    rows = _assembled(df, columns, target, task).select("features", "label").persist()
-    try:
-        if task == "classification":
-            model = LogisticRegression(
-                elasticNetParam=1.0, regParam=1.0 / max(rows.count(), 1), standardization=False, maxIter=2000, tol=1e-3
-            ).fit(rows)
-            weights = abs(model.coefficientMatrix.toArray()[0])
-        else:
-            model = LinearRegression(
-                elasticNetParam=1.0, regParam=LASSO_ALPHA, standardization=False, maxIter=5000, tol=1e-3
-            ).fit(rows)
-            weights = abs(model.coefficients.toArray())
-    finally:
-        rows.unpersist()
+    rows = _assembled(df, columns, target, task)
+    if task == "classification":
+        model = LogisticRegression(
+            elasticNetParam=1.0, regParam=1.0 / max(rows.count(), 1), standardization=False, maxIter=2000, tol=1e-3
+        ).fit(rows)
+        weights = abs(model.coefficientMatrix.toArray()[0])
+    else:
+        model = LinearRegression(
+            elasticNetParam=1.0, regParam=LASSO_ALPHA, standardization=False, maxIter=5000, tol=1e-3
+        ).fit(rows)
+        weights = abs(model.coefficients.toArray())
     return _scores(df, columns, weights)
 
 
