@@ -126,7 +126,7 @@ def standardized_vectors(t):
 with {NEAR_SQL} select vec_id, neighbor, round(d, 6) as distance, rn::int as position from near where rn <= 5""")
 def neighbours(t):
     train, test = standardized_vectors(t)
-    return rounded(nearest_neighbors(test, "vec_id", train, "vec_id", "embedding"), distance=6)
+    return rounded(nearest_neighbors(test, "vec_id", train, "vec_id", "embedding").drop("payload"), distance=6)
 
 
 @query("knn_classify", f"""

@@ -80,10 +80,10 @@ def impute_neighbors(df: DataFrame, columns, key: str, k: int = 5, block_rows: i
     means = fill_values(df, columns, "mean") if targets else {}
     out, new = df, {}
     for i in targets:
-        lacking, donors = rows.where(F.col("__v")[i].isNull()), rows.where(F.col("__v")[i].isNotNull())
-        near = nearest_neighbors(lacking, "__key", donors, "__key", "__v", k, block_rows)
-        given = donors.select(F.col("__key").alias("neighbor"), F.col("__v")[i].alias("__given"))
-        fills = near.join(given, "neighbor").groupBy("__key").agg(F.avg("__given").alias(f"__fill{i}"))
+        lacking = rows.where(F.col("__v")[i].isNull())
+        donors = rows.where(F.col("__v")[i].isNotNull()).withColumn("__given", F.col("__v")[i])
+        near = nearest_neighbors(lacking, "__key", donors, "__key", "__v", k, block_rows, payload="__given")
+        fills = near.groupBy("__key").agg(F.avg("payload").alias(f"__fill{i}"))
         out = out.join(fills, out[f"`{key}`"].cast("long") == fills["__key"], "left").drop("__key")
         new[columns[i]] = F.coalesce(as_double(df, columns[i]), F.col(f"__fill{i}"), F.lit(means[columns[i]]).cast("double"))
     return replaced(out, new).select(*[col(c) for c in df.columns])

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import checkpointed
+from .attach import attach
 from .neighbors import BLOCK_ROWS, nearest_neighbors
 from .prepare import feature_encoder
 
@@ -69,22 +70,24 @@ class NearestNeighborsModel(Model, _NeighborParams, MLWritable, MLReadable):
         """Adds ``prediction`` (and ``probability`` for classes). Equal feature vectors share one search."""
         vector = vector_to_array(col(self.getOrDefault(self.featuresCol)))
         keyed = df.withColumn("__row", F.xxhash64(vector))
-        queries = keyed.select("__row", vector.alias("vector")).dropDuplicates(["__row"])
+        queries = keyed.groupBy("__row").agg(F.first(vector).alias("vector"), F.count(F.lit(1)).alias("__rows"))
         points = self.rows.withColumnRenamed("point", "__row")
         near = nearest_neighbors(
-            queries, "__row", points, "__row", "vector", self.getOrDefault(self.k), self.getOrDefault(self.blockRows)
+            queries, "__row", points, "__row", "vector", self.getOrDefault(self.k), self.getOrDefault(self.blockRows),
+            payload="label",
         )
-        voted = near.join(self.rows.select(F.col("point").alias("neighbor"), F.col("label").alias("__label")), "neighbor")
         classes = self.getOrDefault(self.numClasses)
+        shares = [F.avg((F.col("payload") == c).cast("double")) for c in range(classes)]
+        answer = F.array(*shares) if classes else F.avg("payload")
+        answers = near.groupBy("__row").agg(answer.alias("__answer"))
+        # Equal vectors make hot keys, which the statistics join spreads.
+        answered = attach(keyed, answers.join(queries.select("__row", "__rows"), "__row"), ["__row"], rows="__rows")
         if not classes:
-            answers = voted.groupBy("__row").agg(F.avg("__label").alias("prediction"))
-        else:
-            shares = [F.avg((F.col("__label") == c).cast("double")) for c in range(classes)]
-            answers = voted.groupBy("__row").agg(F.array(*shares).alias("__shares")).select(
-                "__row", array_to_vector("__shares").alias("probability"),
-                (F.array_position("__shares", F.array_max("__shares")) - 1).cast("double").alias("prediction"),
-            )
-        return keyed.join(answers, "__row", "left").drop("__row")
+            return answered.withColumnRenamed("__answer", "prediction").drop("__row", "__rows")
+        best = F.array_position("__answer", F.array_max("__answer")) - 1
+        return answered.withColumns(
+            {"probability": array_to_vector("__answer"), "prediction": best.cast("double")}
+        ).drop("__row", "__rows", "__answer")
 
     def write(self):
         return _NeighborsWriter(self)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, type_of
 
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
@@ -74,7 +74,7 @@ def _blocks(points: DataFrame, rows: int, block_rows: int) -> DataFrame:
     # At most MAX_PIVOTS * (MAX_PATTERNS + 1) rows.
     sized = celled.join(F.broadcast(sizes), "__cell")
     part = F.pmod(F.xxhash64("__point"), F.col("__parts"))
-    return sized.select("__point", "__vector", F.concat_ws("#", "__cell", part.cast("string")).alias("__block"))
+    return sized.select("__point", "__payload", "__vector", F.concat_ws("#", "__cell", part.cast("string")).alias("__block"))
 
 
 def _boxes(blocks: DataFrame, dims: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -123,14 +123,17 @@ def _reachable(boxes, k: int):
 
 
 def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, point_key: str, vector: str,
-                      k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      k: int = 5, block_rows: int = BLOCK_ROWS, payload: str | None = None) -> DataFrame:
     """(query key, ``neighbor``, ``distance``, ``position``): the k nearest points of every query.
 
-    Keys are unique longs; equal distances are settled by the smaller point key.
+    Keys are unique longs; equal distances are settled by the smaller point key. A numeric ``payload``
+    column of the points comes along as ``payload``: joining it back later would meet points that are
+    near to very many queries as hot keys.
     """
     vec = F.transform(col(vector), lambda x: x.cast("double")).alias("__vector")
     left = queries.select(col(query_key).cast("long").alias("__query"), vec)
-    right = points.select(col(point_key).cast("long").alias("__point"), vec)
+    carried = col(payload).cast("double") if payload else F.lit(None).cast("double")
+    right = points.select(col(point_key).cast("long").alias("__point"), carried.alias("__payload"), vec)
     first = right.first()
     if first is None:
         return _result(left.select("__query").limit(0).select("__query", *_no_neighbor()), query_key, k)
@@ -153,9 +156,10 @@ def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, poi
 
     def best(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
-            return pd.DataFrame({"__query": [], "__point": [], "__d2": []})
+            return pd.DataFrame({"__query": [], "__point": [], "__d2": [], "__payload": []})
         theirs = theirs.sort_values("__point")
         p, ids = _matrix(theirs["__vector"]), theirs["__point"].to_numpy()
+        extra = theirs["__payload"].to_numpy(dtype=float)
         q, keys = _matrix(mine["__vector"]), mine["__query"].to_numpy()
         rows, step = [], max(1, 4_000_000 // len(p))
         for start in range(0, len(q), step):
@@ -166,21 +170,20 @@ def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, poi
                 near = np.flatnonzero((row <= kth[i] + slack) & np.isfinite(row))
                 exact = _exact(q[start + i], p[near])
                 order = np.argsort(exact, kind="stable")[:k]
-                rows.append((np.full(len(order), keys[start + i]), ids[near[order]], exact[order]))
-        return pd.DataFrame({
-            "__query": np.concatenate([r[0] for r in rows]), "__point": np.concatenate([r[1] for r in rows]),
-            "__d2": np.concatenate([r[2] for r in rows]),
-        })
+                chosen = near[order]
+                rows.append((np.full(len(order), keys[start + i]), ids[chosen], exact[order], extra[chosen]))
+        names = ("__query", "__point", "__d2", "__payload")
+        return pd.DataFrame({n: np.concatenate([r[i] for r in rows]) for i, n in enumerate(names)})
 
     group = ["__block", "__chunk"]
     local = chunked.select(*group, "__query", "__vector").groupBy(*group).cogroup(
-        copies.select(*group, "__point", "__vector").groupBy(*group)
-    ).applyInPandas(lambda a, b: best(a, b), "__query long, __point long, __d2 double")
+        copies.select(*group, "__point", "__payload", "__vector").groupBy(*group)
+    ).applyInPandas(lambda a, b: best(a, b), "__query long, __point long, __d2 double, __payload double")
     return _result(local, query_key, k)
 
 
 def _no_neighbor():
-    return F.lit(None).cast("long").alias("__point"), F.lit(None).cast("double").alias("__d2")
+    return F.lit(None).cast("long").alias("__point"), F.lit(None).cast("double").alias("__d2"), F.lit(None).cast("double").alias("__payload")
 
 
 def _result(local: DataFrame, query_key: str, k: int) -> DataFrame:
@@ -188,28 +191,24 @@ def _result(local: DataFrame, query_key: str, k: int) -> DataFrame:
     return (
         local.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
         .select(F.col("__query").alias(query_key), F.col("__point").alias("neighbor"),
-                F.sqrt("__d2").alias("distance"), "position")
+                F.sqrt("__d2").alias("distance"), "position", F.col("__payload").alias("payload"))
     )
 
 
 def knn_classify(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, prediction, share): majority class of the k nearest, the smaller class on a tie."""
-    near = nearest_neighbors(test, key, train, key, vector, k, block_rows)
-    voted = near.join(train.select(col(key).alias("neighbor"), col(label).alias("__label")), "neighbor")
-    votes = voted.groupBy(col(key), "__label").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy(col(key)).agg(
-        F.min_by("__label", F.struct(-F.col("n"), F.col("__label"))).alias("prediction"),
-        (F.max("n") / F.sum("n")).alias("share"),
-    )
+    """(key, prediction, share): majority of the k nearest numeric classes, the smaller one on a tie."""
+    near = nearest_neighbors(test, key, train, key, vector, k, block_rows, payload=label)
+    votes = near.groupBy(col(key), "payload").agg(F.count(F.lit(1)).alias("n"))
+    winner = F.min_by("payload", F.struct(-F.col("n"), F.col("payload"))).cast(type_of(train, label))
+    return votes.groupBy(col(key)).agg(winner.alias("prediction"), (F.max("n") / F.sum("n")).alias("share"))
 
 
 def knn_regress(train: DataFrame, test: DataFrame, key: str, vector: str, target: str, k: int = 5,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, prediction): mean target of the k nearest."""
-    near = nearest_neighbors(test, key, train, key, vector, k, block_rows)
-    valued = near.join(train.select(col(key).alias("neighbor"), col(target).alias("__value")), "neighbor")
-    return valued.groupBy(col(key)).agg(F.avg("__value").alias("prediction"))
+    near = nearest_neighbors(test, key, train, key, vector, k, block_rows, payload=target)
+    return near.groupBy(col(key)).agg(F.avg("payload").alias("prediction"))
 
 
 def standardize(df: DataFrame, vector: str, fit_on: DataFrame | None = None, out: str | None = None) -> DataFrame:
