@@ -146,13 +146,15 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), limit: int = MAX_BUF
 
 def _buffered_quantiles(values, keys, names, title, probabilities) -> DataFrame:
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    wide = values.groupBy(*keys).agg(
-        *[F.struct(F.count(n).alias("n"), F.percentile(n, wanted).alias("q")).alias(n) for n in names]
+    entries = F.array(*[F.struct(F.lit(i).alias("at"), F.col(n).alias("v")) for i, n in enumerate(names)])
+    # Counting equal values first leaves the percentile buffers only distinct values to take.
+    counted = values.select(*keys, F.inline(entries)).groupBy(*keys, "at", "v").agg(F.count(F.lit(1)).alias("f"))
+    found = counted.groupBy(*keys, "at").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("f"))), F.lit(0)).alias("n"),
+        F.percentile("v", wanted, F.col("f")).alias("q"),
     )
-    entries = F.array(*[
-        F.struct(F.lit(title[n]).alias("column"), F.col(f"{n}.n").alias("n"), F.col(f"{n}.q").alias("q")) for n in names
-    ])
-    return wide.select(*keys, F.inline(entries))
+    column = F.get(F.array(*[F.lit(title[n]) for n in names]), F.col("at"))
+    return found.select(*keys, column.alias("column"), "n", "q")
 
 
 def _located_quantiles(values, keys, names, title, probabilities) -> DataFrame:

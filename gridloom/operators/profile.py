@@ -52,17 +52,18 @@ def convertible_text(df: DataFrame, columns=None, share: float = CONVERTIBLE_SHA
 
 def describe_numeric(df: DataFrame, columns=None) -> DataFrame:
     columns = numeric_columns(df) if columns is None else list(columns)
-    basic = per_column(df, columns, {
-        "count": lambda c: F.count(as_double(df, c)),
-        "mean": lambda c: F.avg(as_double(df, c)),
-        "std": lambda c: F.stddev_samp(as_double(df, c)),
-        "min": lambda c: F.min(as_double(df, c)),
-        "max": lambda c: F.max(as_double(df, c)),
-    })
+    # Rows of (column, value) keep the aggregation code small however many columns there are.
+    entries = F.array(*[F.struct(F.lit(i).alias("at"), as_double(df, c).alias("v")) for i, c in enumerate(columns)])
+    basic = df.select(F.inline(entries)).groupBy("at").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+    )
+    labels = df.sparkSession.createDataFrame(list(enumerate(columns)), "at int, column string")
+    basic = labels.join(basic, "at", "left").drop("at").fillna(0, ["count"])
     quarters = quantiles(df, columns, [0.25, 0.5, 0.75]).select(
         "column", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75")
     )
-    return basic.join(quarters, "column")
+    return basic.join(quarters, "column", "left")
 
 
 def describe_categorical(df: DataFrame, columns=None) -> DataFrame:
