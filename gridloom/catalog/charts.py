@@ -179,8 +179,11 @@ def bins(t):
 
 
 @query("histogram_nice", """
-select floor(p_retailprice / 5) * 5.0 as bin_start, (floor(p_retailprice / 5) + 1) * 5.0 as bin_end, count(*) as count
-from part group by floor(p_retailprice / 5)""")
+with b as (select min(p_retailprice) as lo, max(p_retailprice) as hi from part),
+c as (select d * power(10::double, e) as step from (select unnest([1, 2, 5]) as d), (select unnest(range(-3, 7)) as e)),
+s as (select min(step) as step from b, c where floor(hi / step) - floor(lo / step) + 1 <= 30)
+select floor(p_retailprice / step) * step as bin_start, (floor(p_retailprice / step) + 1) * step as bin_end, count(*) as count
+from part, s group by 1, 2""")
 def nice_bins(t):
     return nice_histogram(t("part"), "p_retailprice")
 
