@@ -180,4 +180,5 @@ def quantile_map(df: DataFrame, columns, probabilities) -> dict[str, list[float]
     if not columns:
         return {}
     rows = quantiles(df, columns, probabilities).collect()
-    return {r["column"]: (list(r["q"]) if r["q"] is not None else None) for r in rows}
+    found = {r["column"]: (list(r["q"]) if r["q"] is not None else None) for r in rows}
+    return {c: found.get(c) for c in columns}  # a table without rows has no entry for a column
