@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, token_counts
 
 QUERIES = {
+    "op3_mixing": mixing.query,
+    "op4_token_counts": token_counts.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
