@@ -15,7 +15,7 @@ from ..operators.order import running_totals
 from .common import WORD_PATTERN, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
-ROWS_PER_BIN = 20_000
+ROWS_PER_BIN = 4_000
 KEYS = ["doc_id", "source", "size", "nth"]
 
 

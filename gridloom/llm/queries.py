@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_counts
+from . import exact_dedup, mixing, packing, token_counts
 
 QUERIES = {
     "op3_mixing": mixing.query,
     "op4_token_counts": token_counts.query,
+    "op6_packing": packing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
