@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_counts
+from . import exact_dedup, mixing, packing, quality, token_counts
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op3_mixing": mixing.query,
     "op4_token_counts": token_counts.query,
     "op6_packing": packing.query,
