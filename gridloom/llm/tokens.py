@@ -1,7 +1,7 @@
 """Tokenizing inside tasks: a public tokenizer's ids for whole texts, words encoded once and remembered.
 
 The tokenizers here encode each word on its own, so a text may be cut before every space that a
-non-space follows and the ids of the parts put together. Parts repeat, so a bounded memory of parts, kept
+non-space follows, and around a line end between two words, and the ids of the parts put together. Parts repeat, so a bounded memory of parts, kept
 by the Python worker from task to task, saves most calls of the library. Texts that hold a special
 string go to the library whole.
 """
@@ -18,6 +18,7 @@ MEMORY = 1_000_000  # parts remembered per worker
 LONGEST = 48  # characters of a part that is remembered
 STEP_BYTES = 1 << 22
 CALL_PARTS = 4096
+CLOSING = (".", ",")
 CUT = re.compile(r" (?=\S)")
 _ENCODERS: dict = {}
 
@@ -58,20 +59,43 @@ class PartEncoder:
         self.first.update(zip(names, map(self.value, found)))
 
     def _learn_tails(self, missing: set) -> None:
-        """Many parts in one call, each after a space; offsets tell whose ids are whose."""
-        names = list(missing)
+        """Many parts in one call; offsets tell whose ids are whose.
+
+        A part that is a known word and one closing point or comma is put together from both: a letter
+        and what is no letter never share a word of the tokenizer.
+        """
+        names, joined = set(), []
+        for part in missing:
+            if part[-1:] in CLOSING and part[-2:-1].isalpha():
+                joined.append(part)
+                if part[:-1] not in self.later:
+                    names.add(part[:-1])
+            else:
+                names.add(part)
+        names = list(names)
         for begin in range(0, len(names), CALL_PARTS):
             step = names[begin:begin + CALL_PARTS]
-            found = self.library.encode(" " + " ".join(step), add_special_tokens=False)
-            spaces = np.cumsum([0, *(len(p) + 1 for p in step)])
-            starts = np.array([o[0] for o in found.offsets], np.int64)
-            edges = np.searchsorted(starts, spaces)
+            texts = [p if p[:1] == "\n" else " " + p for p in step]
+            found = self.library.encode("".join(texts), add_special_tokens=False)
+            edges = np.searchsorted(
+                np.array([o[0] for o in found.offsets], np.int64), np.cumsum([0, *map(len, texts)]))
             if self.count_only:
                 values = np.diff(edges).tolist()
             else:
                 ids = ids_of(found)
                 values = [ids[a:b] for a, b in zip((4 * edges).tolist(), (4 * edges[1:]).tolist())]
             self.later.update(zip(step, values))
+        closing = {c: self.value(self.library.encode(c, add_special_tokens=False)) for c in CLOSING}
+        for part in joined:
+            self.later[part] = self.later[part[:-1]] + closing[part[-1]]
+
+    def _cut(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        words = text.split()
+        if text.replace("\n", " ") == " ".join(words):  # one space or line end between any two words
+            return text.replace("\n", " \n").split(" ") if self.spaced else words
+        return CUT.split(text) if self.spaced else text.replace("\n", " ").split(" ")
 
     def _forget(self) -> None:
         for memory in (self.first, self.later):
@@ -82,8 +106,7 @@ class PartEncoder:
 
     def encode(self, texts: list[str]) -> list:
         """The value of every text, in order."""
-        cut = [None if any(s in t for s in self.special) else
-               CUT.split(t) if self.spaced else t.replace("\n", " ").split(" ") for t in texts]
+        cut = [self._cut(t) for t in texts]
         heads = {parts[0] for parts in cut if parts}
         tails = set()
         for parts in cut:
@@ -95,8 +118,8 @@ class PartEncoder:
         self._learn_tails(tails)
         first, later = self.first, self.later.__getitem__
         out = [
-            self.total([first[parts[0]], *map(later, parts[1:])]) if parts
-            else self.value(self.library.encode(text, add_special_tokens=False))
+            self.value(self.library.encode(text, add_special_tokens=False)) if not parts
+            else self.total([first[parts[0]], *map(later, parts[1:])])
             for text, parts in zip(texts, cut)
         ]
         self._forget()
