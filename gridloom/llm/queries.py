@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, token_counts
+from . import embeddings, exact_dedup, mixing, ngram_join, packing, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_embeddings": embeddings.query,
     "op3_mixing": mixing.query,
     "op4_token_counts": token_counts.query,
     "op6_packing": packing.query,
+    "op7_ngram_join": ngram_join.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
+    "op2_embeddings": embeddings.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
