@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, mixing, ngram_join, packing, quality, token_counts
+from . import embeddings, exact_dedup, mixing, ngram_join, packing, pii, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_counts.query,
     "op6_packing": packing.query,
     "op7_ngram_join": ngram_join.query,
+    "op8_pii": pii.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
