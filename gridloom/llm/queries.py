@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, mixing, ngram_join, packing, pii, quality, token_counts
+from . import embeddings, exact_dedup, mixing, ngram_join, packing, pii, quality, repeats, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_embeddings": embeddings.query,
     "op3_mixing": mixing.query,
     "op4_token_counts": token_counts.query,
+    "op5_repeats": repeats.query,
     "op6_packing": packing.query,
     "op7_ngram_join": ngram_join.query,
     "op8_pii": pii.query,
