@@ -30,6 +30,11 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(col(text), F.lit(""))
 
 
+def as_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row`` beside named keys, which so clash with no column."""
+    return docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary or string Arrow column without nulls, and its len + 1 offsets into them."""
     large = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)

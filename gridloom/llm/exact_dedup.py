@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.attach import attach, broadcastable
-from .common import byte_view, spans_of, stored, text_bytes
+from .common import as_rows, byte_view, spans_of, stored, text_bytes
 
 PRIME = 2**31 - 1
 BASES = (1_103_515_245, 1_664_525_019, 742_938_285, 950_706_376)  # any four values below the prime
@@ -148,11 +148,10 @@ def exact_groups(docs: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
     """The rows that stay, with all their columns; of rows alike in doc_id and text one stays."""
     kept = exact_groups(docs, chunk_bytes).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    digest = F.sha2(text_bytes(), 256)
-    same = col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    found = docs.withColumn("__sha", digest).join(kept, same, "left_semi")
-    return found.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest")).distinct()
+    rows = as_rows(docs, id=col("doc_id"), digest=F.sha2(text_bytes(), 256))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
 
 
 SQL = """

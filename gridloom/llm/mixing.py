@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.order import running_totals
-from .common import WORD_PATTERN, stored, text_or_empty
+from .common import WORD_PATTERN, as_rows, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 ROWS_PER_BIN = 4_000
@@ -123,17 +123,17 @@ def shares(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3, seed: int = 17) -> DataFrame:
     """The documents of the mix with all their columns, a document as many times as the mix holds it."""
     held = shares(docs, weights, share, max_epochs, seed).groupBy("doc_id", "source", "size").agg(
-        F.sort_array(F.collect_list("epochs"), asc=False).alias("__epochs"))
-    held = held.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size")], "__epochs")
-    size = F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("long")
-    rows = docs.withColumn("__words", size)
-    same = col("doc_id").eqNullSafe(F.col("__doc_id")) & col("source").eqNullSafe(F.col("__source")) & (
-        F.col("__words") == F.col("__size"))
-    order = [col(c) for c, kind in docs.dtypes if not kind.startswith("map")]
-    nth = F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size").orderBy(*order))
-    repeats = F.when(F.col("__take") > 0, F.sequence(F.lit(1), F.col("__take").cast("int")))
-    return rows.join(held, same).withColumn("__take", F.element_at("__epochs", nth)).withColumn(
-        "__repeat", F.explode(repeats)).select(*[col(c) for c in docs.columns])
+        F.sort_array(F.collect_list("epochs"), asc=False).alias("takes"))
+    held = held.withColumnsRenamed({"doc_id": "held_id", "source": "held_source", "size": "held_size"})
+    words = F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("long")
+    rows = as_rows(docs, id=col("doc_id"), source=col("source"), size=words)
+    same = F.col("id").eqNullSafe(F.col("held_id")) & F.col("source").eqNullSafe(F.col("held_source")) & (
+        F.col("size") == F.col("held_size"))
+    # Rows alike in all three are told apart by their other columns.
+    nth = F.row_number().over(Window.partitionBy("held_id", "held_source", "held_size").orderBy(F.to_json("row")))
+    repeats = F.when(F.col("take") > 0, F.sequence(F.lit(1), F.col("take").cast("int")))
+    return rows.join(held, same).withColumn("take", F.element_at("takes", nth)).withColumn(
+        "repeat", F.explode(repeats)).select("row.*")
 
 
 def query(spark, directory):

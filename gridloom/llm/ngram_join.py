@@ -22,17 +22,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.attach import attach, broadcastable
-from .common import byte_view, stored, text_bytes
+from .common import as_rows, byte_view, stored, text_bytes
 from .graph import components, local_roots
 from .shingles import Shingler, mixed
+from .token_classes import token_classes
 
 FREQUENT = 64  # documents from which a token is frequent
 PLAIN = 20  # sets up to this size use single tokens only
 CROWDED = 64  # documents from which a signature group is not paired off
 BLOCK_ROWS = 256
-BUCKET_TOKENS = 1 << 21
-MAX_BITS = 27  # bitmaps of token classes: at most 16 MB each, whatever the size of the input
-FLUSH_TOKENS = 1 << 22
 
 
 class Threshold:
@@ -69,84 +67,6 @@ def _summaries(words: int):
     return run
 
 
-def _token_blocks(words: int, bucket_bits: int):
-    """Tokens cut to bucket_bits + 32 bits, as blocks of sorted 32-bit rests per bucket."""
-    def blocks(tokens):
-        tokens = np.sort(np.concatenate(tokens) >> np.uint64(32 - bucket_bits))
-        buckets = (tokens >> np.uint64(32)).astype(np.int64)
-        begins = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
-        rests = (tokens & np.uint64(0xFFFFFFFF)).astype("<u4")
-        parts = [rests[a:b].tobytes() for a, b in zip(begins, [*begins[1:], len(rests)])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(buckets[begins].astype(np.int32)), pa.array(parts, pa.binary())], ["bucket", "block"])
-
-    def run(batches):
-        shingler, held, size = Shingler(words), [], 0
-        for batch in batches:
-            for s in shingler.sets(*byte_view(batch.column("bytes"))):
-                held.append(s)
-                size += len(s)
-                if size >= FLUSH_TOKENS:
-                    yield blocks(held)
-                    held, size = [], 0
-        if size:
-            yield blocks(held)
-
-    return run
-
-
-def _class_bits(bucket_bits: int, bits: int, frequent: int):
-    """Per bucket: its slices of the bitmaps of tokens in several, and in many, documents."""
-    def slices(bucket, blocks):
-        rests = np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in blocks]))
-        begins = np.flatnonzero(np.concatenate([[True], rests[1:] != rests[:-1]]))
-        counts = np.diff(np.append(begins, len(rests)))
-        spots = (rests[begins] >> np.uint32(32 - (bits - bucket_bits))).astype(np.int64) if bits > bucket_bits else (
-            np.zeros(len(begins), np.int64))
-        out = []
-        for least in (2, frequent):
-            flags = np.zeros(1 << max(3, bits - bucket_bits), bool)
-            flags[spots[counts >= least]] = True
-            out.append(np.packbits(flags).tobytes())
-        return pa.RecordBatch.from_pylist([{"bucket": bucket, "several": out[0], "many": out[1]}], schema=pa.schema(
-            [("bucket", pa.int32()), ("several", pa.binary()), ("many", pa.binary())]))
-
-    def run(batches):
-        bucket, held = None, []
-        for batch in batches:
-            for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
-                if bucket is not None and b != bucket:
-                    yield slices(bucket, held)
-                    held = []
-                bucket = b
-                held.append(block)
-        if held:
-            yield slices(bucket, held)
-
-    return run
-
-
-def token_classes(texts: DataFrame, words: int, tokens: int, frequent: int):
-    """Bitmaps over the leading bits of a token: seen in several documents, seen in many.
-
-    Every token of every text is counted. Two tokens with equal leading bits share a class, which costs
-    time, never a link: the join is exact for any classes.
-    """
-    spark = texts.sparkSession
-    bucket_bits = max(6, min(20, math.ceil(math.log2(max(2, tokens / BUCKET_TOKENS)))))
-    bits = max(bucket_bits + 3, min(MAX_BITS, math.ceil(math.log2(max(2, tokens * 8)))))
-    blocks = texts.mapInArrow(_token_blocks(words, bucket_bits), "bucket int, block binary")
-    sliced = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _class_bits(bucket_bits, bits, frequent), "bucket int, several binary, many binary")
-    size = (1 << bits) // 8
-    maps = np.zeros((2, size), np.uint8)
-    step = size >> bucket_bits
-    for row in sliced.toLocalIterator():  # the two bitmaps, slice by slice: bounded by MAX_BITS
-        for k, name in enumerate(("several", "many")):
-            maps[k, row["bucket"] * step:(row["bucket"] + 1) * step] = np.frombuffer(row[name], np.uint8)[:step]
-    return spark.sparkContext.broadcast(maps), bits
-
-
 def _level(slack: int) -> int:
     return max(0, math.ceil(math.log2(slack + 1)))
 
@@ -382,28 +302,24 @@ def _blocks(members: DataFrame, threshold: Threshold) -> DataFrame:
         "cluster", "doc_id", "__part.*")
 
 
-def near_links(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) among the documents of ``ids`` (doc_id, n_shingles) that connect all that are similar."""
-    threshold = Threshold(percent)
-    texts = _chosen(docs, ids)
-    tokens = ids.agg(F.sum("n_shingles")).first()[0] or 0
-    maps, bits = token_classes(texts, words, tokens, FREQUENT)
-    sigs = stored(
-        texts.mapInArrow(_signature_rows(words, maps, bits, threshold), "sig long, doc_id long, n int"), "signatures")
+def connecting_links(sigs: DataFrame, sets_of, threshold: Threshold) -> DataFrame:
+    """Links (a, b) that connect all similar sets among the candidates.
+
+    ``sigs`` holds rows (sig, doc_id, n): two sets of sizes n are candidates if they share a sig. ``sets_of`` gives
+    for a frame of doc_id the rows (doc_id, tokens), the sorted tokens as bytes.
+    """
     groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("hub")).where("docs > 1")
     placed = stored(attach(sigs, groups, ["sig"], "docs"), "signature-groups")
     few = placed.where(F.col("docs") <= CROWDED).repartition("sig").sortWithinPartitions("sig")
     pairs = stored(few.select("sig", "doc_id", "n").mapInArrow(_pairs_of_groups(threshold), "a long, b long").distinct(), "pairs")
-    crowd = stored(
-        placed.where(F.col("docs") > CROWDED).select("doc_id", "n", F.col("hub")).distinct(), "crowd")
+    crowd = stored(placed.where(F.col("docs") > CROWDED).select("doc_id", "n", "hub").distinct(), "crowd")
     clusters = components(crowd.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     members = crowd.select("doc_id", "n").distinct().join(clusters, F.col("doc_id") == F.col("node")).select(
         F.col("component").alias("cluster"), "doc_id", "n")
     members = stored(members, "clusters")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(
         members.select("doc_id"))
-    sets = stored(_chosen(docs, wanted).mapInArrow(_set_rows(words), "doc_id long, tokens binary"), "token-sets")
-    held = sets.select(F.col("doc_id").alias("__id"), "tokens")
+    held = stored(sets_of(wanted), "token-sets").select(F.col("doc_id").alias("__id"), "tokens")
     hubs = pairs.select("a").distinct().join(held, F.col("a") == F.col("__id")).select(
         "a", F.lit(None).cast("long").alias("b"), "tokens")
     partners = pairs.join(held, F.col("b") == F.col("__id")).select("a", "b", "tokens")
@@ -415,6 +331,21 @@ def near_links(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> Dat
     return stored(verified.unionByName(crowded), "links")
 
 
+def near_links(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of ``ids`` (doc_id, n_shingles) that connect all that are similar."""
+    threshold = Threshold(percent)
+    texts = _chosen(docs, ids)
+    tokens = ids.agg(F.sum("n_shingles")).first()[0] or 0
+    maps, bits = token_classes(texts, Shingler(words), tokens, FREQUENT)
+    sigs = stored(
+        texts.mapInArrow(_signature_rows(words, maps, bits, threshold), "sig long, doc_id long, n int"), "signatures")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return _chosen(docs, wanted).mapInArrow(_set_rows(words), "doc_id long, tokens binary")
+
+    return connecting_links(sigs, sets, threshold)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -445,7 +376,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """
     leave = near_duplicates(docs, words, percent).where("doc_id <> component_id").select(
         F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leave, col("doc_id") == F.col("__id"), "left_anti")
+    rows = as_rows(docs, id=col("doc_id"))
+    return rows.join(leave, F.col("id") == F.col("__id"), "left_anti").select("row.*")
 
 
 def query(spark, directory):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, mixing, ngram_join, packing, pii, quality, repeats, token_counts
+from . import embeddings, exact_dedup, fuzzy_lines, mixing, ngram_join, packing, pii, quality, repeats, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_ngram_join": ngram_join.query,
     "op8_pii": pii.query,
+    "op9_fuzzy_lines": fuzzy_lines.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
