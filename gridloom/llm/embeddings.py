@@ -63,8 +63,14 @@ def decode(x: np.ndarray, code: list, least_sum: float, least: int) -> tuple[np.
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as float64; shorter lists end in zeros."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) == 0 or sizes.min() == sizes.max():
+        return flat.reshape(len(sizes), -1)
+    out = np.zeros((len(sizes), sizes.max()))
+    out[np.arange(sizes.max()) < sizes[:, None]] = flat
+    return out
 
 
 def _assign(tables, blocks, words, expected, least, seed):

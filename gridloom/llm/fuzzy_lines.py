@@ -128,15 +128,19 @@ def _shared_bands(maps, bits):
     return run
 
 
-def _line_sets(batches):
+def line_set(line: bytes) -> np.ndarray:
+    """The sorted shingle hashes of one line, whose text is far smaller on its way than they."""
+    return np.unique(shingle_hashes([line.decode()])[0])
+
+
+def _wanted_lines(batches):
     for batch in batches:
-        ids, sets = [], []
+        ids, found = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             lines = dict(lines_of(text))
-            hashes, begins = shingle_hashes([lines[w["line_no"]] for w in wanted])
             ids += [w["line_id"] for w in wanted]
-            sets += [np.unique(h).tobytes() for h in np.split(hashes, begins[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+            found += [lines[w["line_no"]].encode() for w in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "tokens"])
 
 
 def _kept_text(batches):
@@ -186,10 +190,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         by_doc = stored(by_doc, "wanted-lines")
         side = F.broadcast(by_doc) if broadcastable(by_doc.select("__doc", "__row", F.size("wanted").alias("n"))) else by_doc
         same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row_key") == F.col("__row"))
-        found = _named(docs).join(side, same).select("text", "wanted").mapInArrow(_line_sets, "doc_id long, tokens binary")
+        found = _named(docs).join(side, same).select("text", "wanted").mapInArrow(_wanted_lines, "doc_id long, tokens binary")
         return found.dropDuplicates(["doc_id"])
 
-    links = connecting_links(sigs, sets, threshold)
+    links = connecting_links(sigs, sets, threshold, line_set)
     joined = components(links)
     grouped = lines.select("line_id", "first").join(joined, F.col("line_id") == F.col("node"), "left").select(
         "first", "component")

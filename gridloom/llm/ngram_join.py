@@ -181,14 +181,18 @@ def _set_rows(words: int):
     return run
 
 
-def _verify(threshold: Threshold):
+def stored_tokens(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _verify(threshold: Threshold, decode):
     """Rows (a, b, tokens) sorted by a: those without b hold the sets of a, the others those of partners."""
     def run(batches):
         hub, sets = None, []
         for batch in batches:
             left, right = [], []
             for a, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "tokens"))):
-                tokens = np.frombuffer(tokens, np.uint64)
+                tokens = decode(tokens)
                 if a != hub:
                     hub, sets = a, []
                 if b is None:
@@ -228,7 +232,7 @@ def _common(sets: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
 BLOCK_KEY = ["cluster", "size_class", "step", "p", "q"]
 
 
-def _verify_blocks(threshold: Threshold):
+def _verify_blocks(threshold: Threshold, decode):
     """Rows sorted by block pair: (key, side, doc_id, tokens); returns a forest of the links."""
     def links(rows):
         left = [r for r in rows if r[0] < 1]
@@ -253,7 +257,7 @@ def _verify_blocks(threshold: Threshold):
                     if found is not None:
                         yield found
                 key = k
-                rows.append((side, doc, np.frombuffer(tokens, np.uint64)))
+                rows.append((side, doc, decode(tokens)))
         found = links(rows) if rows else None
         if found is not None:
             yield found
@@ -302,11 +306,11 @@ def _blocks(members: DataFrame, threshold: Threshold) -> DataFrame:
         "cluster", "doc_id", "__part.*")
 
 
-def connecting_links(sigs: DataFrame, sets_of, threshold: Threshold) -> DataFrame:
+def connecting_links(sigs: DataFrame, sets_of, threshold: Threshold, decode=stored_tokens) -> DataFrame:
     """Links (a, b) that connect all similar sets among the candidates.
 
     ``sigs`` holds rows (sig, doc_id, n): two sets of sizes n are candidates if they share a sig. ``sets_of`` gives
-    for a frame of doc_id the rows (doc_id, tokens), the sorted tokens as bytes.
+    for a frame of doc_id the rows (doc_id, tokens); ``decode`` turns such bytes into the sorted set.
     """
     groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("hub")).where("docs > 1")
     placed = stored(attach(sigs, groups, ["sig"], "docs"), "signature-groups")
@@ -324,10 +328,10 @@ def connecting_links(sigs: DataFrame, sets_of, threshold: Threshold) -> DataFram
         "a", F.lit(None).cast("long").alias("b"), "tokens")
     partners = pairs.join(held, F.col("b") == F.col("__id")).select("a", "b", "tokens")
     verified = hubs.unionByName(partners).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(
-        _verify(threshold), "a long, b long")
+        _verify(threshold, decode), "a long, b long")
     blocks = _blocks(members, threshold).join(held, F.col("doc_id") == F.col("__id")).drop("__id")
     crowded = blocks.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).select(
-        *BLOCK_KEY, "side", "doc_id", "tokens").mapInArrow(_verify_blocks(threshold), "a long, b long")
+        *BLOCK_KEY, "side", "doc_id", "tokens").mapInArrow(_verify_blocks(threshold, decode), "a long, b long")
     return stored(verified.unionByName(crowded), "links")
 
 

@@ -3,8 +3,7 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id.
 Every 50-byte string is assigned to its anchor, the leftmost smallest hash among the short strings in it,
 so equal strings have equal anchors at equal places. A counting pass over all anchors leaves those seen in
-several documents. The stretches of text around them, once per distinct stretch, go to the task of their
-anchor. There the stretches are sorted into a Burrows-Wheeler transform, kept as runs; the ends of the runs of
+several documents. The stretches of text around them go to the task of their anchor. There the distinct stretches are sorted into a Burrows-Wheeler transform, kept as runs; the ends of the runs of
 equal 50-byte strings are sampled with the smallest doc_id inside. Streaming every stretch through the
 runs from its end yields the matching interval of each of its strings, whose sample says whether
 the string starts in a smaller document. Marks go back to the documents and merge into spans.
@@ -29,8 +28,11 @@ LENGTH = 50
 ANCHOR = 24  # bytes of the strings whose hashes choose the anchor
 PIECE = 1 << 16  # string starts handled at a time; a place in a piece fits PLACE_BITS
 PLACE_BITS = 16
-INDEX_BYTES = 3 << 20  # text of one index, whole anchors
+INDEX_BYTES = 1 << 20  # text of one index, whole anchors; three ranks of 21 bits make a sort key
 WINDOWS = LENGTH - ANCHOR + 1
+DEPTH = 72  # bytes of a stretch at most: suffixes are sorted by 8, 24, 72 bytes
+MOST = DEPTH - LENGTH + 1  # strings of a stretch at most
+HOT = 50_000  # documents from which an anchor's stretches are collapsed before they are shuffled
 
 
 def _words(codes: np.ndarray) -> np.ndarray:
@@ -66,6 +68,10 @@ def segments(codes: np.ndarray):
         place = (low & place_mask).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         counts = np.diff(np.append(first, len(place)))
+        long = np.flatnonzero(counts > MOST)  # cut in two, so that a stretch has at most DEPTH bytes
+        if len(long):
+            first = np.sort(np.concatenate([first, first[long] + MOST]))
+            counts = np.diff(np.append(first, len(place)))
         out.append((h[place[first]] & ~place_mask, first + begin, counts, first - place[first]))
     if not out:
         none = np.zeros(0, np.int64)
@@ -81,12 +87,9 @@ class AnchorSource:
             yield np.unique(segments(data[at[i]:at[i + 1]])[0])
 
 
-SEGMENT = ["anchor", "context_key", "lead", "context", "doc_id", "row_key", "start"]
-
-
 def _repeated_segments(maps, bits):
     def run(batches):
-        several = maps.value[0]
+        several, many = maps.value
         for batch in batches:
             data, at = byte_view(batch.column("bytes"))
             docs, rows = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
@@ -95,80 +98,102 @@ def _repeated_segments(maps, bits):
                 codes = data[at[i]:at[i + 1]]
                 anchor, first, counts, lead = segments(codes)
                 spots = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-                keep = np.flatnonzero(several[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1)
+                bit = (7 - (spots & 7)).astype(np.uint8)
+                keep = np.flatnonzero(several[spots >> 3] >> bit & 1)
                 if len(keep):
+                    hot = (many[spots[keep] >> 3] >> bit[keep] & 1).astype(bool)
                     size = counts[keep] + LENGTH - 1
                     ends = np.cumsum(size)
                     where = np.repeat(first[keep] - (ends - size), size) + np.arange(ends[-1])
                     parts.append((anchor[keep].astype(np.int64), lead[keep], codes[where], size,
-                                  np.full(len(keep), docs[i]), np.full(len(keep), rows[i]), first[keep]))
+                                  np.full(len(keep), docs[i]), np.full(len(keep), rows[i]), first[keep], hot))
             if not parts:
                 continue
-            anchor, lead, text, size, doc, row, first = (np.concatenate(x) for x in zip(*parts))
+            anchor, lead, text, size, doc, row, first, hot = (np.concatenate(x) for x in zip(*parts))
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             context = pa.Array.from_buffers(
                 pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(lead.astype(np.int32)), context, pa.array(doc), pa.array(row), pa.array(first)],
-                ["anchor", "lead", "context", "doc_id", "row_key", "start"])
+                [pa.array(anchor), pa.array(lead.astype(np.int32)), context, pa.array(doc), pa.array(row), pa.array(first), pa.array(hot)],
+                ["anchor", "lead", "context", "doc_id", "row_key", "start", "hot"])
 
     return run
 
 
 class RunIndex:
-    """A run-length Burrows-Wheeler transform of texts, each closed by its own end mark.
+    """A run-length Burrows-Wheeler transform of texts of at most DEPTH bytes, each closed by its own end mark.
 
-    Rows are all suffixes in order, end marks first. ``runs`` are stretches of rows with one preceding
-    symbol (0: start of a text, else byte + 1); ``strings`` are stretches of rows that begin with one string of
-    LENGTH bytes, sampled with the smallest document among them.
+    Rows are all suffixes in order, end marks first. ``starts`` and ``symbols`` are the stretches of rows with one
+    preceding symbol (0: start of a text, else byte + 1); ``string_starts`` are the ends of the stretches of rows that
+    begin with one string of LENGTH bytes, sampled with the smallest document among them.
     """
 
     def __init__(self, data: np.ndarray, at: np.ndarray, docs: np.ndarray):
         count, sizes = len(at) - 1, np.diff(at)
         text = np.repeat(np.arange(count), sizes)
-        left = at[1:][text] - np.arange(len(data))  # bytes up to the end of the text
-        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-        word = np.zeros(len(data), np.uint64)
-        for j in range(8):
-            word = word << np.uint64(8) | np.where(left > j, padded[j:j + len(data)], 0)
-        _, rank = np.unique(word, return_inverse=True)
-        depth, ranks = 8, {}
-        while depth < 128 and depth < int(sizes.max(initial=0)):
-            ranks[depth] = rank
-            _, rank = np.unique((rank + 1) << 32 | self._after(rank, left, depth), return_inverse=True)
-            depth *= 2
-        order = np.lexsort((left * np.int64(count) + text, rank)) if len(data) else np.zeros(0, np.int64)
-        # Preceding symbols; the first rows are the end marks, in order of the texts.
-        before = np.concatenate([[0], data[:-1].astype(np.int64) + 1])
+        left = (at[1:][text] - np.arange(len(data))).astype(np.uint8)  # bytes up to the end of the text
+        rank = self._rank(self._first_words(data, left))
+        rank24 = self._rank(self._three(rank, left, 8))
+        # Equal suffixes come in order of their texts; one that ends before a NUL byte comes first.
+        by_left = np.argsort(left, kind="stable")
+        order = by_left[np.argsort(self._three(rank24, left, 24)[by_left], kind="stable")]
+        before = np.concatenate([[0], data[:-1].astype(np.int16) + 1])
         before[at[:-1][sizes > 0]] = 0
-        last = np.where(sizes > 0, data[np.maximum(at[1:] - 1, 0)].astype(np.int64) + 1, 0)
+        last = np.zeros(count, np.int16)
+        last[sizes > 0] = data[at[1:][sizes > 0] - 1].astype(np.int16) + 1
         symbols = np.concatenate([last, before[order]])
         self.starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
         self.symbols = symbols[self.starts]
         lengths = np.diff(np.append(self.starts, len(symbols)))
-        by_symbol = np.lexsort((self.starts, self.symbols))
+        by_symbol = np.argsort(self.symbols, kind="stable")
         self.target = np.empty(len(self.starts), np.int64)  # row that a run's first row steps to
-        self.target[by_symbol] = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         # Symbol 0 leads to the rows of the end marks, which come first, as many as there are texts.
-        rank32 = ranks.get(32, rank)
-        rest = np.minimum(order + LENGTH - 32, len(data) - 1)
-        long = left[order] >= LENGTH
-        same = long[1:] & long[:-1] & (rank32[order[1:]] == rank32[order[:-1]]) & (rank32[rest[1:]] == rank32[rest[:-1]])
-        begins = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
+        self.target[by_symbol] = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
+        begins = self._string_begins(rank24, left, order)
         self.string_starts = begins + count
         self.samples = np.minimum.reduceat(docs[text[order]], begins) if len(order) else docs[:0]
         self.count, self.sizes = count, sizes
 
     @staticmethod
-    def _after(rank, left, depth):
-        out = np.zeros(len(rank), np.int64)
-        out[:-depth] = rank[depth:] + 1
-        out[left <= depth] = 0
-        return out
+    def _first_words(data, left):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        w = padded[:-1] << np.uint64(8) | padded[1:]
+        w = w[:-2] << np.uint64(16) | w[2:]
+        w = w[:-4] << np.uint64(32) | w[4:]
+        short = np.array([0, *((1 << 64) - (1 << 8 * (8 - n)) for n in range(1, 9))], np.uint64)
+        return w[:len(data)] & short[np.minimum(left, 8)]
+
+    @staticmethod
+    def _rank(keys):
+        order = np.argsort(keys)
+        ranks = np.empty(len(keys), np.int64)
+        values = keys[order]
+        ranks[order] = np.cumsum(np.concatenate([[1], (values[1:] != values[:-1])]))[:len(keys)]
+        return ranks
+
+    @staticmethod
+    def _three(rank, left, step):
+        """Ranks here, ``step`` and 2 ``step`` bytes on (0 beyond the end) as one key."""
+        key = rank << 42
+        for k, shift in ((step, 21), (2 * step, 0)):
+            if len(rank) > k:
+                key[:-k] |= np.where(left[:-k] > k, rank[k:], 0) << shift
+        return key
+
+    @staticmethod
+    def _string_begins(rank24, left, order):
+        """Rows at which another string of LENGTH bytes begins; shorter suffixes stand alone."""
+        if not len(order):
+            return np.zeros(0, np.int64)
+        same = (left[order[1:]] >= LENGTH) & (left[order[:-1]] >= LENGTH)
+        for k in (0, 24, LENGTH - 24):
+            ahead = rank24[np.minimum(order + k, len(rank24) - 1)]
+            same &= ahead[1:] == ahead[:-1]
+        return np.flatnonzero(np.concatenate([[True], ~same]))
 
     def smallest(self) -> np.ndarray:
-        """For each text and each of its first WINDOWS places: the smallest document that holds the string there."""
-        found = np.full((self.count, WINDOWS), np.iinfo(np.int64).max)
+        """For each text and each of its first MOST places: the smallest document that holds the string there."""
+        found = np.full((self.count, MOST), np.iinfo(np.int64).max)
         text, row = np.arange(self.count), np.arange(self.count)
         for step in range(1, int(self.sizes.max(initial=0)) + 1):
             run = np.searchsorted(self.starts, row, side="right") - 1
@@ -181,45 +206,78 @@ class RunIndex:
         return found
 
 
-def _marks(batches):
-    """Distinct stretches sorted by anchor: which strings start in a document smaller than the stretch's first."""
-    def indexed(rows):
-        anchor, lead, context, first, key = rows
-        sizes = np.array([len(c) for c in context])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        data = np.frombuffer(b"".join(context), np.uint8)
-        smaller = RunIndex(data, at, first).smallest() < first[:, None]
-        mask = (smaller << np.arange(WINDOWS)).sum(1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(key), pa.array(first), pa.array(mask)],
-            ["anchor", "context_key", "first", "mask"])
-
-    def columns(batch):
-        return [batch.column("anchor").to_numpy(), batch.column("lead").to_numpy(),
-                np.array(batch.column("context").to_pylist(), object), batch.column("first").to_numpy(),
-                batch.column("context_key").to_numpy()]
+def _strings_of(size):
+    return size - LENGTH + 1
+
+
+def _mask_of(anchor: np.ndarray, context: list, first: np.ndarray) -> np.ndarray:
+    """For distinct stretches sorted by anchor, each with its smallest document: bits of the strings that start in a
+    smaller document. A stretch that is its anchor's only one has none."""
+    mask = np.zeros(len(context), np.int64)
+    change = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    counts = np.diff(np.append(change, len(anchor)))
+    among = np.flatnonzero(np.repeat(counts, counts) > 1)
+    if len(among):
+        held = [context[i] for i in among]
+        at = np.concatenate([[0], np.cumsum([len(c) for c in held])])
+        smallest = RunIndex(np.frombuffer(b"".join(held), np.uint8), at, first[among]).smallest()
+        mask[among] = ((smallest < first[among, None]) << np.arange(MOST)).sum(1)
+    return mask
 
+
+def _groups(batches, names, weigh):
+    """Columns of sorted batches, cut into runs of whole anchors of about INDEX_BYTES."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = columns(batch)
+        new = [np.array(batch.column(n).to_pylist(), object) if n == "context" else batch.column(n).to_numpy() for n in names]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         while True:
-            total = np.cumsum([len(c) for c in held[2]])
+            total = np.cumsum(weigh(held))
             if total[-1] < INDEX_BYTES:
                 break
-            # Whole anchors up to the wanted size; the last anchor may go on in the next batch.
-            cut = int(np.searchsorted(total, INDEX_BYTES))
-            cut = int(np.searchsorted(held[0], held[0][min(cut, len(total) - 1)]))
-            if cut == 0:
+            cut = int(np.searchsorted(held[0], held[0][np.searchsorted(total, INDEX_BYTES)]))
+            if cut == 0:  # one anchor alone fills the index
                 cut = int(np.searchsorted(held[0], held[0][0], side="right"))
-                if cut == len(total):
-                    break
-            yield indexed([x[:cut] for x in held])
+            if cut == len(total):
+                break
+            yield [x[:cut] for x in held]
             held = [x[cut:] for x in held]
     if held is not None and len(held[0]):
-        yield indexed(held)
+        yield held
+
+
+def _sizes(held):
+    return np.array([len(c) for c in held[2]])
+
+
+def _marks(batches):
+    """Rows of stretches sorted by anchor become marks (doc_id, row_key, start, mask) of strings that go."""
+    for anchor, lead, context, doc, row, start in _groups(
+            batches, ["anchor", "lead", "context", "doc_id", "row_key", "start"], _sizes):
+        names: dict = {}
+        which = np.array([names.setdefault(k, len(names)) for k in zip(anchor.tolist(), lead.tolist(), context.tolist())])
+        first = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(first, which, doc)
+        keys = list(names)
+        mask = _mask_of(np.array([k[0] for k in keys]), [k[2] for k in keys], first)
+        every = (np.int64(1) << _strings_of(_sizes((0, 0, context)))) - 1
+        mask = np.where(doc > first[which], every, mask[which])
+        go = np.flatnonzero(mask)
+        yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (doc, row, start, mask)], MARK)
+
+
+def _distinct_marks(batches):
+    """Distinct stretches sorted by anchor: (anchor, context_key, first, mask)."""
+    for anchor, _, context, first, key in _groups(batches, ["anchor", "lead", "context", "first", "context_key"], _sizes):
+        mask = _mask_of(anchor, context.tolist(), first)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (anchor, key, first, mask)], ["anchor", "context_key", "first", "mask"])
+
+
+MARK = ["doc_id", "row_key", "start", "mask"]
+MARK_SQL = "doc_id long, row_key long, start long, mask long"
 
 
 def _result(batches):
@@ -235,7 +293,7 @@ def _result(batches):
             elif marks:
                 start = np.array([m["start"] for m in marks])
                 mask = np.array([m["mask"] for m in marks])
-                begins = (start[:, None] + np.arange(WINDOWS))[(mask[:, None] >> np.arange(WINDOWS)) & 1 == 1]
+                begins = (start[:, None] + np.arange(MOST))[(mask[:, None] >> np.arange(MOST)) & 1 == 1]
                 change = np.bincount(begins, minlength=n + 1) - np.bincount(begins + LENGTH, minlength=n + 1)
                 gone = np.cumsum(change)[:n] > 0
             else:
@@ -249,6 +307,21 @@ def _result(batches):
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _hot_marks(found: DataFrame) -> DataFrame:
+    """Marks of anchors that very many documents hold: equal stretches are collapsed on the way, then joined back."""
+    found = stored(found.withColumn("context_key", F.xxhash64("lead", "context")), "hot-segments")
+    distinct = found.groupBy("anchor", "lead", "context", "context_key").agg(F.min("doc_id").alias("first"))
+    marks = distinct.repartition("anchor").sortWithinPartitions("anchor").select(
+        "anchor", "lead", "context", "first", "context_key").mapInArrow(
+        _distinct_marks, "anchor long, context_key long, first long, mask long")
+    marks = marks.withColumnsRenamed({"anchor": "__anchor", "context_key": "__key"})
+    every = F.expr(f"shiftleft(1L, octet_length(context) - {LENGTH - 1}) - 1")
+    spots = found.select("anchor", "context_key", "doc_id", "row_key", "start", every.alias("every"))
+    same = (F.col("anchor") == F.col("__anchor")) & (F.col("context_key") == F.col("__key"))
+    mask = F.when(F.col("doc_id") > F.col("first"), F.col("every")).otherwise(F.col("mask"))
+    return spots.join(marks, same).select("doc_id", "row_key", "start", mask.alias("mask")).where("mask <> 0")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -270,22 +343,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Copies of a whole text lose it all; their strings start in the first copy too.
     texts = judged.where("not copy and doc_id is not null and octet_length(bytes) >= 50").select("doc_id", "row_key", "bytes")
     size = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    maps, bits = token_classes(texts, AnchorSource(), 2 * size // (WINDOWS + 1) + 1, 1 << 30)
+    maps, bits = token_classes(texts, AnchorSource(), 2 * size // (WINDOWS + 1) + 1, HOT)
     found = texts.mapInArrow(
         _repeated_segments(maps, bits),
-        "anchor long, lead int, context binary, doc_id long, row_key long, start long")
-    found = stored(found.withColumn("context_key", F.xxhash64("lead", "context")), "segments")
-    distinct = found.groupBy("anchor", "lead", "context", "context_key").agg(F.min("doc_id").alias("first"))
-    marks = distinct.repartition("anchor").sortWithinPartitions("anchor").select(
-        "anchor", "lead", "context", "first", "context_key").mapInArrow(
-        _marks, "anchor long, context_key long, first long, mask long")
-    marks = marks.withColumnsRenamed({"anchor": "__anchor", "context_key": "__key"})
-    every = F.expr("shiftleft(1L, octet_length(context) - 49) - 1")
-    same = (F.col("anchor") == F.col("__anchor")) & (F.col("context_key") == F.col("__key"))
-    spots = found.select("anchor", "context_key", "doc_id", "row_key", "start", every.alias("every"))
-    placed = spots.join(marks, same).select(
-        "doc_id", "row_key", "start", F.when(F.col("doc_id") > F.col("first"), F.col("every")).otherwise(F.col("mask")).alias("mask"))
-    lists = placed.where("mask <> 0").groupBy("doc_id", "row_key").agg(
+        "anchor long, lead int, context binary, doc_id long, row_key long, start long, hot boolean")
+    cold = found.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+    placed = cold.mapInArrow(_marks, MARK_SQL)
+    if maps.value[1].any():
+        placed = placed.unionByName(_hot_marks(found.where("hot").drop("hot")))
+    lists = placed.groupBy("doc_id", "row_key").agg(
         F.collect_list(F.struct("start", "mask")).alias("marks"))  # bounded by one document
     lists = lists.withColumnsRenamed({"doc_id": "__id", "row_key": "__row"})
     whole = judged.join(lists, (F.col("doc_id") == F.col("__id")) & (F.col("row_key") == F.col("__row")), "left")
