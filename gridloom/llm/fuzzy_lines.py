@@ -128,9 +128,9 @@ def _shared_bands(maps, bits):
     return run
 
 
-def line_set(line: bytes) -> np.ndarray:
+def line_set(line) -> np.ndarray:
     """The sorted shingle hashes of one line, whose text is far smaller on its way than they."""
-    return np.unique(shingle_hashes([line.decode()])[0])
+    return np.unique(shingle_hashes([bytes(line).decode()])[0])
 
 
 def _wanted_lines(batches):

@@ -26,6 +26,7 @@ from .common import as_rows, byte_view, stored, text_bytes
 from .graph import components, local_roots
 from .shingles import Shingler, mixed
 from .token_classes import token_classes
+from .tokens import release
 
 FREQUENT = 64  # documents from which a token is frequent
 PLAIN = 20  # sets up to this size use single tokens only
@@ -55,11 +56,12 @@ class Threshold:
 
 def _summaries(words: int):
     def run(batches):
+        release()
         shingler = Shingler(words)
         for batch in batches:
             data, at = byte_view(batch.column("bytes"))
-            sets = list(shingler.sets(data, at))
-            sums = [[len(s), *(int(mixed(s, salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (1, 2))] for s in sets]
+            sums = [[len(s), *(int(mixed(s, salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (1, 2))]
+                    for s in shingler.sets(data, at)]
             columns = np.array(sums, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c) for c in columns)], ["doc_id", "n_shingles", "f1", "f2"])
@@ -181,8 +183,8 @@ def _set_rows(words: int):
     return run
 
 
-def stored_tokens(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+def stored_tokens(data) -> np.ndarray:
+    return np.frombuffer(data, np.uint64).copy()  # the batch it lies in may go
 
 
 def _verify(threshold: Threshold, decode):
@@ -191,8 +193,9 @@ def _verify(threshold: Threshold, decode):
         hub, sets = None, []
         for batch in batches:
             left, right = [], []
-            for a, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "tokens"))):
-                tokens = decode(tokens)
+            held = batch.column("tokens")
+            for i, (a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b")))):
+                tokens = decode(held[i].as_buffer())
                 if a != hub:
                     hub, sets = a, []
                 if b is None:
@@ -250,14 +253,15 @@ def _verify_blocks(threshold: Threshold, decode):
         key, rows = None, []
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in BLOCK_KEY))
-            for k, side, doc, tokens in zip(keys, *(batch.column(c).to_pylist() for c in ("side", "doc_id", "tokens"))):
+            held = batch.column("tokens")
+            for i, (k, side, doc) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("side", "doc_id")))):
                 if k != key and rows:
                     found = links(rows)
                     rows = []
                     if found is not None:
                         yield found
                 key = k
-                rows.append((side, doc, decode(tokens)))
+                rows.append((side, doc, decode(held[i].as_buffer())))
         found = links(rows) if rows else None
         if found is not None:
             yield found

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from .common import byte_view, spans_of, text_or_empty
+from .tokens import release
 
 BLOCK = 8  # bytes a chunk moves on by; a chunk spans two blocks
 DEPTH = 6  # learned channels per byte
@@ -181,6 +182,7 @@ def held_out(doc_id):
 
 def _score(net: Network):
     def run(batches):
+        release()
         for batch in batches:
             data, at = byte_view(batch.column("text"))
             scores = pa.array(net.scores(data, at)) if len(batch) else pa.array([], pa.float64())
@@ -214,6 +216,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
 
 def _series(net: Network):
     def run(texts: pd.Series) -> pd.Series:
+        release()
         data, at = byte_view(pa.array(texts, pa.large_string()))
         return pd.Series(net.scores(data, at) if len(texts) else [])
 

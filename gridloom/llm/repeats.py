@@ -72,7 +72,8 @@ def segments(codes: np.ndarray):
         if len(long):
             first = np.sort(np.concatenate([first, first[long] + MOST]))
             counts = np.diff(np.append(first, len(place)))
-        out.append((h[place[first]] & ~place_mask, first + begin, counts, first - place[first]))
+        # Smallest hashes crowd at the low end; scrambled, anchors spread evenly.
+        out.append((mixed(h[place[first]] & ~place_mask, 3), first + begin, counts, first - place[first]))
     if not out:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none

@@ -12,7 +12,7 @@ from .common import byte_view
 
 BUCKET_TOKENS = 1 << 21
 MAX_BITS = 27  # at most 16 MB per bitmap
-FLUSH_TOKENS = 1 << 22
+FLUSH_TOKENS = 1 << 20
 
 
 def _token_blocks(source, bucket_bits: int):

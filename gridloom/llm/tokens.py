@@ -14,11 +14,12 @@ import re
 
 import numpy as np
 
-MEMORY = 1_000_000  # parts remembered per worker
+MEMORY = 300_000  # parts per generation; a worker remembers two generations
 LONGEST = 48  # characters of a part that is remembered
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 20
 CALL_PARTS = 4096
 CLOSING = (".", ",")
+SPACES = re.compile(r"\s")
 CUT = re.compile(r" (?=\S)")
 _ENCODERS: dict = {}
 
@@ -50,16 +51,20 @@ class PartEncoder:
         self.count_only = count_only
         self.value = len if count_only else ids_of
         self.total = sum if count_only else b"".join
+        line = self.library.encode("a\nb", add_special_tokens=False).ids
+        self.line_end = line[1] if spaced and len(line) == 3 else None
+        self.line_value = self.value(self.library.encode("\n", add_special_tokens=False))
         self.first: dict = {}  # parts at the start of a text
-        self.later: dict = {}  # parts after a space
+        self.later: dict = {}  # parts after a space, used lately
+        self.earlier: dict = {}  # and those of the generation before
 
     def _learn_heads(self, missing: set) -> None:
-        names = list(missing)
+        names = list(missing)  # one per text at most
         found = self.library.encode_batch(names, add_special_tokens=False)
         self.first.update(zip(names, map(self.value, found)))
 
     def _learn_tails(self, missing: set) -> None:
-        """Many parts in one call; offsets tell whose ids are whose.
+        """Many parts in one call of the library.
 
         A part that is a known word and one closing point or comma is put together from both: a letter
         and what is no letter never share a word of the tokenizer.
@@ -72,22 +77,43 @@ class PartEncoder:
                     names.add(part[:-1])
             else:
                 names.add(part)
-        names = list(names)
+        self._learn_by_lines(names) if self.line_end else self._learn_by_offsets(list(names))
+        closing = {c: self.value(self.library.encode(c, add_special_tokens=False)) for c in CLOSING}
+        for part in joined:
+            self.later[part] = self.later[part[:-1]] + closing[part[-1]]
+
+    def _learn_by_lines(self, names: set) -> None:
+        """One part per line: a line end between words is an id of its own, which tells the parts apart."""
+        plain = [p for p in names if p and not SPACES.search(p, 1 if p[0] == "\n" else 0)]
+        for begin in range(0, len(plain), CALL_PARTS):
+            step = plain[begin:begin + CALL_PARTS]
+            lines = "\n".join([p[1:] if p[0] == "\n" else " " + p for p in step])
+            ids = np.array(self.library.encode(lines, add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            data = ids.tobytes()
+            begins = np.concatenate([[0], ends[:-1] + 1])
+            if self.count_only:
+                values = (ends - begins).tolist()
+            else:
+                values = [data[4 * a:4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+            self.later.update(zip(step, values))
+            self.later.update([(p, self.line_value + self.later[p]) for p in step if p[0] == "\n"])
+        rest = list(names.difference(plain))
+        found = self.library.encode_batch([p if p[:1] == "\n" else " " + p for p in rest], add_special_tokens=False)
+        self.later.update(zip(rest, map(self.value, found)))
+
+    def _learn_by_offsets(self, names: list[str]) -> None:
         for begin in range(0, len(names), CALL_PARTS):
             step = names[begin:begin + CALL_PARTS]
-            texts = [p if p[:1] == "\n" else " " + p for p in step]
-            found = self.library.encode("".join(texts), add_special_tokens=False)
+            found = self.library.encode(" " + " ".join(step), add_special_tokens=False)
             edges = np.searchsorted(
-                np.array([o[0] for o in found.offsets], np.int64), np.cumsum([0, *map(len, texts)]))
+                np.array([o[0] for o in found.offsets], np.int64), np.cumsum([0, *(len(p) + 1 for p in step)]))
             if self.count_only:
                 values = np.diff(edges).tolist()
             else:
                 ids = ids_of(found)
                 values = [ids[a:b] for a, b in zip((4 * edges).tolist(), (4 * edges[1:]).tolist())]
             self.later.update(zip(step, values))
-        closing = {c: self.value(self.library.encode(c, add_special_tokens=False)) for c in CLOSING}
-        for part in joined:
-            self.later[part] = self.later[part[:-1]] + closing[part[-1]]
 
     def _cut(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
@@ -98,30 +124,34 @@ class PartEncoder:
         return CUT.split(text) if self.spaced else text.replace("\n", " ").split(" ")
 
     def _forget(self) -> None:
-        for memory in (self.first, self.later):
-            if len(memory) > MEMORY:
-                memory.clear()
-            for part in [p for p in self.long if p in memory]:
-                del memory[part]
+        """Parts that no recent text used make room; long ones leave at once."""
+        self.first.clear()
+        for part in self.long:
+            self.later.pop(part, None)
+        if len(self.later) > MEMORY:
+            self.earlier, self.later = self.later, {}
 
     def encode(self, texts: list[str]) -> list:
         """The value of every text, in order."""
         cut = [self._cut(t) for t in texts]
-        heads = {parts[0] for parts in cut if parts}
-        tails = set()
-        for parts in cut:
+        self._learn_heads({parts[0] for parts in cut if parts})
+        known = [list(map(self.later.get, parts)) if parts else [] for parts in cut]  # heads are looked up apart
+        gaps = [[i for i, v in enumerate(values) if v is None and i] for values in known]
+        missing = {parts[i] for parts, spots in zip(cut, gaps) for i in spots}
+        again = missing.intersection(self.earlier)
+        self.later.update([(p, self.earlier[p]) for p in again])
+        missing -= again
+        self.long = [p for p in missing if len(p) > LONGEST]
+        self._learn_tails(missing)
+        out = []
+        for text, parts, values, spots in zip(texts, cut, known, gaps):
             if parts:
-                tails.update(set(parts[1:]).difference(self.later))
-        heads.difference_update(self.first)
-        self.long = [p for p in heads | tails if len(p) > LONGEST]
-        self._learn_heads(heads)
-        self._learn_tails(tails)
-        first, later = self.first, self.later.__getitem__
-        out = [
-            self.value(self.library.encode(text, add_special_tokens=False)) if not parts
-            else self.total([first[parts[0]], *map(later, parts[1:])])
-            for text, parts in zip(texts, cut)
-        ]
+                values[0] = self.first[parts[0]]
+                for i in spots:
+                    values[i] = self.later[parts[i]]
+                out.append(self.total(values))
+            else:
+                out.append(self.value(self.library.encode(text, add_special_tokens=False)))
         self._forget()
         return out
 
@@ -137,6 +167,11 @@ class PartEncoder:
         yield from self.encode(step)
 
 
+def release() -> None:
+    """Drop what this worker remembers; operators without a tokenizer call it when a task begins."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str, spaced: bool, count_only: bool = False) -> PartEncoder:
     """The worker's encoder of a tokenizer file."""
     key = (path, spaced, count_only)
