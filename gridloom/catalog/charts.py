@@ -105,10 +105,11 @@ def shares(t):
 for _grain, _unit in (("1d", "day"), ("1w", "week"), ("1mo", "month"), ("1y", "year")):
     @query(f"trend_{_unit}", f"""
     select cast(date_trunc('{_unit}', o_orderdate) as date) as o_orderdate, round(sum(o_totalprice), 2) as o_totalprice
-    from orders where o_orderdate between timestamp '1996-01-01' and timestamp '1998-12-31' group by 1""")
+    from orders {'' if _unit != 'month' else "where o_orderdate between timestamp '1996-01-01' and timestamp '1998-12-31'"}
+    group by 1""")
     def trended(t, grain=_grain):
         span = (datetime.date(1996, 1, 1), datetime.date(1998, 12, 31))
-        rows = apply_filters(t("orders"), {"o_orderdate": span})
+        rows = apply_filters(t("orders"), {"o_orderdate": span}) if grain == "1mo" else t("orders")
         return rounded(trend(rows, "o_orderdate", "o_totalprice", grain=grain), o_totalprice=2)
 
 
@@ -121,9 +122,8 @@ def daily(t):
 select cast(l_shipdate as date) as l_shipdate, round(avg(l_extendedprice) + 0.0000001, 4) as l_extendedprice
 from lineitem group by 1""")
 def auto_mean(t):
-    # The threshold is a parameter, so that every table size takes the aggregated form here.
     # The small shift keeps exact halves (small groups of cent values) off the rounding edge.
-    means = trend(t("lineitem"), "l_shipdate", "l_extendedprice", raw_rows=1000)
+    means = trend(t("lineitem"), "l_shipdate", "l_extendedprice", agg="mean")
     return means.select("l_shipdate", F.round(F.col("l_extendedprice") + 0.0000001, 4).alias("l_extendedprice"))
 
 
@@ -218,7 +218,7 @@ SQL_LINE_HASH = "md5(concat_ws('-', '0', " + ", ".join(f"{c}::varchar" for c in
 @query("scatter_sample", f"""
 select l_quantity, l_extendedprice from lineitem order by {SQL_LINE_HASH}, l_quantity, l_extendedprice limit 20000""")
 def points(t):
-    return scatter(t("lineitem"), "l_quantity", "l_extendedprice", key=LINE_KEY)
+    return scatter(t("lineitem"), "l_quantity", "l_extendedprice", key=LINE_KEY, cap=20_000)
 
 
 @query("sample_cap", f"select * from lineitem order by {SQL_LINE_HASH} limit 50000")

@@ -57,7 +57,7 @@ def log_reg(t):
 
 @query("fit_rf")
 def forest(t):
-    return fitted_on_documents(t, "rf", maxDepth=8)
+    return fitted_on_documents(t, "rf")
 
 
 @query("fit_linear_svc")
@@ -72,7 +72,7 @@ def bayes(t):
 
 @query("fit_mlp")
 def perceptron(t):
-    return fitted_on_vectors(t, "mlp", maxIter=100)
+    return fitted_on_vectors(t, "mlp")
 
 
 @query("fit_gbt")
@@ -87,7 +87,7 @@ def linear(t):
 
 @query("fit_rf_reg")
 def forest_regressor(t):
-    return fitted_on_parts(t, "rf_reg", numTrees=50, maxDepth=8)
+    return fitted_on_parts(t, "rf_reg")
 
 
 @query("fit_gbt_reg")

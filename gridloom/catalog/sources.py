@@ -55,6 +55,13 @@ def csv_sink(t):
     return read_csv(t.spark, path)
 
 
+@query("csv_text_roundtrip", "select doc_id, text from documents")
+def csv_text(t):
+    path = scratch_path(t.spark, "documents-csv")
+    write_csv(t("documents").select("doc_id", "text"), path)
+    return read_csv(t.spark, path)
+
+
 @query("catalog_register", """
 select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total
 from orders where o_totalprice >= 100000 group by o_orderstatus""")

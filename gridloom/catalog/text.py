@@ -52,9 +52,21 @@ def metrics(t):
 VOCABULARY = ["small_widget", "Gizmos", "blue bolt", "gaer", "ring", "p_name", "widgit", "hott"]
 
 
-@query("fuzzy_match")
+SPELLINGS_SQL = ", ".join(
+    f"({i}, '{n}', '{spelled}', {cost})" for i, n in enumerate(VOCABULARY) for spelled, cost in text.spellings(n))
+
+
+@query("fuzzy_match", f"""
+with w as (select distinct p_partkey, word from (
+  select p_partkey, unnest(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) as word from part) where word <> ''),
+d as (select p_partkey, word, place, name, min(cost + levenshtein(word, spelled)) as edits
+  from w, (values {SPELLINGS_SQL}) v(place, name, spelled, cost) group by p_partkey, word, place, name),
+s as (select *, 1 - edits / greatest(length(word), length(name)) as score from d),
+best as (select p_partkey, word, arg_max(name, (score, -place)) as name, max(score) as score from s group by all)
+select distinct p_partkey, name from best where score >= 0.8""")
 def fuzzy(t):
-    return t("part").select("p_partkey", "p_name", text.closest_names(F.col("p_name"), VOCABULARY).alias("names"))
+    found = text.closest_names(F.col("p_name"), VOCABULARY)
+    return t("part").select("p_partkey", F.explode(found).alias("name"))
 
 
 NAMES = ["the on", "n_chars", "Order", "is and", "la de", "und"]

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,22 +88,32 @@ def mentioned(text: Column, names) -> Column:
     return F.transform(F.array(normalize(text)), hits)[0]
 
 
+def spellings(name: str) -> list[tuple[str, int]]:
+    """The lower-case name at cost 0, and with two neighbouring letters swapped at cost 1."""
+    plain = name.lower()
+    swapped = (plain[:i] + plain[i + 1] + plain[i] + plain[i + 2:] for i in range(len(plain) - 1))
+    return [(plain, 0), *((s, 1) for s in dict.fromkeys(swapped) if s != plain)]
+
+
 def closest_names(text: Column, names, cutoff: float = CLOSE_ENOUGH) -> Column:
     """The names closest to the words of the text, in order of first use, without repeats.
 
-    Similarity is the matching-block ratio, which has no built-in form; each worker remembers the
-    words it has seen, so the cost follows the distinct words of a partition and needs no shuffle.
+    Closeness is 1 - edits / length of the longer: inserted, dropped, changed letters and one swap of
+    neighbours are an edit each. A word takes its closest name, the first listed on a tie, if that reaches the cutoff.
     """
-    by_lower = {n.lower(): n for n in names}
-
-    @F.pandas_udf("array<string>")
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        @lru_cache(maxsize=100_000)
-        def closest(word: str):
-            found = difflib.get_close_matches(word, by_lower, n=1, cutoff=cutoff)
-            return by_lower[found[0]] if found else None
-
-        for batch in batches:
-            yield batch.map(lambda ws: list(dict.fromkeys(n for n in map(closest, ws if ws is not None else []) if n)))
-
-    return match(tokens(text))
+    listed = [(i, n, spellings(n)) for i, n in enumerate(names)]
+
+    def score(word: Column, name: str, ways) -> Column:
+        edits = [F.levenshtein(word, F.lit(spelled)) + cost for spelled, cost in ways]
+        longest = F.greatest(F.length(word), F.lit(len(name)))
+        return 1 - (F.least(*edits) if len(edits) > 1 else edits[0]) / longest
+
+    def best(word: Column) -> Column:
+        ranked = F.array(*[
+            F.struct(score(word, n, ways).alias("score"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, n, ways in listed])
+        top = F.array_max(ranked)
+        return F.when(top["score"] >= cutoff, top["name"])
+
+    if not listed:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.transform(tokens(text), best)))

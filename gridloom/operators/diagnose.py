@@ -12,7 +12,6 @@ from .order import quantile_map
 from .profile import cardinality_map, per_column
 
 PATTERN_ROWS = 200
-MAX_LEVELS = 100
 CORRELATION_THRESHOLD = 0.8
 ASSOCIATION_THRESHOLD = 0.3
 
@@ -129,7 +128,10 @@ def correlation_pairs(df: DataFrame, columns=None, threshold: float = CORRELATIO
     return found.where(F.col("value") >= threshold).orderBy(F.desc("value"), "column_a", "column_b")
 
 
-def low_cardinality(df: DataFrame, columns, limit: int = MAX_LEVELS) -> list[str]:
+def low_cardinality(df: DataFrame, columns, limit: int | None = None) -> list[str]:
+    """All columns, or those of at most ``limit`` levels when the caller sets one."""
+    if limit is None:
+        return list(columns)
     levels = cardinality_map(df, columns) if columns else {}
     return [c for c in columns if levels[c] <= limit]
 
@@ -137,7 +139,7 @@ def low_cardinality(df: DataFrame, columns, limit: int = MAX_LEVELS) -> list[str
 def _associations(df: DataFrame, columns) -> DataFrame:
     """Bias-corrected Cramer's V per column pair.
 
-    Pairs of levels are counted in one shuffle; with at most ``MAX_LEVELS`` levels a column the
+    Pairs of levels are counted in one shuffle with map-side sums. For columns of few levels the
     counts are few, so the margins are windows over a small table.
     """
     pairs = list(combinations(columns, 2))
@@ -169,7 +171,7 @@ def _associations(df: DataFrame, columns) -> DataFrame:
     return names.join(sizes, "pair", "left").select("column_a", "column_b", F.coalesce(v, F.lit(0.0)).alias("value"))
 
 
-def association_matrix(df: DataFrame, columns, limit: int = MAX_LEVELS) -> DataFrame:
+def association_matrix(df: DataFrame, columns, limit: int | None = None) -> DataFrame:
     columns = low_cardinality(df, list(columns), limit)
     if len(columns) < 2:
         return _empty_pairs(df)
@@ -179,7 +181,7 @@ def association_matrix(df: DataFrame, columns, limit: int = MAX_LEVELS) -> DataF
     return _mirrored(_associations(df, columns), diagonal)
 
 
-def association_pairs(df: DataFrame, columns, threshold: float = ASSOCIATION_THRESHOLD, limit: int = MAX_LEVELS) -> DataFrame:
+def association_pairs(df: DataFrame, columns, threshold: float = ASSOCIATION_THRESHOLD, limit: int | None = None) -> DataFrame:
     """Category pairs at or above the threshold, strongest first."""
     columns = low_cardinality(df, list(columns), limit)
     if len(columns) < 2:

@@ -13,8 +13,6 @@ from .attach import attach
 from .order import quantiles
 
 HISTOGRAM_BINS = 30
-SCATTER_ROWS = 20_000
-CHART_ROWS = 50_000
 PREFIX_DIGITS = 4
 
 
@@ -127,8 +125,8 @@ def sample_rows(df: DataFrame, cap: int, key, seed: int = 0) -> DataFrame:
     )
 
 
-def scatter(df: DataFrame, x: str, y: str, key, cap: int = SCATTER_ROWS, seed: int = 0) -> DataFrame:
-    """Two numeric columns without missing values, sampled above the cap."""
+def scatter(df: DataFrame, x: str, y: str, key=(), cap: int | None = None, seed: int = 0) -> DataFrame:
+    """Two numeric columns without missing values; with a cap, a sample of so many rows by their key."""
     keys = [c for c in key if c not in (x, y)]
     rows = df.select(col(x), col(y), *[col(k) for k in keys]).where(col(x).isNotNull() & col(y).isNotNull())
-    return sample_rows(rows, cap, key, seed).select(col(x), col(y))
+    return (rows if cap is None else sample_rows(rows, cap, key, seed)).select(col(x), col(y))

@@ -106,11 +106,3 @@ def date_parts(df: DataFrame, c: str) -> DataFrame:
         if isinstance(type_of(df, c), T.StringType) else col(c)
     return add(df, **{f"{c}_year": F.year(d), f"{c}_month": F.month(d), f"{c}_weekday": F.weekday(d) + 1})
 
-
-# The transforms by name, for callers that let a user choose.
-SINGLE = {
-    "log (log1p)": log1p, "square root": square_root, "square": square, "z-score standardize": z_score,
-    "min-max 0-1": min_max, "bins (quantile)": quantile_bins, "one-hot encode": one_hot,
-    "category frequency": frequency, "date parts": date_parts,
-}
-PAIRED = {"ratio": ratio, "product": product, "difference": difference}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from .aggregate import pivot_cross
-from .distribution import CHART_ROWS, sample_rows
 from .order import range_splits, running_totals
 
 CLASS_GAP = 0.1
@@ -101,22 +100,30 @@ def fold_average(scores: DataFrame, by, value: str) -> DataFrame:
     return scores.where(finite).groupBy(*[col(b) for b in by]).agg(F.avg(col(value)).alias(value))
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str, classes) -> DataFrame:
-    """One row per actual class, one column per predicted class, zeros included."""
-    classes = [str(c) for c in classes]
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, classes=None) -> DataFrame:
+    """One row per actual class, one column per predicted class, zeros included.
+
+    Without ``classes`` all labels of both columns are. A label outside given classes raises; a missing one does
+    not count. The matrix has a column per class; ``confusion_counts`` is the long form without a limit.
+    """
+    counts = confusion_counts(df, actual, predicted).where("actual is not null and predicted is not null")
+    found = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct().limit(MAX_CLASSES + 1).collect()
+    found = sorted(r["c"] for r in found)
+    classes = found if classes is None else [str(c) for c in classes]
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes; too many for a matrix")
-    table = pivot_cross(confusion_counts(df, actual, predicted).withColumnRenamed("n", "__n"),
+    if not set(found) <= set(classes):
+        raise ValueError(f"labels outside the classes: {sorted(set(found) - set(classes))[:10]}")
+    table = pivot_cross(counts.withColumnRenamed("n", "__n"),
                         "actual", "predicted", "__n", "sum", levels=classes)
     every = df.sparkSession.createDataFrame([(c,) for c in classes], "actual string")
     filled = every.join(table, "actual", "left")
     return filled.select("actual", *[F.coalesce(col(c), F.lit(0)).cast("long").alias(c) for c in classes])
 
 
-def prediction_pairs(df: DataFrame, actual: str, predicted: str, key, cap: int = CHART_ROWS) -> DataFrame:
-    """Actual against predicted, sampled above the cap."""
-    pairs = df.select(*[col(k) for k in key], col(actual).alias("actual"), col(predicted).alias("predicted"))
-    return sample_rows(pairs, cap, key).select("actual", "predicted")
+def prediction_pairs(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Actual against predicted, every row."""
+    return df.select(col(actual).alias("actual"), col(predicted).alias("predicted"))
 
 
 def group_class_metrics(df: DataFrame, actual: str, predicted: str, group: str) -> DataFrame:

@@ -140,13 +140,13 @@ class ModelSpec:
 
 CLASSIFIERS = {s.name: s for s in (
     ModelSpec("log_reg", "classification", lambda d, k, p: _scaled(
-        LogisticRegression(featuresCol="scaled", **{"maxIter": 1000, "regParam": 1e-3, "tol": 1e-4, **p}))),
+        LogisticRegression(featuresCol="scaled", **{"maxIter": 1000, "tol": 1e-4, **p}))),
     ModelSpec("rf", "classification", lambda d, k, p: [
         RandomForestClassifier(**{"numTrees": 200, "maxDepth": 15, "seed": SEED, **p})]),
     ModelSpec("knn", "classification", lambda d, k, p: _scaled(
         NearestNeighbors(featuresCol="scaled", **{"numClasses": max(k, 2), **p}))),
     ModelSpec("svm", "classification", lambda d, k, p: _scaled(
-        _binary_or_rest(LinearSVC(featuresCol="scaled", **{"maxIter": 100, "regParam": 1e-3, "tol": 1e-3, **p}), k))),
+        _binary_or_rest(LinearSVC(featuresCol="scaled", **{"maxIter": 100, "tol": 1e-3, **p}), k))),
     ModelSpec("nb", "classification", lambda d, k, p: [NaiveBayes(**{"modelType": "gaussian", **p})]),
     ModelSpec("mlp", "classification", lambda d, k, p: _scaled(MultilayerPerceptronClassifier(
         featuresCol="scaled", **{"layers": [d, 100, max(k, 2)], "maxIter": 1000, "seed": SEED, **p}))),
@@ -162,6 +162,7 @@ REGRESSORS = {s.name: s for s in (
         GBTRegressor(**{"maxIter": 300, "stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "seed": SEED, **p})]),
 )}
 MODELS = {**CLASSIFIERS, **REGRESSORS}
+PENALIZED = ("log_reg", "svm")
 
 
 def candidates(task: str, rows: int, features: int, categorical: int) -> list[ModelSpec]:
@@ -179,11 +180,20 @@ def candidates(task: str, rows: int, features: int, categorical: int) -> list[Mo
     return [s for s in pool.values() if s.name not in skipped]
 
 
-def training_rows(df: DataFrame) -> DataFrame:
+def training_rows(df: DataFrame) -> tuple[DataFrame, int]:
     """Features and label, written once: iterative fits then read compact rows with a short lineage
-    that survives lost executors. Small tables go into few tasks, as every iteration is a job."""
+    that survives lost executors. Small tables go into few tasks, as every iteration is a job.
+    The number of rows comes with them."""
     rows = checkpointed(df.select("features", "label"))
-    return rows.coalesce(max(1, rows.count() // ROWS_PER_TASK))
+    count = rows.count()
+    return rows.coalesce(max(1, count // ROWS_PER_TASK)), count
+
+
+def _fitted(spec: ModelSpec, size: int, classes: int, params: dict, rows: DataFrame) -> PipelineModel:
+    rows, count = training_rows(rows)
+    if spec.name in PENALIZED:  # a unit penalty on the sum of losses, as Spark divides that sum by the rows
+        params = {"regParam": 1 / max(1, count), **params}
+    return Pipeline(stages=spec.stages(size, classes, params)).fit(rows)
 
 
 def fit_model(train: DataFrame, spec: ModelSpec, features=None, label: str = "label", classes: int = 0, **params) -> PipelineModel:
@@ -195,11 +205,9 @@ def fit_model(train: DataFrame, spec: ModelSpec, features=None, label: str = "la
     rows = train.withColumn("label", col(label).cast("double")).where(F.col("label").isNotNull())
     if features is None:
         size = len(rows.select(vector_to_array("features").alias("f")).first()["f"])
-        return Pipeline(stages=spec.stages(size, classes, params)).fit(training_rows(rows))
+        return _fitted(spec, size, classes, params, rows)
     encoder = feature_encoder(rows, list(features)).fit(rows)
-    fitted = Pipeline(stages=spec.stages(len(encoder.feature_names()), classes, params)).fit(
-        training_rows(encoder.transform(rows))
-    )
+    fitted = _fitted(spec, len(encoder.feature_names()), classes, params, encoder.transform(rows))
     return PipelineModel([encoder, *fitted.stages])
 
 

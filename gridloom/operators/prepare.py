@@ -86,10 +86,21 @@ def target_classes(df: DataFrame, target: str) -> list[str]:
 
 
 def encode_target(df: DataFrame, target: str, classes=None) -> DataFrame:
-    """Add ``<target>_code``: position of the label among the sorted labels."""
-    classes = target_classes(df, target) if classes is None else list(classes)
-    position = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target).cast("string"))
-    return df.withColumn(f"{target}_code", F.when(col(target).isNotNull(), (position - 1).cast("int")))
+    """Add ``<target>_code``: position of the label among the sorted labels, or among given ones.
+
+    A missing label, or one that is not among given ones, has no code. The labels may be any number.
+    """
+    name = f"{target}_code"
+    rows = df.withColumn("__label", col(target).cast("string"))
+    if classes is not None:
+        given = df.sparkSession.createDataFrame([(str(c), i) for i, c in enumerate(classes)], "__given string, __code int")
+        found = rows.join(F.broadcast(given), F.col("__label") == F.col("__given"), "left")  # as large as the caller's list
+        return found.select(*[col(c) for c in df.columns if c != name], F.col("__code").alias(name))
+    counts = rows.groupBy("__label").agg(F.count(F.lit(1)).alias("__rows"))
+    codes = level_codes(counts.where("__label is not null"), "__label").select("__label", "__rows", F.col("code").cast("int"))
+    missing = counts.where("__label is null").withColumn("code", F.lit(None).cast("int"))
+    coded = attach(rows, codes.unionByName(missing), ["__label"], rows="__rows")
+    return coded.select(*[col(c) for c in df.columns if c != name], F.col("code").alias(name))
 
 
 def ordinal_encode(df: DataFrame, columns=None, medians: bool = True) -> DataFrame:

@@ -69,13 +69,19 @@ def describe_numeric(df: DataFrame, columns=None) -> DataFrame:
 def describe_categorical(df: DataFrame, columns=None) -> DataFrame:
     """count, unique, top and freq per text column; the smallest value wins a tie."""
     columns = string_columns(df) if columns is None else list(columns)
-    counted = value_counts(df, columns).where(F.col("value").isNotNull())
-    return counted.groupBy("column").agg(
-        F.sum("n").alias("count"),
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, count long, unique long, top string, freq long")
+    some = F.col("value").isNotNull()
+    found = value_counts(df, columns).groupBy("column").agg(
+        F.sum(F.when(some, F.col("n")).otherwise(0)).alias("count"),
         F.count("value").alias("unique"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
-        F.max("n").alias("freq"),
+        F.min_by("value", F.when(some, F.struct(-F.col("n"), F.col("value")))).alias("top"),
+        F.max(F.when(some, F.col("n"))).alias("freq"),
     )
+    labels = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")  # also those without a row
+    return labels.join(found, F.col("name") == F.col("column"), "left").select(
+        F.col("name").alias("column"), F.coalesce("count", F.lit(0)).alias("count"),
+        F.coalesce("unique", F.lit(0)).alias("unique"), "top", "freq")
 
 
 def top_values(df: DataFrame, columns=None, limit: int = 5) -> DataFrame:
@@ -118,7 +124,7 @@ def year_like(df: DataFrame) -> DataFrame:
     return found.withColumn("is_year", F.col("is_year").cast("boolean"))
 
 
-def filter_domains(df: DataFrame, max_numeric: int = 15) -> DataFrame:
+def filter_domains(df: DataFrame, max_numeric: int | None = None) -> DataFrame:
     """Smallest and largest value of date and numeric columns; constant and year columns are left out."""
     years = {r["column"] for r in year_like(df).where("is_year").collect()}
     dates = [f.name for f in df.schema.fields if is_temporal(f.dataType)]

@@ -10,7 +10,6 @@ from ..functions.columns import col, is_missing, is_temporal, to_moment, type_of
 from .aggregate import measure
 from .filters import drop_missing
 
-RAW_TREND_ROWS = 50_000
 # The accepted grains and the unit each truncates to.
 GRAINS = {"1d": "day", "1w": "week", "1mo": "month", "1y": "year"}
 
@@ -28,12 +27,11 @@ def _over(df: DataFrame, x: Column, date: str, metric: str, agg: str | None) ->
     )
 
 
-def trend(df: DataFrame, date: str, metric: str, agg: str | None = None, grain: str | None = None,
-          raw_rows: int = RAW_TREND_ROWS) -> DataFrame:
+def trend(df: DataFrame, date: str, metric: str, agg: str | None = None, grain: str | None = None) -> DataFrame:
     """Metric over a date, timestamp or text date column, in date order.
 
     With a grain: bucketed, summed unless told otherwise. Without one, an aggregate is per day.
-    With neither, rows pass through unless there are more than ``raw_rows``: then the mean per day.
+    With neither, rows pass through, however many there are.
     """
     dtype = type_of(df, date)
     if isinstance(dtype, T.StringType):
@@ -42,9 +40,7 @@ def trend(df: DataFrame, date: str, metric: str, agg: str | None = None, grain:
         raise ValueError(f"{date} is neither a date nor text")
     rows = df.select(col(date), col(metric)).where(col(date).isNotNull() & col(metric).isNotNull())
     if not agg and not grain:
-        if rows.limit(raw_rows + 1).count() <= raw_rows:
-            return raw_trend(df, date, metric)
-        agg = "mean"
+        return raw_trend(df, date, metric)
     return _over(rows, bucket(col(date), grain or "1d"), date, metric, agg)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,10 +53,19 @@ class Datasets:
         return f"{self.workspace}/{safe_name(name)}.parquet"
 
     def save(self) -> None:
+        """Write every set to a fresh folder, then point its name there: a set may be read from its old folder.
+
+        The pointer is a one-row table that names the folder; it is replaced last. Old folders stay, as
+        other frames may read them.
+        """
         for name in self._names:
-            self.get(name).write.mode("overwrite").parquet(self._path(name))
+            folder = f"data-{uuid.uuid4().hex}"
+            self.get(name).write.parquet(f"{self._path(name)}/{folder}")
+            pointer = self.spark.createDataFrame([(folder,)], "folder string").coalesce(1)
+            pointer.write.mode("overwrite").parquet(f"{self._path(name)}/current")
 
     def load(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self._path(name))
+        folder = self.spark.read.parquet(f"{self._path(name)}/current").first()["folder"]
+        df = self.spark.read.parquet(f"{self._path(name)}/{folder}")
         self.add(name, df)
         return df

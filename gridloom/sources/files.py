@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from ..functions.columns import ISO_DATE_PATTERN, ISO_TIMESTAMP_PATTERN, col
 
-SCHEMA_SAMPLE_ROWS = 10_000
-# Tried in order; the first type that every sampled value fits is taken.
+# Quotes inside quoted text are doubled; blanks and the empty text stay as they are.
+TEXT_RULES = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": '""',
+}
+# Tried in order; the first type that every value fits is taken.
 CSV_TYPES = (
     ("integer", r"^[+-]?\d{1,18}$", T.LongType()),
     ("number", r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|nan))$", T.DoubleType()),
@@ -19,10 +22,15 @@ CSV_TYPES = (
 )
 
 
-def csv_schema(spark: SparkSession, path: str, sample_rows: int = SCHEMA_SAMPLE_ROWS) -> T.StructType:
-    """Types from the first rows only, so a large file is not read twice."""
-    raw = spark.read.option("header", True).csv(path)
-    head = raw.limit(sample_rows)
+def _reader(spark: SparkSession, multiline: bool):
+    # An unquoted empty field is missing, a quoted one is the empty text: so missing needs a mark of its own.
+    return spark.read.options(**{**TEXT_RULES, "emptyValue": "", "nullValue": "\0", "multiLine": multiline})
+
+
+def csv_schema(spark: SparkSession, path: str, sample_rows: int | None = None, multiline: bool = True) -> T.StructType:
+    """Types that every value fits, from one pass; ``sample_rows`` reads the first rows alone."""
+    raw = _reader(spark, multiline).csv(path)
+    head = raw if sample_rows is None else raw.limit(sample_rows)
     checks = []
     for i, name in enumerate(raw.columns):
         checks.append(F.count(col(name)).alias(f"n{i}"))
@@ -36,13 +44,14 @@ def csv_schema(spark: SparkSession, path: str, sample_rows: int = SCHEMA_SAMPLE_
     return T.StructType(fields)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header; a later value that breaks the inferred type raises instead of vanishing."""
-    schema = schema or csv_schema(spark, path)
-    return (
-        spark.read.option("header", True).option("mode", "FAILFAST")
-        .option("nanValue", "NaN").schema(schema).csv(path)
-    )
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+    """CSV with a header; a value that breaks its column's type raises instead of vanishing.
+
+    Quoted text may hold line ends; then a file is one task. Without such text, ``multiline=False`` splits
+    large files.
+    """
+    schema = schema or csv_schema(spark, path, multiline=multiline)
+    return _reader(spark, multiline).option("mode", "FAILFAST").option("nanValue", "NaN").schema(schema).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +74,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """One part file per partition; nothing is gathered on the driver."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**TEXT_RULES).csv(path)
 
 
 def convert(spark: SparkSession, source: str, target: str, mode: str = "error") -> None:

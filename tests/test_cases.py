@@ -11,11 +11,13 @@ from gridloom.functions.columns import to_flag, to_number
 from gridloom.operators import clean, engineer, metrics, prepare
 from gridloom.operators.aggregate import compare, pivot_cross
 from gridloom.operators.diagnose import (
+    association_matrix,
     association_pairs, correlation_matrix, correlation_pairs, duplicate_report, missing_report, outlier_report,
 )
 from gridloom.operators.distribution import boxplot, histogram, nice_step, sample_rows, scatter
 from gridloom.operators.filters import apply_filters, apply_question_filters
-from gridloom.operators.profile import cardinality_map, convertible_text, top_values
+from gridloom.operators.prepare import encode_target
+from gridloom.operators.profile import cardinality_map, convertible_text, describe_categorical, filter_domains, top_values
 from gridloom.operators.roles import chart_roles, fairness_column, model_roles, pick_category, pick_metric
 from gridloom.operators.trend import melt_years, text_trend, trend
 from gridloom.operators.understand import (
@@ -95,9 +97,10 @@ def test_nice_steps():
 
 def test_scatter_cap_and_repeatability(spark):
     df = spark.range(25_000).select("id", F.col("id").cast("double").alias("aaa"), (F.col("id") * 2.0).alias("bbb"))
-    first = scatter(df, "aaa", "bbb", ["id"])
+    assert scatter(df, "aaa", "bbb").count() == 25_000
+    first = scatter(df, "aaa", "bbb", ["id"], cap=20_000)
     assert first.count() == 20_000
-    assert rows(first) == rows(scatter(df.repartition(13), "aaa", "bbb", ["id"]))
+    assert rows(first) == rows(scatter(df.repartition(13), "aaa", "bbb", ["id"], cap=20_000))
     assert sample_rows(df, 30_000, ["id"]).count() == 25_000
 
 
@@ -105,12 +108,13 @@ def test_trend_aggregates_large_inputs(spark):
     df = spark.range(60_000).select(
         F.expr("date_add(date'2024-01-01', cast(id % 30 as int))").alias("date"), (F.col("id") % 30).cast("double").alias("sales")
     )
-    points = trend(df, "date", "sales").collect()
+    assert trend(df, "date", "sales").count() == 60_000  # raw rows pass, however many
+    points = trend(df, "date", "sales", agg="mean").collect()
     assert len(points) == 30 and all(r["sales"] == r["date"].day - 1 for r in points)
     minutes = spark.range(60_000).select(
         F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int))").alias("pickup_time"), F.lit(1.0).alias("fare")
     )
-    assert trend(minutes, "pickup_time", "fare").count() <= 45
+    assert trend(minutes, "pickup_time", "fare", agg="mean").count() <= 45
 
 
 def test_trend_months_and_raw(spark):
@@ -291,7 +295,6 @@ def test_engineered_columns(spark):
     assert one(engineer.min_max(df, "a"), "a_01") == [0.0, 0.375, 1.0]
     assert one(engineer.quantile_bins(df, "a", 2), "a_bin") == ["(-inf, 4]", "(-inf, 4]", "(4, inf]"]
     assert one(engineer.one_hot(df, "cat"), "cat_x") == [1, 1, 0]
-    assert set(engineer.SINGLE) and set(engineer.PAIRED) == {"ratio", "product", "difference"}
 
 
 def test_division_and_logarithm_edges(spark):
@@ -399,7 +402,26 @@ def test_csv_types_and_conversion(spark):
         read_table(spark, "table.xlsx")
 
 
-def test_csv_value_beyond_the_sample_raises(spark):
+def test_csv_text_comes_back_unchanged(spark):
+    odd = [" lead", "trail ", "", None, 'say "hi", ok', "two\nlines", "a,b", "\\", '"', "tab\t", "NaN", "é"]
+    src = spark.createDataFrame(list(enumerate(odd)), "i long, s string")
+    path = scratch_path(spark, "odd-text")
+    write_csv(src, path)
+    assert rows(read_csv(spark, path)) == rows(src)
+    plain = scratch_path(spark, "plain") + ".csv"
+    spark.createDataFrame([('"i","s"',), ('1,"say ""hi"", ok"',)], "value string").coalesce(1).write.text(plain)
+    assert rows(read_csv(spark, plain)) == [(1, 'say "hi", ok')]
+
+
+def test_csv_types_come_from_every_row(spark):
+    path = scratch_path(spark, "late-type")
+    values = spark.range(10_001).selectExpr("if(id = 10000, '1.5', cast(id as string)) as v").coalesce(1)
+    write_csv(values, path)
+    back = read_csv(spark, path)
+    assert back.schema.simpleString() == "struct<v:double>" and back.agg(F.max("v"), F.count("v")).first()[:] == (9999.0, 10_001)
+
+
+def test_csv_value_that_breaks_a_given_type_raises(spark):
     path = scratch_path(spark, "late")
     write_csv(spark.createDataFrame([("1",), ("x",)], "v string").coalesce(1), path)
     from pyspark.sql import types as T
@@ -415,3 +437,27 @@ def test_dataset_store(spark):
     store.save()
     store.remove("sales")
     assert store.names() == ["sales (cleaned)"] and store.load("sales").count() == 3
+    store.save()  # a set that is read from its own folder
+    assert store.get("sales").count() == 3 and store.load("sales").count() == 3
+    store.add("sales", store.get("sales").where("id > 0"))
+    store.save()
+    assert store.get("sales").count() == 2 and store.load("sales").count() == 2
+
+
+def test_confusion_matrix_keeps_every_label(spark):
+    df = spark.createDataFrame([("a", "z"), ("q", "a"), ("a", "a"), (None, "a")], "y string, p string")
+    table = {r["actual"]: r.asDict() for r in metrics.confusion_matrix(df, "y", "p").collect()}
+    assert set(table) == {"a", "q", "z"} and (table["a"]["z"], table["q"]["a"], table["a"]["a"]) == (1, 1, 1)
+    with pytest.raises(ValueError):
+        metrics.confusion_matrix(df, "y", "p", ["a", "q"])
+
+
+def test_nothing_is_left_out_by_size(spark):
+    wide = spark.range(3).select(*[(F.col("id") * 1.5 + i).alias(f"v{i}") for i in range(20)])
+    assert filter_domains(wide).count() == 20
+    texts = spark.createDataFrame([("x", None), ("x", None)], "a string, b string")
+    assert rows(describe_categorical(texts)) == [("a", 2, 1, "x", 2), ("b", 0, 0, None, None)]
+    levels = spark.range(400).selectExpr("cast(id % 150 as string) as many", "cast(id % 3 as string) as few")
+    assert association_matrix(levels, ["many", "few"]).count() == 4
+    coded = encode_target(spark.range(20_000).selectExpr("lpad(cast(id as string), 6, '0') as y"), "y")
+    assert coded.agg(F.count_distinct("y_code"), F.max("y_code")).first()[:] == (20_000, 19_999)
