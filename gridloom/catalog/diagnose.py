@@ -48,14 +48,14 @@ def outlier_sql(table: str, column: str) -> str:
       select quantile_cont({column}::double, 0.25) as q1, quantile_cont({column}::double, 0.75) as q3 from {table}))"""
 
 
-@query("outlier_report", outlier_sql("events", "value") + " union all " + outlier_sql("events", "user_id"))
+@query("outlier_report", " union all ".join(outlier_sql("events", c) for c in ("event_id", "user_id", "value")))
 def outliers(t):
-    return rounded(outlier_report(t("events"), ["value", "user_id"]), lower=6, upper=6, outlier_pct=6)
+    return rounded(outlier_report(t("events")), lower=6, upper=6, outlier_pct=6)
 
 
-@query("outlier_report_orders", outlier_sql("orders", "o_totalprice") + " union all " + outlier_sql("orders", "o_custkey"))
+@query("outlier_report_orders", " union all ".join(outlier_sql("orders", c) for c in ("o_orderkey", "o_custkey", "o_totalprice")))
 def order_outliers(t):
-    return rounded(outlier_report(t("orders"), ["o_totalprice", "o_custkey"]), lower=6, upper=6, outlier_pct=6)
+    return rounded(outlier_report(t("orders")), lower=6, upper=6, outlier_pct=6)
 
 
 def priced_lines(t):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col, is_missing, numeric_columns
@@ -12,6 +13,7 @@ from .order import quantile_map
 from .profile import cardinality_map, per_column
 
 PATTERN_ROWS = 200
+PAIRS_AT_ONCE = 60
 CORRELATION_THRESHOLD = 0.8
 ASSOCIATION_THRESHOLD = 0.3
 
@@ -74,19 +76,23 @@ def outlier_report(df: DataFrame, columns=None, reach: float = 1.5) -> DataFrame
 def _pair_correlation(df: DataFrame, pairs) -> DataFrame:
     """Absolute correlation of column pairs over rows where both are present.
 
-    Pairs are rows of one map-side combined aggregation, so the code stays small for wide tables.
-    Written out because the built-in ``corr`` raises on a column without variance.
+    Many pairs share a wide aggregation, whose code stays small as it holds ``PAIRS_AT_ONCE`` at most. Written out because the built-in ``corr`` raises on a column without variance.
     """
     names = sorted({c for pair in pairs for c in pair})
     at = {c: f"__v{i}" for i, c in enumerate(names)}
     values = df.select(*[as_double(df, c).alias(at[c]) for c in names])
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y")) for i, (a, b) in enumerate(pairs)
-    ])
-    both = values.select(F.inline(entries)).where("x is not null and y is not null")
-    moments = both.groupBy("pair").agg(
-        F.covar_pop("x", "y").alias("c"), (F.stddev_pop("x") * F.stddev_pop("y")).alias("s")
-    )
+
+    def moments_of(i: int) -> Column:
+        x, y = (F.col(at[c]) for c in pairs[i])
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.struct(F.lit(i).alias("pair"), F.covar_pop(x, y).alias("c"), spread.alias("s")).alias(f"__p{i}")
+
+    parts = []
+    for first in range(0, len(pairs), PAIRS_AT_ONCE):
+        chunk = range(first, min(first + PAIRS_AT_ONCE, len(pairs)))
+        wide = values.agg(*[moments_of(i) for i in chunk])
+        parts.append(wide.select(F.inline(F.array(*[F.col(f"__p{i}") for i in chunk]))))
+    moments = reduce(DataFrame.unionByName, parts)
     value = F.abs(F.try_divide("c", "s"))
     labels = df.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"

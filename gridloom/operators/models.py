@@ -180,19 +180,17 @@ def candidates(task: str, rows: int, features: int, categorical: int) -> list[Mo
     return [s for s in pool.values() if s.name not in skipped]
 
 
-def training_rows(df: DataFrame) -> tuple[DataFrame, int]:
+def training_rows(df: DataFrame) -> DataFrame:
     """Features and label, written once: iterative fits then read compact rows with a short lineage
-    that survives lost executors. Small tables go into few tasks, as every iteration is a job.
-    The number of rows comes with them."""
+    that survives lost executors. Small tables go into few tasks, as every iteration is a job."""
     rows = checkpointed(df.select("features", "label"))
-    count = rows.count()
-    return rows.coalesce(max(1, count // ROWS_PER_TASK)), count
+    return rows.coalesce(max(1, rows.count() // ROWS_PER_TASK))
 
 
 def _fitted(spec: ModelSpec, size: int, classes: int, params: dict, rows: DataFrame) -> PipelineModel:
-    rows, count = training_rows(rows)
+    rows = training_rows(rows)
     if spec.name in PENALIZED:  # a unit penalty on the sum of losses, as Spark divides that sum by the rows
-        params = {"regParam": 1 / max(1, count), **params}
+        params = {"regParam": 1 / max(1, rows.count()), **params}
     return Pipeline(stages=spec.stages(size, classes, params)).fit(rows)
 
 

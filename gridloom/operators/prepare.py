@@ -109,6 +109,12 @@ def ordinal_encode(df: DataFrame, columns=None, medians: bool = True) -> DataFra
     columns = df.columns if columns is None else list(columns)
     numeric = [c for c in columns if is_numeric(type_of(df, c))]
     fills = quantile_map(df, numeric, [0.5]) if numeric and medians else {}
+    text = [c for c in columns if c not in numeric]
+    if text:  # the levels of all columns from one pass over the source
+        levels = checkpointed(df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("__at"), F.coalesce(col(c).cast("string"), F.lit("nan")).alias("__level"))
+            for i, c in enumerate(text)
+        ]))).groupBy("__at", "__level").agg(F.count(F.lit(1)).alias("__rows")))
     out = df
     for c in columns:
         if c in numeric:
@@ -116,7 +122,7 @@ def ordinal_encode(df: DataFrame, columns=None, medians: bool = True) -> DataFra
             out = out.withColumn(c, F.coalesce(as_double(df, c), F.lit(fill)))
             continue
         out = out.withColumn(c, F.coalesce(col(c).cast("string"), F.lit("nan")))
-        counts = out.groupBy(col(c).alias("__level")).agg(F.count(F.lit(1)).alias("__rows"))
+        counts = levels.where(F.col("__at") == text.index(c)).drop("__at")
         codes = level_codes(counts, "__level").withColumnRenamed("__level", c)
         coded = attach(out, codes, [c], rows="__rows")
         out = coded.select(*[F.col("code").cast("double").alias(c) if x == c else col(x) for x in out.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from .order import quantiles
 
 CONVERTIBLE_SHARE = 0.6
 YEAR_RANGE = (1800, 2100)
+COLUMNS_AT_ONCE = 40
 
 
 def per_column(df: DataFrame, columns, measures: dict) -> DataFrame:
@@ -24,6 +27,9 @@ def per_column(df: DataFrame, columns, measures: dict) -> DataFrame:
     columns = list(columns)
     if not columns:
         return df.limit(0).select(F.lit("").alias("column"), *[F.lit(None).alias(label) for label in measures])
+    if len(columns) > COLUMNS_AT_ONCE:  # each aggregation reads its own columns; its code stays small
+        chunks = [columns[i:i + COLUMNS_AT_ONCE] for i in range(0, len(columns), COLUMNS_AT_ONCE)]
+        return reduce(DataFrame.unionByName, [per_column(df, chunk, measures) for chunk in chunks])
     wide = df.agg(*[
         F.struct(*[make(c).alias(label) for label, make in measures.items()]).alias(f"__{i}")
         for i, c in enumerate(columns)
@@ -52,14 +58,14 @@ def convertible_text(df: DataFrame, columns=None, share: float = CONVERTIBLE_SHA
 
 def describe_numeric(df: DataFrame, columns=None) -> DataFrame:
     columns = numeric_columns(df) if columns is None else list(columns)
-    # Rows of (column, value) keep the aggregation code small however many columns there are.
-    entries = F.array(*[F.struct(F.lit(i).alias("at"), as_double(df, c).alias("v")) for i, c in enumerate(columns)])
-    basic = df.select(F.inline(entries)).groupBy("at").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"),
-    )
-    labels = df.sparkSession.createDataFrame(list(enumerate(columns)), "at int, column string")
-    basic = labels.join(basic, "at", "left").drop("at").fillna(0, ["count"])
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, count long, " + ", ".join(
+            f"{c} double" for c in ("mean", "std", "min", "max", "q25", "q50", "q75")))
+    basic = per_column(df, columns, {
+        "count": lambda c: F.count(as_double(df, c)), "mean": lambda c: F.avg(as_double(df, c)),
+        "std": lambda c: F.stddev_samp(as_double(df, c)), "min": lambda c: F.min(as_double(df, c)),
+        "max": lambda c: F.max(as_double(df, c)),
+    })
     quarters = quantiles(df, columns, [0.25, 0.5, 0.75]).select(
         "column", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75")
     )
@@ -143,15 +149,21 @@ def filter_domains(df: DataFrame, max_numeric: int | None = None) -> DataFrame:
     return spans.where((F.col("number_low") < F.col("number_high")) | (F.col("date_low") < F.col("date_high")))
 
 
+def _level(df: DataFrame, c: str) -> Column:
+    return as_double(df, c) if isinstance(type_of(df, c), (T.FloatType, T.DoubleType)) else col(c)
+
+
 def cardinality(df: DataFrame, columns=None) -> DataFrame:
     """Distinct non-missing values per column."""
     columns = df.columns if columns is None else list(columns)
+    return per_column(df, columns, {"n_distinct": lambda c: F.count_distinct(_level(df, c))})
 
-    def level(c: str) -> Column:
-        dtype = type_of(df, c)
-        return as_double(df, c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else col(c)
 
-    return per_column(df, columns, {"n_distinct": lambda c: F.count_distinct(level(c))})
+def varying(df: DataFrame, columns=None) -> list[str]:
+    """The columns with more than one non-missing value, without counting them."""
+    columns = df.columns if columns is None else list(columns)
+    found = per_column(df, columns, {"varies": lambda c: F.min(_level(df, c)) < F.max(_level(df, c))})
+    return [r["column"] for r in found.where("varies").collect()]
 
 
 def cardinality_map(df: DataFrame, columns=None) -> dict[str, int]:

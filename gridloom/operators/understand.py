@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.columns import FRACTIONAL, as_double, col, is_numeric, numeric_columns, type_of
 from .diagnose import _empty_pairs, _pair_correlation
 from .information import mutual_information
-from .profile import cardinality_map, per_column
+from .profile import cardinality_map, per_column, varying
 from .roles import model_roles
 
 CLASS_LIMIT = 20
@@ -25,8 +25,8 @@ def infer_target(df: DataFrame, hint: str | None = None) -> str | None:
     """The hinted column, else the last one that is no identifier and varies; alone it is ambiguous."""
     if hint and hint in df.columns:
         return hint
-    levels = cardinality_map(df)
-    usable = [c for c in reversed(df.columns) if levels[c] > 1 and "id" not in c.lower()]
+    several = set(varying(df))
+    usable = [c for c in reversed(df.columns) if c in several and "id" not in c.lower()]
     return usable[0] if len(usable) > 1 else None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session that names none gets a temporary one; a cluster session must name it.
+    Only a session of one machine without executors of its own gets a temporary one if it names none.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     named = tempfile.mkdtemp(prefix="gridloom-")
     spark.sparkContext.setCheckpointDir(named)
