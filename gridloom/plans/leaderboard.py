@@ -15,6 +15,8 @@ from ..operators.models import ModelSpec, fit_model, with_score
 from ..operators.split import kfold, stratified_kfold, time_folds
 
 LOG = logging.getLogger(__name__)
+# What errors of lost machines, not of a model, say.
+INFRASTRUCTURE = ("ExecutorLostFailure", "OutOfMemoryError", "No space left", "SparkContext was shut down", "FetchFailed")
 SCORE_SCHEMA = "model string, fold int, metric string, value double"
 BUCKET_ROWS = 50_000
 TOP_IMPORTANCES = 15
@@ -60,20 +62,26 @@ def cross_validate(folded: DataFrame, spec: ModelSpec, features, label: str, cla
 
 def leaderboard(df: DataFrame, specs, features, label: str, key, classes: int = 0, folds: int = 3,
                 time: str | None = None, parallel: int = 2, params: dict | None = None) -> DataFrame:
-    """Mean metrics of every candidate that could be fitted, best first, with its place.
+    """Mean metrics of every candidate, best first, with its place.
 
-    Classes rank by roc_auc, else f1, else accuracy; numbers by the smallest rmse.
+    Classes rank by roc_auc, else f1, else accuracy; numbers by the smallest rmse. A candidate that cannot
+    be fitted on this table comes last with its ``error``; a lost executor or a full memory or disk is raised.
     """
     specs, params = list(specs), params or {}
     task = specs[0].task
     wanted = [c for c in dict.fromkeys([*(features or ["features"]), label, *key, *([time] if time else [])])]
     folded = assign_folds(df.select(*[col(c) for c in wanted]), label, task, key, folds, time).persist()
 
+    errors: dict[str, str] = {}
+
     def attempt(spec: ModelSpec) -> list[tuple]:
         try:
             return cross_validate(folded, spec, features, label, classes, folds, bool(time), **params.get(spec.name, {}))
         except Exception as error:  # a model that cannot handle this table must not end the comparison
-            LOG.warning("%s skipped: %s", spec.name, error)
+            if any(sign in str(error) for sign in INFRASTRUCTURE):
+                raise
+            LOG.warning("%s failed: %s", spec.name, error)
+            errors[spec.name] = str(error)[:500]
             return []
 
     try:
@@ -85,7 +93,9 @@ def leaderboard(df: DataFrame, specs, features, label: str, key, classes: int =
         ["rmse", "mae", "r2", "mape"]
     means = fold_average(df.sparkSession.createDataFrame(rows, SCORE_SCHEMA), ["model", "metric"], "value")
     table = means.groupBy("model").pivot("metric", names).agg(F.first("value"))
-    first = F.coalesce("roc_auc", "f1", "accuracy").desc() if task == "classification" else F.col("rmse").asc()
+    entered = df.sparkSession.createDataFrame([(s.name, errors.get(s.name)) for s in specs], "model string, error string")
+    table = entered.join(table, "model", "left").select("model", *names, "error")
+    first = F.coalesce("roc_auc", "f1", "accuracy").desc_nulls_last() if task == "classification" else F.col("rmse").asc_nulls_last()
     place = F.row_number().over(Window.orderBy(first, "model"))  # a handful of models
     return table.withColumn("place", place).orderBy("place")
 

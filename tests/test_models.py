@@ -76,16 +76,30 @@ def test_candidates_follow_the_shape():
     assert "nb" not in names("classification", 500, 5, 0) and names("regression", 10, 2, 0) == ["lin_reg", "rf_reg", "knn_reg"]
 
 
-def test_leaderboard_ranks_and_skips_failures(colors):
+def test_leaderboard_ranks_and_names_failures(colors):
     table = leaderboard(
         colors, [CLASSIFIERS["nb"], CLASSIFIERS["log_reg"], CLASSIFIERS["mlp"]], ["color", "noise"], "label", ["key"],
-        classes=2, folds=2, params={"mlp": {"layers": [1, 2]}},  # does not fit the features: skipped
+        classes=2, folds=2, params={"mlp": {"layers": [1, 2]}},  # does not fit the features
     )
     found = table.collect()
-    assert [r["place"] for r in found] == [1, 2] and {r["model"] for r in found} == {"nb", "log_reg"}
+    assert [r["place"] for r in found] == [1, 2, 3] and {r["model"] for r in found[:2]} == {"nb", "log_reg"}
+    assert found[2]["model"] == "mlp" and found[2]["error"] and found[2]["roc_auc"] is None
+    assert found[0]["error"] is None
     assert found[0]["roc_auc"] >= found[1]["roc_auc"] > 0.95
 
 
+def test_penalty_follows_the_rows(spark):
+    """A unit penalty: twice the rows weigh twice as much against it, so repeated rows sharpen the fit."""
+    df = spark.range(40).selectExpr("cast(id % 2 as double) as label", "cast(id % 2 as double) + 0.5 * (id % 3) as x")
+
+    def slope(rows):
+        model = fit_model(rows, CLASSIFIERS["log_reg"], ["x"], "label", classes=2)
+        return abs(model.stages[-1].coefficients[0])
+
+    once, often = slope(df), slope(df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("n"))
+    assert often > 1.3 * once
+
+
 def test_time_folds_score_a_regression(spark):
     df = spark.range(80).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
     table = leaderboard(df, [REGRESSORS["lin_reg"]], ["x"], "y", ["id"], folds=3, time="id").first()
