@@ -69,27 +69,19 @@ def band_keys(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _set_sizes(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    line = np.repeat(np.arange(len(begins), dtype=np.uint64), np.diff(np.append(begins, len(hashes))))
-    both = np.sort(line << np.uint64(44) | hashes >> np.uint64(20))
-    first = np.concatenate([[True], both[1:] != both[:-1]])
-    return np.bincount((both[first] >> np.uint64(44)).astype(np.int64), minlength=len(begins))
-
-
-LINE = "doc_id long, row_key long, line_no int, digest binary, n int, bytes binary"
+LINE = "doc_id long, row_key long, line_no int, digest binary, bytes binary"
 
 
 def _signed_lines(batches):
     def flush(held):
         hashes, begins = shingle_hashes([h[3] for h in held])
         keys = band_keys(hashes, begins)
-        sizes = _set_sizes(hashes, begins)
         columns = [
             pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()),
             pa.array([h[2] for h in held], pa.int32()),
             pa.array([hashlib.blake2b(h[3].encode(), digest_size=16).digest() for h in held], pa.binary()),
-            pa.array(sizes.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "line_no", "digest", "n", "bytes"])
+            pa.array([k.tobytes() for k in keys], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "line_no", "digest", "bytes"])
 
     for batch in batches:
         held, size = [], 0
@@ -122,15 +114,19 @@ def _shared_bands(maps, bits):
             spots = (keys >> np.uint64(64 - bits)).astype(np.int64)
             line, band = np.nonzero(several[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[line, band].astype(np.int64)), pa.array(batch.column("line_id").to_numpy()[line]),
-                 pa.array(batch.column("n").to_numpy()[line])], ["sig", "doc_id", "n"])
+                [pa.array(keys[line, band].astype(np.int64)), pa.array(batch.column("line_id").to_numpy()[line])],
+                ["sig", "doc_id"])
 
     return run
 
 
-def line_set(line) -> np.ndarray:
-    """The sorted shingle hashes of one line, whose text is far smaller on its way than they."""
-    return np.unique(shingle_hashes([bytes(line).decode()])[0])
+def line_sets(column) -> list[np.ndarray]:
+    """The sorted shingle hashes of lines, whose text is far smaller on its way than they."""
+    lines = [line.decode() for line in column.to_pylist()]
+    if not lines:
+        return []
+    hashes, begins = shingle_hashes(lines)
+    return [np.unique(h) for h in np.split(hashes, begins[1:])]
 
 
 def _wanted_lines(batches):
@@ -174,13 +170,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     signed = _named(docs).mapInArrow(_signed_lines, LINE)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "line_no")
     distinct = signed.groupBy("digest").agg(
-        F.min(place).alias("first"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+        F.min(place).alias("first"), F.first("bytes").alias("bytes"))
     # Ids are given once, when the rows are written.
-    lines = stored(distinct.select(F.monotonically_increasing_id().alias("line_id"), "first", "n", "bytes"), "lines")
+    lines = stored(distinct.select(F.monotonically_increasing_id().alias("line_id"), "first", "bytes"), "lines")
     count = lines.count()
     maps, bits = token_classes(lines.select("bytes"), BandSource(), count * BANDS, 1 << 30)
-    sigs = stored(lines.select("line_id", "n", "bytes").mapInArrow(
-        _shared_bands(maps, bits), "sig long, doc_id long, n int"), "bands")
+    sigs = stored(lines.select("line_id", "bytes").mapInArrow(_shared_bands(maps, bits), "sig long, doc_id long"), "bands")
+    sigs = sigs.withColumn("n", F.lit(1))  # lines are not told apart by size before they are compared
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = wanted.select(F.col("doc_id").alias("__id")).distinct()
@@ -193,7 +189,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         found = _named(docs).join(side, same).select("text", "wanted").mapInArrow(_wanted_lines, "doc_id long, tokens binary")
         return found.dropDuplicates(["doc_id"])
 
-    links = connecting_links(sigs, sets, threshold, line_set)
+    links = connecting_links(sigs, sets, threshold, line_sets)
     joined = components(links)
     grouped = lines.select("line_id", "first").join(joined, F.col("line_id") == F.col("node"), "left").select(
         "first", "component")

@@ -183,8 +183,10 @@ def _set_rows(words: int):
     return run
 
 
-def stored_tokens(data) -> np.ndarray:
-    return np.frombuffer(data, np.uint64).copy()  # the batch it lies in may go
+def stored_tokens(column) -> list[np.ndarray]:
+    """The sets of a column of stored tokens, copied, as the batch they lie in may go."""
+    data, at = byte_view(column)
+    return [np.frombuffer(data[a:b].tobytes(), np.uint64) for a, b in zip(at[:-1], at[1:])]
 
 
 def _verify(threshold: Threshold, decode):
@@ -193,9 +195,8 @@ def _verify(threshold: Threshold, decode):
         hub, sets = None, []
         for batch in batches:
             left, right = [], []
-            held = batch.column("tokens")
-            for i, (a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b")))):
-                tokens = decode(held[i].as_buffer())
+            decoded = decode(batch.column("tokens"))
+            for a, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), decoded):
                 if a != hub:
                     hub, sets = a, []
                 if b is None:
@@ -253,15 +254,15 @@ def _verify_blocks(threshold: Threshold, decode):
         key, rows = None, []
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in BLOCK_KEY))
-            held = batch.column("tokens")
-            for i, (k, side, doc) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("side", "doc_id")))):
+            decoded = decode(batch.column("tokens"))
+            for k, side, doc, tokens in zip(keys, *(batch.column(c).to_pylist() for c in ("side", "doc_id")), decoded):
                 if k != key and rows:
                     found = links(rows)
                     rows = []
                     if found is not None:
                         yield found
                 key = k
-                rows.append((side, doc, decode(held[i].as_buffer())))
+                rows.append((side, doc, tokens))
         found = links(rows) if rows else None
         if found is not None:
             yield found
@@ -314,7 +315,7 @@ def connecting_links(sigs: DataFrame, sets_of, threshold: Threshold, decode=stor
     """Links (a, b) that connect all similar sets among the candidates.
 
     ``sigs`` holds rows (sig, doc_id, n): two sets of sizes n are candidates if they share a sig. ``sets_of`` gives
-    for a frame of doc_id the rows (doc_id, tokens); ``decode`` turns such bytes into the sorted set.
+    for a frame of doc_id the rows (doc_id, tokens); ``decode`` turns a column of such bytes into sorted sets.
     """
     groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("hub")).where("docs > 1")
     placed = stored(attach(sigs, groups, ["sig"], "docs"), "signature-groups")
@@ -390,3 +391,21 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
 def query(spark, directory):
     return near_duplicates(spark.read.parquet(f"{directory}/documents.parquet"), words=4, percent=85)
+
+
+SQL = """
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+    select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d
+), n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+pairs as materialized (
+    select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)
+), reach(doc_id, other) as (
+    select a, b from pairs union select r.doc_id, p.b from reach r join pairs p on r.other = p.a
+), low as (select doc_id, min(other) as low from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id
+from documents left join n using (doc_id) left join low using (doc_id)"""
