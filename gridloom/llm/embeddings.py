@@ -298,9 +298,9 @@ def query(spark, directory):
 
 SQL = """
 with recursive v as (
-    select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
-    where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-      and len(list_filter(embedding, x -> x <> 0)) > 0
+    select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), pairs as materialized (
     select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
     where list_cosine_similarity(a.e, b.e) >= 0.93

@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_embeddings": embeddings.SQL,
+    "op7_ngram_join": ngram_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
