@@ -14,10 +14,10 @@ import re
 
 import numpy as np
 
-MEMORY = 300_000  # parts per generation; a worker remembers two generations
+MEMORY = 500_000  # parts per generation; a worker remembers two generations
 LONGEST = 48  # characters of a part that is remembered
 STEP_BYTES = 1 << 20
-CALL_PARTS = 4096
+CALL_PARTS = 64  # the library slows down on longer texts
 CLOSING = (".", ",")
 SPACES = re.compile(r"\s")
 CUT = re.compile(r" (?=\S)")
