@@ -14,10 +14,10 @@ import re
 
 import numpy as np
 
-MEMORY = 500_000  # parts per generation; a worker remembers two generations
+MEMORY = 1_000_000  # parts remembered per worker, about 200 MB
 LONGEST = 48  # characters of a part that is remembered
-STEP_BYTES = 1 << 20
-CALL_PARTS = 64  # the library slows down on longer texts
+STEP_BYTES = 1 << 21
+CALL_PARTS = 128  # the library slows down on longer texts
 CLOSING = (".", ",")
 SPACES = re.compile(r"\s")
 CUT = re.compile(r" (?=\S)")
@@ -55,8 +55,7 @@ class PartEncoder:
         self.line_end = line[1] if spaced and len(line) == 3 else None
         self.line_value = self.value(self.library.encode("\n", add_special_tokens=False))
         self.first: dict = {}  # parts at the start of a text
-        self.later: dict = {}  # parts after a space, used lately
-        self.earlier: dict = {}  # and those of the generation before
+        self.later: dict = {}  # parts after a space or a line end
 
     def _learn_heads(self, missing: set) -> None:
         names = list(missing)  # one per text at most
@@ -124,34 +123,28 @@ class PartEncoder:
         return CUT.split(text) if self.spaced else text.replace("\n", " ").split(" ")
 
     def _forget(self) -> None:
-        """Parts that no recent text used make room; long ones leave at once."""
         self.first.clear()
         for part in self.long:
             self.later.pop(part, None)
         if len(self.later) > MEMORY:
-            self.earlier, self.later = self.later, {}
+            self.later.clear()
 
     def encode(self, texts: list[str]) -> list:
         """The value of every text, in order."""
         cut = [self._cut(t) for t in texts]
         self._learn_heads({parts[0] for parts in cut if parts})
-        known = [list(map(self.later.get, parts)) if parts else [] for parts in cut]  # heads are looked up apart
-        gaps = [[i for i, v in enumerate(values) if v is None and i] for values in known]
-        missing = {parts[i] for parts, spots in zip(cut, gaps) for i in spots}
-        again = missing.intersection(self.earlier)
-        self.later.update([(p, self.earlier[p]) for p in again])
-        missing -= again
+        missing = set()
+        for parts in cut:
+            if parts:
+                missing.update(set(parts[1:]).difference(self.later))
         self.long = [p for p in missing if len(p) > LONGEST]
         self._learn_tails(missing)
-        out = []
-        for text, parts, values, spots in zip(texts, cut, known, gaps):
-            if parts:
-                values[0] = self.first[parts[0]]
-                for i in spots:
-                    values[i] = self.later[parts[i]]
-                out.append(self.total(values))
-            else:
-                out.append(self.value(self.library.encode(text, add_special_tokens=False)))
+        first, later = self.first, self.later.__getitem__
+        out = [
+            self.total([first[parts[0]], *map(later, parts[1:])]) if parts
+            else self.value(self.library.encode(text, add_special_tokens=False))
+            for text, parts in zip(texts, cut)
+        ]
         self._forget()
         return out
 
