@@ -28,7 +28,8 @@ LENGTH = 50
 ANCHOR = 24  # bytes of the strings whose hashes choose the anchor
 PIECE = 1 << 16  # string starts handled at a time; a place in a piece fits PLACE_BITS
 PLACE_BITS = 16
-INDEX_BYTES = 1 << 20  # text of one index, whole anchors; three ranks of 21 bits make a sort key
+INDEX_BYTES = 1 << 20  # text of one index, whole anchors
+PACKED = 1 << 21  # up to here three ranks of 21 bits make a sort key
 WINDOWS = LENGTH - ANCHOR + 1
 DEPTH = 72  # bytes of a stretch at most: suffixes are sorted by 8, 24, 72 bytes
 MOST = DEPTH - LENGTH + 1  # strings of a stretch at most
@@ -131,13 +132,14 @@ class RunIndex:
 
     def __init__(self, data: np.ndarray, at: np.ndarray, docs: np.ndarray):
         count, sizes = len(at) - 1, np.diff(at)
+        assert len(data) < 1 << 31, "ranks have 31 bits"
         text = np.repeat(np.arange(count), sizes)
         left = (at[1:][text] - np.arange(len(data))).astype(np.uint8)  # bytes up to the end of the text
         rank = self._rank(self._first_words(data, left))
-        rank24 = self._rank(self._three(rank, left, 8))
+        rank24 = self._rank(self._three(rank, left, 8, PACKED))
         # Equal suffixes come in order of their texts; one that ends before a NUL byte comes first.
         by_left = np.argsort(left, kind="stable")
-        order = by_left[np.argsort(self._three(rank24, left, 24)[by_left], kind="stable")]
+        order = by_left[np.argsort(self._three(rank24, left, 24, PACKED)[by_left], kind="stable")]
         before = np.concatenate([[0], data[:-1].astype(np.int16) + 1])
         before[at[:-1][sizes > 0]] = 0
         last = np.zeros(count, np.int16)
@@ -172,14 +174,17 @@ class RunIndex:
         ranks[order] = np.cumsum(np.concatenate([[1], (values[1:] != values[:-1])]))[:len(keys)]
         return ranks
 
-    @staticmethod
-    def _three(rank, left, step):
+    @classmethod
+    def _three(cls, rank, left, step, packed):
         """Ranks here, ``step`` and 2 ``step`` bytes on (0 beyond the end) as one key."""
-        key = rank << 42
-        for k, shift in ((step, 21), (2 * step, 0)):
+        def add(key, k, shift):
             if len(rank) > k:
                 key[:-k] |= np.where(left[:-k] > k, rank[k:], 0) << shift
-        return key
+            return key
+
+        if len(rank) < packed:
+            return add(add(rank << 42, step, 21), 2 * step, 0)
+        return add(cls._rank(add(rank << 31, step, 0)) << 31, 2 * step, 0)
 
     @staticmethod
     def _string_begins(rank24, left, order):
