@@ -3,15 +3,18 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id.
 Every 50-byte string is assigned to its anchor, the leftmost smallest hash among the short strings in it,
 so equal strings have equal anchors at equal places. A counting pass over all anchors leaves those seen in
-several documents. The stretches of text around them go to the task of their anchor. There the distinct stretches are sorted into a Burrows-Wheeler transform, kept as runs; the ends of the runs of
+several documents. The stretches of text around them go to the task of their anchor. There the distinct
+stretches are sorted into a Burrows-Wheeler transform, kept as runs; the ends of the runs of
 equal 50-byte strings are sampled with the smallest doc_id inside. Streaming every stretch through the
 runs from its end yields the matching interval of each of its strings, whose sample says whether
-the string starts in a smaller document. Marks go back to the documents and merge into spans.
+the string starts in a smaller document. The stretches of an anchor with very many rows never meet in one task:
+their strings are grouped by themselves. Marks go back to the documents and merge into spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..operators.attach import broadcastable
+from ..operators.attach import attach, broadcastable
 from .common import byte_view, stored, text_bytes
 from .shingles import mixed
 from .token_classes import token_classes
@@ -28,12 +31,15 @@ LENGTH = 50
 ANCHOR = 24  # bytes of the strings whose hashes choose the anchor
 PIECE = 1 << 16  # string starts handled at a time; a place in a piece fits PLACE_BITS
 PLACE_BITS = 16
-INDEX_BYTES = 1 << 20  # text of one index, whole anchors
+INDEX_BYTES = 1 << 20  # text of one index, whole anchors; one anchor alone may have 2 HOT stretches
 PACKED = 1 << 21  # up to here three ranks of 21 bits make a sort key
 WINDOWS = LENGTH - ANCHOR + 1
 DEPTH = 72  # bytes of a stretch at most: suffixes are sorted by 8, 24, 72 bytes
 MOST = DEPTH - LENGTH + 1  # strings of a stretch at most
-HOT = 50_000  # documents from which an anchor's stretches are collapsed before they are shuffled
+HOT = 14_000  # documents, or rows beyond the first of a document, from which an anchor's strings are grouped by themselves
+CROWD = 16  # runs of one anchor in a piece that are shipped one by one
+SHIP_BYTES = 1 << 26  # text of stretches in one batch of rows
+START_BITS, STEP_BITS = 31, 16  # a mark's place: first start, step between starts, starts less one
 
 
 def _words(codes: np.ndarray) -> np.ndarray:
@@ -44,10 +50,10 @@ def _words(codes: np.ndarray) -> np.ndarray:
     return a[:-4] | a[4:] << np.uint64(32)
 
 
-def segments(codes: np.ndarray):
-    """(anchor hash, first string start, number of strings, first start - anchor place) of a text's runs of strings
-    with one anchor place. Texts shorter than LENGTH have none."""
-    out = []
+def pieces(codes: np.ndarray):
+    """Per piece of a text (anchor hash, first string start, number of strings, first start - anchor place) of its runs of
+    strings with one anchor place, and the hashes of the short strings from the piece's begin on. Texts shorter than
+    LENGTH have none."""
     place_mask = np.uint64((1 << PLACE_BITS) - 1)
     for begin in range(0, len(codes) - LENGTH + 1, PIECE - LENGTH):
         part = codes[begin:begin + PIECE]
@@ -74,50 +80,118 @@ def segments(codes: np.ndarray):
             first = np.sort(np.concatenate([first, first[long] + MOST]))
             counts = np.diff(np.append(first, len(place)))
         # Smallest hashes crowd at the low end; scrambled, anchors spread evenly.
-        out.append((mixed(h[place[first]] & ~place_mask, 3), first + begin, counts, first - place[first]))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out))
+        yield mixed(h[place[first]] & ~place_mask, 3), first + begin, counts, first - place[first], h, begin
+
+
+def collapsed(codes, anchor, first, counts, lead, h, begin):
+    """Rows of a piece to ship: (which run, its starts as one number). Equal stretches at even distances of an anchor with
+    more than CROWD runs are one row, so a long run of a short period has about as many rows as the period has bytes."""
+    order = np.sort(anchor)
+    crowded = order[CROWD:][order[CROWD:] == order[:-CROWD]]
+    if not len(crowded):
+        return np.arange(len(anchor)), first
+    among = np.isin(anchor, crowded)
+    rest, among = np.flatnonzero(~among), np.flatnonzero(among)
+    which, start = _collapsed(codes, *(x[among] for x in (anchor, first, counts, lead)), h, begin)
+    return np.concatenate([rest, among[which]]), np.concatenate([first[rest], start])
+
+
+def _collapsed(codes, anchor, first, counts, lead, h, begin):
+    alone = np.arange(len(anchor))
+    size, at = counts + LENGTH - 1, first - begin
+    key = anchor
+    for x in (lead, counts, h[at], h[at + ANCHOR], h[at + size - ANCHOR]):
+        key = mixed(key) + x.astype(np.uint64)
+    _, one, group = np.unique(key, return_index=True, return_inverse=True)
+    again = np.flatnonzero(one[group] != alone)
+    twin = one[group[again]]
+    spot = np.arange(DEPTH)
+    equal = (anchor[again] == anchor[twin]) & (lead[again] == lead[twin]) & (counts[again] == counts[twin])
+    own, other = (codes[np.minimum(first[x][:, None] + spot, len(codes) - 1)] for x in (again, twin))
+    equal &= ((own == other) | (spot >= size[again][:, None])).all(1)
+    odd = again[~equal]  # equal hashes of unlike stretches
+    group[odd] = len(one) + np.arange(len(odd))
+    order = np.argsort(group, kind="stable")
+    group, start = group[order], first[order]
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    gap = np.where(new, 0, np.diff(start, prepend=0))
+    uneven = np.concatenate([[False], (gap[1:] != gap[:-1]) & ~new[:-1]])
+    head = np.flatnonzero(new | uneven)
+    more = np.diff(np.append(head, len(start))) - 1
+    step = np.where(more > 0, gap[np.minimum(head + 1, len(gap) - 1)], 0)
+    return order[head], start[head] | step << START_BITS | more << START_BITS + STEP_BITS
+
+
+def starts_of(places: np.ndarray):
+    """The starts behind the numbers of ``collapsed``, and which number each is of."""
+    more = places >> START_BITS + STEP_BITS
+    which = np.repeat(np.arange(len(places)), more + 1)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    step = places >> START_BITS & (1 << STEP_BITS) - 1
+    return (places & (1 << START_BITS) - 1)[which] + nth * step[which], which
+
+
+def again_token(anchor: np.ndarray) -> np.ndarray:
+    """The token that counts an anchor's rows beyond the first of each document."""
+    return mixed(anchor, 5)
 
 
 class AnchorSource:
-    """The distinct anchors of every text, for the counting pass."""
+    """For the counting pass: the distinct anchors of every text, and a token of its own for each further row of one."""
 
     def sets(self, data, at):
         for i in range(len(at) - 1):
-            yield np.unique(segments(data[at[i]:at[i + 1]])[0])
+            codes = data[at[i]:at[i + 1]]
+            anchors = [p[0][collapsed(codes, *p)[0]] for p in pieces(codes)]
+            anchors = np.sort(np.concatenate(anchors or [np.zeros(0, np.uint64)]))
+            again = np.flatnonzero(anchors[1:] == anchors[:-1]) + 1
+            anchors[again] = again_token(anchors[again])
+            yield anchors
 
 
 def _repeated_segments(maps, bits):
+    def marked(bitmap, tokens):
+        spots = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+        return (bitmap[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1).astype(bool)
+
+    def table(parts):
+        anchor, lead, text, size, doc, row, start, hot = (np.concatenate(x) for x in zip(*parts))
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        context = pa.Array.from_buffers(
+            pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(anchor), pa.array(lead.astype(np.int32)), context, pa.array(doc), pa.array(row), pa.array(start), pa.array(hot)],
+            ["anchor", "lead", "context", "doc_id", "row_key", "start", "hot"])
+
     def run(batches):
         several, many = maps.value
+        any_hot = many.any()
         for batch in batches:
             data, at = byte_view(batch.column("bytes"))
             docs, rows = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
-            parts = []
+            parts, held = [], 0
             for i in range(len(docs)):
                 codes = data[at[i]:at[i + 1]]
-                anchor, first, counts, lead = segments(codes)
-                spots = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-                bit = (7 - (spots & 7)).astype(np.uint8)
-                keep = np.flatnonzero(several[spots >> 3] >> bit & 1)
-                if len(keep):
-                    hot = (many[spots[keep] >> 3] >> bit[keep] & 1).astype(bool)
+                for anchor, first, counts, lead, h, begin in pieces(codes):
+                    keep = np.flatnonzero(marked(several, anchor))
+                    if not len(keep):
+                        continue
+                    which, start = collapsed(codes, anchor[keep], first[keep], counts[keep], lead[keep], h, begin)
+                    keep = keep[which]
+                    hot = np.zeros(len(keep), bool)
+                    if any_hot:
+                        hot = marked(many, anchor[keep]) | marked(many, again_token(anchor[keep]))
                     size = counts[keep] + LENGTH - 1
                     ends = np.cumsum(size)
                     where = np.repeat(first[keep] - (ends - size), size) + np.arange(ends[-1])
                     parts.append((anchor[keep].astype(np.int64), lead[keep], codes[where], size,
-                                  np.full(len(keep), docs[i]), np.full(len(keep), rows[i]), first[keep], hot))
-            if not parts:
-                continue
-            anchor, lead, text, size, doc, row, first, hot = (np.concatenate(x) for x in zip(*parts))
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            context = pa.Array.from_buffers(
-                pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(lead.astype(np.int32)), context, pa.array(doc), pa.array(row), pa.array(first), pa.array(hot)],
-                ["anchor", "lead", "context", "doc_id", "row_key", "start", "hot"])
+                                  np.full(len(keep), docs[i]), np.full(len(keep), rows[i]), start, hot))
+                    held += int(ends[-1])
+                    if held >= SHIP_BYTES:
+                        yield table(parts)
+                        parts, held = [], 0
+            if parts:
+                yield table(parts)
 
     return run
 
@@ -274,16 +348,46 @@ def _marks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (doc, row, start, mask)], MARK)
 
 
-def _distinct_marks(batches):
-    """Distinct stretches sorted by anchor: (anchor, context_key, first, mask)."""
-    for anchor, _, context, first, key in _groups(batches, ["anchor", "lead", "context", "first", "context_key"], _sizes):
-        mask = _mask_of(anchor, context.tolist(), first)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (anchor, key, first, mask)], ["anchor", "context_key", "first", "mask"])
-
-
 MARK = ["doc_id", "row_key", "start", "mask"]
 MARK_SQL = "doc_id long, row_key long, start long, mask long"
+STRETCH = ["anchor", "lead", "context"]
+STRETCH_SQL = "anchor long, lead int, context binary"
+
+
+def _marks_and_hot(batches):
+    """Marks of the cold rows, and the hot rows as they are, without mask."""
+    def runs():
+        for batch in batches:
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(hot[1:] != hot[:-1]) + 1).tolist(), len(hot)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    yield bool(hot[a]), batch.slice(a, b - a)
+
+    names = [*MARK, *STRETCH]
+    for hot, run in groupby(runs(), lambda r: r[0]):
+        rows = (batch for _, batch in run)
+        for batch in rows if hot else _marks(rows):
+            n = batch.num_rows
+            none = {"mask": pa.nulls(n, pa.int64()), "anchor": pa.nulls(n, pa.int64()), "lead": pa.nulls(n, pa.int32()),
+                    "context": pa.nulls(n, pa.binary())}
+            yield pa.RecordBatch.from_arrays([batch.column(c) if c in batch.schema.names else none[c] for c in names], names)
+
+
+def _covered(places: np.ndarray, mask: np.ndarray, n: int) -> np.ndarray:
+    """At each byte, the strings that go and begin there less those that end before it."""
+    change = np.zeros(n + 1, np.int64)
+    total = np.cumsum((places >> START_BITS + STEP_BITS) + 1)
+    cuts = np.searchsorted(total, np.arange(0, total[-1], PIECE))
+    for a, b in zip(cuts, [*cuts[1:], len(places)]):
+        if a < b:
+            start, which = starts_of(places[a:b])
+            begins = (start[:, None] + np.arange(MOST))[(mask[a:b][which, None] >> np.arange(MOST)) & 1 == 1]
+            low = int(begins.min())
+            found = np.bincount(begins - low)
+            change[low:low + len(found)] += found
+            change[low + LENGTH:low + LENGTH + len(found)] -= found
+    return change
 
 
 def _result(batches):
@@ -299,9 +403,7 @@ def _result(batches):
             elif marks:
                 start = np.array([m["start"] for m in marks])
                 mask = np.array([m["mask"] for m in marks])
-                begins = (start[:, None] + np.arange(MOST))[(mask[:, None] >> np.arange(MOST)) & 1 == 1]
-                change = np.bincount(begins, minlength=n + 1) - np.bincount(begins + LENGTH, minlength=n + 1)
-                gone = np.cumsum(change)[:n] > 0
+                gone = np.cumsum(_covered(start, mask, n))[:n] > 0
             else:
                 gone = np.zeros(n, bool)
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
@@ -314,18 +416,23 @@ def _result(batches):
 
 
 def _hot_marks(found: DataFrame) -> DataFrame:
-    """Marks of anchors that very many documents hold: equal stretches are collapsed on the way, then joined back."""
-    found = stored(found.withColumn("context_key", F.xxhash64("lead", "context")), "hot-segments")
-    distinct = found.groupBy("anchor", "lead", "context", "context_key").agg(F.min("doc_id").alias("first"))
-    marks = distinct.repartition("anchor").sortWithinPartitions("anchor").select(
-        "anchor", "lead", "context", "first", "context_key").mapInArrow(
-        _distinct_marks, "anchor long, context_key long, first long, mask long")
-    marks = marks.withColumnsRenamed({"anchor": "__anchor", "context_key": "__key"})
+    """Marks of anchors with very many rows. Equal stretches are collapsed on the way, then the strings of the distinct
+    ones are grouped by themselves, so that no task holds an anchor; both are joined back with hot keys spread."""
+    distinct = stored(found.groupBy(*STRETCH).agg(
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "hot-stretches")
+    places = F.explode(F.expr(f"sequence(0, octet_length(context) - {LENGTH})"))
+    strings = distinct.select(*STRETCH, "first", places.alias("place")).withColumn(
+        "string", F.expr(f"substring(context, place + 1, {LENGTH})"))
+    smallest = strings.groupBy("string").agg(
+        F.min("first").alias("smallest"), F.max("first").alias("largest"), F.count(F.lit(1)).alias("uses"))
+    smallest = smallest.where("smallest < largest").drop("largest")
+    later = attach(strings, smallest, ["string"], rows="uses").where("smallest < first")
+    bits = later.select(*STRETCH, "first", F.lit(0).cast("long").alias("rows"), F.expr("shiftleft(1L, place)").alias("bits"))
+    marks = distinct.select("*", F.lit(0).cast("long").alias("bits")).unionByName(bits).groupBy(*STRETCH).agg(
+        F.min("first").alias("first"), F.sum("rows").alias("rows"), F.bit_or("bits").alias("bits"))
     every = F.expr(f"shiftleft(1L, octet_length(context) - {LENGTH - 1}) - 1")
-    spots = found.select("anchor", "context_key", "doc_id", "row_key", "start", every.alias("every"))
-    same = (F.col("anchor") == F.col("__anchor")) & (F.col("context_key") == F.col("__key"))
-    mask = F.when(F.col("doc_id") > F.col("first"), F.col("every")).otherwise(F.col("mask"))
-    return spots.join(marks, same).select("doc_id", "row_key", "start", mask.alias("mask")).where("mask <> 0")
+    mask = F.when(F.col("doc_id") > F.col("first"), every).otherwise(F.col("bits"))
+    return attach(found, marks, STRETCH, rows="rows").select("doc_id", "row_key", "start", mask.alias("mask")).where("mask <> 0")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -353,10 +460,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = texts.mapInArrow(
         _repeated_segments(maps, bits),
         "anchor long, lead int, context binary, doc_id long, row_key long, start long, hot boolean")
-    cold = found.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    placed = cold.mapInArrow(_marks, MARK_SQL)
     if maps.value[1].any():
-        placed = placed.unionByName(_hot_marks(found.where("hot").drop("hot")))
+        # An anchor is hot or not as a whole; rows of hot ones are dealt by document.
+        dealt = found.repartition("anchor", F.when(F.col("hot"), F.col("row_key"))).sortWithinPartitions("anchor")
+        both = stored(dealt.mapInArrow(_marks_and_hot, f"{MARK_SQL}, {STRETCH_SQL}"), "marks")
+        placed = both.where("mask is not null").select(*MARK).unionByName(_hot_marks(both.where("mask is null").drop("mask")))
+    else:
+        placed = found.drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_marks, MARK_SQL)
     lists = placed.groupBy("doc_id", "row_key").agg(
         F.collect_list(F.struct("start", "mask")).alias("marks"))  # bounded by one document
     lists = lists.withColumnsRenamed({"doc_id": "__id", "row_key": "__row"})

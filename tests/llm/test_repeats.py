@@ -1,9 +1,13 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridloom.llm import repeats as R
 
+from .conftest import SCHEMA, rows_of
+from .test_joins import plain_repeats
+
 
 def common_phrase(rng):
     """24 bytes whose hash is so small that they are the anchor of nearly all strings around them."""
@@ -24,6 +28,17 @@ def contexts(rng, phrase, count):
             for _ in range(count)]
 
 
+def test_one_anchor_of_many_contexts(spark):
+    rng = random.Random(11)
+    texts = contexts(rng, common_phrase(rng), 60_000)
+    ids = rng.sample(range(1_000_000), len(texts))
+    rows = [(i, t, "", "", 0) for i, t in zip(ids, texts)]
+    got = rows_of(R.remove_repeats(spark.createDataFrame(rows, SCHEMA)))
+    want = plain_repeats(rows)
+    assert sum(w[2] for w in want) > 2_000_000
+    assert got == want
+
+
 def test_an_index_beyond_packed_ranks():
     rng = random.Random(12)
     texts = [t[4:76].encode() for t in contexts(rng, common_phrase(rng), 50_000)]
@@ -36,3 +51,35 @@ def test_an_index_beyond_packed_ranks():
     assert at[-1] > R.PACKED
     found = R.RunIndex(np.frombuffer(b"".join(texts), np.uint8), at, docs).smallest()
     assert found[:, :23].tolist() == [[smallest[t[i:i + 50]] for i in range(23)] for t in texts]
+
+
+def shipped(spark, texts, monkeypatch):
+    """What goes to the anchors' tasks: text, hot."""
+    seen = []
+    real = R._repeated_segments
+
+    def watched(maps, bits):
+        seen.append((maps, bits))
+        return real(maps, bits)
+
+    monkeypatch.setattr(R, "_repeated_segments", watched)
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert rows_of(R.remove_repeats(docs)) == plain_repeats(rows)
+    source = docs.select("doc_id", F.lit(0).cast("long").alias("row_key"), F.col("text").cast("binary").alias("bytes"))
+    return source.mapInArrow(real(*seen[-1]), "anchor long, lead int, context binary, doc_id long, row_key long, start long, hot boolean")
+
+
+def test_a_run_of_one_period_is_a_few_rows(spark, monkeypatch):
+    texts = ["=" * 300_000, "x" + "=" * 200_000 + "y", "0,0,0," * 20_000, " 0,0,0," + "0,0,0," * 9_000]
+    assert shipped(spark, texts, monkeypatch).count() < 300
+
+
+def test_an_anchor_is_hot_by_its_rows(spark, monkeypatch):
+    rng = random.Random(13)
+    around = contexts(rng, common_phrase(rng), 600)
+    texts = [" ".join(around[:300]), " ".join(around[300:])]
+    monkeypatch.setattr(R, "HOT", 100)
+    rows = shipped(spark, texts, monkeypatch)
+    cold = rows.where("not hot").groupBy("anchor").count().agg(F.max("count")).first()[0] or 0
+    assert rows.where("hot").count() > 500 and cold < 2 * R.HOT
