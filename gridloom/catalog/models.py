@@ -77,7 +77,7 @@ def perceptron(t):
 
 @query("fit_gbt")
 def boosted(t):
-    return fitted_on_documents(t, "gbt", maxIter=20)
+    return fitted_on_documents(t, "gbt")
 
 
 @query("fit_lin_reg")
@@ -92,7 +92,7 @@ def forest_regressor(t):
 
 @query("fit_gbt_reg")
 def boosted_regressor(t):
-    return fitted_on_parts(t, "gbt_reg", maxIter=20)
+    return fitted_on_parts(t, "gbt_reg")
 
 
 @query("lin_reg_closed_form", """
@@ -153,27 +153,19 @@ def shortlist(t):
 
 @query("leaderboard_class")
 def class_board(t):
-    names = ("log_reg", "nb", "rf")
-    return leaderboard(
-        labelled_documents(t), [CLASSIFIERS[n] for n in names], DOC_FEATURES, "quality", ["doc_id"], classes=2, folds=2,
-        params={"rf": {"numTrees": 20, "maxDepth": 5}},
-    )
+    return leaderboard(labelled_documents(t), CLASSIFIERS.values(), DOC_FEATURES, "quality", ["doc_id"], classes=2)
 
 
 @query("leaderboard_reg")
 def number_board(t):
-    names = ("lin_reg", "rf_reg")
     return leaderboard(
-        t("part"), [REGRESSORS[n] for n in names], ["p_size", "p_brand", "p_type"], "p_retailprice", ["p_partkey"],
-        folds=2, params={"rf_reg": {"numTrees": 20, "maxDepth": 6}},
+        t("part"), REGRESSORS.values(), ["p_size", "p_brand", "p_type"], "p_retailprice", ["p_partkey"]
     )
 
 
 @query("leaderboard_time")
 def time_board(t):
-    return leaderboard(
-        t("events"), [REGRESSORS["lin_reg"]], ["user_id", "event_type"], "value", ["event_id"], folds=3, time="ts"
-    )
+    return leaderboard(t("events"), REGRESSORS.values(), ["user_id", "event_type"], "value", ["event_id"], time="ts")
 
 
 @query("permutation_importance")
