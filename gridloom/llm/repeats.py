@@ -5,9 +5,9 @@ Every 50-byte string is assigned to its anchor, the leftmost smallest hash among
 so equal strings have equal anchors at equal places. A counting pass over all anchors leaves those seen in
 several documents. The stretches of text around them go to the task of their anchor. There the distinct
 stretches are sorted into a Burrows-Wheeler transform, kept as runs; the ends of the runs of
-equal 50-byte strings are sampled with the smallest doc_id inside. Streaming every stretch through the
-runs from its end yields the matching interval of each of its strings, whose sample says whether
-the string starts in a smaller document. The stretches of an anchor with very many rows never meet in one task:
+equal 50-byte strings are sampled with the smallest doc_id inside. Every indexed stretch walks the runs from its
+end over its own rows, and the sample at each says whether the string starts in a smaller document;
+anchors and local sorting stand in for matching statistics. The stretches of an anchor with very many rows never meet in one task:
 their strings are grouped by themselves. Marks go back to the documents and merge into spans.
 """
 
