@@ -1,6 +1,6 @@
 """Token counts through a cache of content digests.
 
-Digests of normalised content and of the tokenizer's file are joined to stored counts. Only contents that
+Digests of the content as it is, not normalised, and of the tokenizer's file are joined to stored counts. Only contents that
 the cache does not hold are encoded, once each, and their counts are appended to the cache.
 """
 
