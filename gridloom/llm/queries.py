@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, fuzzy_lines, mixing, ngram_join, packing, pii, quality, repeats, token_counts
+from . import (
+    embeddings, exact_dedup, fill_middle, fuzzy_lines, mixing, ngram_join, packing, pii, quality, repeats, token_counts,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,9 +18,13 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_fuzzy_lines": fuzzy_lines.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_fill_middle": fill_middle.query,
+    "op12_vector_codes": vector_codes.query,
 }
 ORACLES = {
     "op2_embeddings": embeddings.SQL,
     "op7_ngram_join": ngram_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_fill_middle": fill_middle.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
