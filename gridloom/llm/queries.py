@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    embeddings, exact_dedup, fill_middle, fuzzy_lines, mixing, ngram_join, packing, pii, quality, repeats, token_counts,
-    vector_codes,
+    embeddings, exact_dedup, fill_middle, fuzzy_lines, mixing, neighbour_graph, ngram_join, packing, pii, quality, repeats,
+    token_counts, vector_codes,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.query,
     "op11_fill_middle": fill_middle.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_neighbours": neighbour_graph.query,
 }
 ORACLES = {
     "op2_embeddings": embeddings.SQL,

@@ -31,9 +31,10 @@ EXACT = 1 << 53  # whole numbers below are exact in a double
 
 
 def _unbranched(parts: np.ndarray) -> np.ndarray:
-    """Per part of a sorted table, the first dimension in which it differs from the one before it."""
-    differs = parts[1:] != parts[:-1]
-    return np.concatenate([[0], np.where(differs.any(1), differs.argmax(1), parts.shape[1])])
+    """Per part of a sorted table of distinct ones, the first dimension in which it differs from the one before it."""
+    if len(parts) < 2:
+        return np.zeros(len(parts), np.int64)
+    return np.concatenate([[0], (parts[1:] != parts[:-1]).argmax(1)])
 
 
 def _finish(parts, lcp, lo, hi, depth, shared, book):
