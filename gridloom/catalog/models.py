@@ -144,11 +144,14 @@ def averaged(t):
 
 
 @query("model_candidates", """
-select unnest(['log_reg', 'rf', 'knn', 'svm', 'nb', 'mlp'] || case when count(*) >= 1000 then ['gbt'] else [] end) as model
+select unnest(['log_reg', 'rf', 'knn', 'svm', 'nb', 'mlp', 'gbt']) as model,
+       unnest([true, true, true, true, true, true, count(*) >= 1000]) as recommended,
+       unnest([null, null, null, null, null, null, case when count(*) < 1000 then 'fewer than 1000 rows' end]) as reason
 from labels join documents using (doc_id)""")
 def shortlist(t):
     found = candidates("classification", labelled_documents(t).count(), len(DOC_FEATURES), 2)
-    return t.spark.createDataFrame([(s.name,) for s in found], "model string")
+    return t.spark.createDataFrame(
+        [(c.spec.name, c.recommended, c.reason) for c in found], "model string, recommended boolean, reason string")
 
 
 @query("leaderboard_class")

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
-    RandomForestClassifier,
+    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..session import checkpointed
 from .attach import attach
+from .boosting import BoostedTrees
 from .neighbors import BLOCK_ROWS, nearest_neighbors
 from .prepare import feature_encoder
 
@@ -150,34 +150,43 @@ CLASSIFIERS = {s.name: s for s in (
     ModelSpec("nb", "classification", lambda d, k, p: [NaiveBayes(**{"modelType": "gaussian", **p})]),
     ModelSpec("mlp", "classification", lambda d, k, p: _scaled(MultilayerPerceptronClassifier(
         featuresCol="scaled", **{"layers": [d, 100, max(k, 2)], "maxIter": 1000, "seed": SEED, **p}))),
-    ModelSpec("gbt", "classification", lambda d, k, p: [_binary_or_rest(
-        GBTClassifier(**{"maxIter": 300, "stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "seed": SEED, **p}), k)]),
+    ModelSpec("gbt", "classification", lambda d, k, p: [BoostedTrees(**{"numClasses": max(k, 2), "seed": SEED, **p})]),
 )}
 REGRESSORS = {s.name: s for s in (
     ModelSpec("lin_reg", "regression", lambda d, k, p: _scaled(LinearRegression(featuresCol="scaled", **p))),
     ModelSpec("rf_reg", "regression", lambda d, k, p: [
         RandomForestRegressor(**{"numTrees": 300, "maxDepth": 15, "seed": SEED, **p})]),
     ModelSpec("knn_reg", "regression", lambda d, k, p: _scaled(NearestNeighbors(featuresCol="scaled", **p))),
-    ModelSpec("gbt_reg", "regression", lambda d, k, p: [
-        GBTRegressor(**{"maxIter": 300, "stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "seed": SEED, **p})]),
+    ModelSpec("gbt_reg", "regression", lambda d, k, p: [BoostedTrees(**{"seed": SEED, **p})]),
 )}
 MODELS = {**CLASSIFIERS, **REGRESSORS}
 PENALIZED = ("log_reg", "svm")
 
 
-def candidates(task: str, rows: int, features: int, categorical: int) -> list[ModelSpec]:
-    """The models worth trying for a table of this shape."""
-    pool = CLASSIFIERS if task == "classification" else REGRESSORS
-    skipped = set()
-    if rows < SMALL_ROWS:
-        skipped |= {"gbt", "gbt_reg"}
-    if features > WIDE_FEATURES:
-        skipped |= {"svm"}
-    if features > VERY_WIDE_FEATURES:
-        skipped |= {"knn", "knn_reg"}
-    if task == "classification" and categorical == 0:
-        skipped |= {"nb"}
-    return [s for s in pool.values() if s.name not in skipped]
+@dataclass(frozen=True)
+class Candidate:
+    """A model and whether a table of this shape suits it; ``reason`` says why not."""
+
+    spec: ModelSpec
+    recommended: bool
+    reason: str | None
+
+
+def candidates(task: str, rows: int, features: int, categorical: int) -> list[Candidate]:
+    """All models of a task, each with a recommendation by the shape of the table."""
+    found = []
+    for spec in (CLASSIFIERS if task == "classification" else REGRESSORS).values():
+        reason = None
+        if spec.name in ("gbt", "gbt_reg") and rows < SMALL_ROWS:
+            reason = f"fewer than {SMALL_ROWS} rows"
+        elif spec.name == "svm" and features > WIDE_FEATURES:
+            reason = f"more than {WIDE_FEATURES} features"
+        elif spec.name in ("knn", "knn_reg") and features > VERY_WIDE_FEATURES:
+            reason = f"more than {VERY_WIDE_FEATURES} features"
+        elif spec.name == "nb" and categorical == 0:
+            reason = "no categorical feature"
+        found.append(Candidate(spec, reason is None, reason))
+    return found
 
 
 def training_rows(df: DataFrame) -> DataFrame:
@@ -187,26 +196,43 @@ def training_rows(df: DataFrame) -> DataFrame:
     return rows.coalesce(max(1, rows.count() // ROWS_PER_TASK))
 
 
-def _fitted(spec: ModelSpec, size: int, classes: int, params: dict, rows: DataFrame) -> PipelineModel:
-    rows = training_rows(rows)
-    if spec.name in PENALIZED:  # a unit penalty on the sum of losses, as Spark divides that sum by the rows
-        params = {"regParam": 1 / max(1, rows.count()), **params}
-    return Pipeline(stages=spec.stages(size, classes, params)).fit(rows)
+def fit_prepared(spec: ModelSpec, sets: list[DataFrame], sizes: list[int], classes: int, params: dict) -> list[PipelineModel]:
+    """One model per training set of rows (features, label) as ``training_rows`` gives them. Boosted trees grow
+    for all sets together."""
+    fitted = []
+    stages = [spec.stages(size, classes, params) for size in sizes]
+    if all(isinstance(s[-1], BoostedTrees) and len(s) == 1 for s in stages):
+        return [PipelineModel([m]) for m in stages[0][0].fit_all(sets)]
+    for rows, size in zip(sets, sizes):
+        own = params
+        if spec.name in PENALIZED:  # a unit penalty on the sum of losses, as Spark divides that sum by the rows
+            own = {"regParam": 1 / max(1, rows.count()), **params}
+        fitted.append(Pipeline(stages=spec.stages(size, classes, own)).fit(rows))
+    return fitted
 
 
-def fit_model(train: DataFrame, spec: ModelSpec, features=None, label: str = "label", classes: int = 0, **params) -> PipelineModel:
-    """Encoder and estimator fitted on the training rows only.
+def prepare(train: DataFrame, features=None, label: str = "label") -> tuple:
+    """(encoder or None, its training rows, number of features) of a training set.
 
     ``features`` names raw columns to encode; without it the frame brings a ``features`` vector.
-    The label column is numeric: the class code, or the value to predict.
     """
     rows = train.withColumn("label", col(label).cast("double")).where(F.col("label").isNotNull())
     if features is None:
-        size = len(rows.select(vector_to_array("features").alias("f")).first()["f"])
-        return _fitted(spec, size, classes, params, rows)
+        prepared = training_rows(rows)
+        return None, prepared, len(prepared.select(vector_to_array("features").alias("f")).first()["f"])
     encoder = feature_encoder(rows, list(features)).fit(rows)
-    fitted = _fitted(spec, len(encoder.feature_names()), classes, params, encoder.transform(rows))
-    return PipelineModel([encoder, *fitted.stages])
+    return encoder, training_rows(encoder.transform(rows)), len(encoder.feature_names())
+
+
+def fit_model(train: DataFrame, spec: ModelSpec, features=None, label: str = "label", classes: int = 0, **params) -> PipelineModel:
+    """Encoder and estimator fitted on the training rows only.
+
+    ``features`` names raw columns to encode; without it the frame brings a ``features`` vector.
+    The label column is numeric: the class code, or the value to predict.
+    """
+    encoder, rows, size = prepare(train, features, label)
+    fitted = fit_prepared(spec, [rows], [size], classes, params)[0]
+    return PipelineModel([encoder, *fitted.stages]) if encoder is not None else fitted
 
 
 def with_score(predictions: DataFrame) -> DataFrame:

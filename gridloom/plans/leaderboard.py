@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.metrics import class_metrics, error_metrics, fold_average, ranking_metrics
-from ..operators.models import ModelSpec, fit_model, with_score
+from ..operators.models import ModelSpec, fit_prepared, prepare, training_rows, with_score
 from ..operators.split import kfold, stratified_kfold, time_folds
+from ..session import checkpointed
 
 LOG = logging.getLogger(__name__)
 # What errors of lost machines, not of a model, say.
@@ -31,37 +34,63 @@ def assign_folds(df: DataFrame, label: str, task: str, key, folds: int, time: st
     return kfold(df, key, folds)
 
 
-def prediction_scores(predictions: DataFrame, label: str, task: str, classes: int) -> dict[str, float]:
-    """The metrics of one set of predictions."""
+def fold_scores(predictions: DataFrame, task: str, classes: int) -> list[tuple]:
+    """(fold, metric, value) of predictions (fold, label, prediction, score) of one model."""
     if task == "regression":
-        found = error_metrics(predictions, label, "prediction").first().asDict()
+        found = {r["fold"]: r.asDict() for r in error_metrics(predictions, "label", "prediction", ["fold"]).collect()}
     else:
-        kept = with_score(predictions).select(
-            col(label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), "score"
-        ).persist()
-        try:
-            found = class_metrics(kept, "actual", "predicted", positive=1).first().asDict()
-            if classes <= 2 and not kept.where("score is not null").isEmpty():
-                found.update(ranking_metrics(kept, "actual", "score").first().asDict())
-        finally:
-            kept.unpersist()
-    return {m: float(v) for m, v in found.items() if v is not None and m != "n"}
+        kept = predictions.select(
+            "fold", F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"), "score")
+        found = {r["fold"]: r.asDict() for r in class_metrics(kept, "actual", "predicted", ["fold"], positive=1).collect()}
+        if classes <= 2 and not kept.where("score is not null").isEmpty():
+            for fold in found:
+                ranks = ranking_metrics(kept.where(F.col("fold") == fold), "actual", "score").first().asDict()
+                found[fold].update(ranks)
+    return [(fold, m, float(v)) for fold, row in found.items() for m, v in row.items() if v is not None and m not in ("n", "fold")]
 
 
-def cross_validate(folded: DataFrame, spec: ModelSpec, features, label: str, classes: int, folds: int,
-                   ordered: bool = False, **params) -> list[tuple]:
-    """(model, fold, metric, value) for every fold; the whole pipeline is refitted each time."""
-    rows = []
+@dataclass(frozen=True)
+class EncodedFold:
+    """Training and test rows (features, label) of a fold under the encoder fitted on its training rows."""
+
+    fold: int
+    train: DataFrame
+    test: DataFrame
+    size: int
+
+
+def encoded_folds(folded: DataFrame, features, label: str, folds: int, ordered: bool = False) -> list[EncodedFold]:
+    """Every fold encoded and written once, for all models."""
+    found = []
     for fold in range(folds):
         train = folded.where((F.col("fold") < fold) if ordered else (F.col("fold") != fold))
-        model = fit_model(train, spec, features, label, classes, **params)
-        found = prediction_scores(model.transform(folded.where(F.col("fold") == fold)), label, spec.task, classes)
-        rows += [(spec.name, fold, metric, value) for metric, value in found.items()]
-    return rows
+        test = folded.where(F.col("fold") == fold)
+        encoder, rows, size = prepare(train, features, label)
+        if encoder is not None:
+            test = encoder.transform(test)
+        found.append(EncodedFold(fold, rows, training_rows(test.withColumn("label", col(label).cast("double"))), size))
+    return found
+
+
+def validate(encoded: list[EncodedFold], spec: ModelSpec, classes: int, **params) -> list[tuple]:
+    """(model, fold, metric, value) for every fold; the model is fitted anew for each."""
+    models = fit_prepared(spec, [e.train for e in encoded], [e.size for e in encoded], classes, params)
+    scored = [
+        with_score(m.transform(e.test)).select(F.lit(e.fold).alias("fold"), "label", "prediction", "score")
+        for m, e in zip(models, encoded)
+    ]
+    predictions = checkpointed(reduce(DataFrame.unionByName, scored))
+    return [(spec.name, *row) for row in fold_scores(predictions, spec.task, classes)]
+
+
+def cross_validate(folded: DataFrame, spec: ModelSpec, features, label: str, classes: int, folds: int,
+                   ordered: bool = False, **params) -> list[tuple]:
+    """(model, fold, metric, value) for every fold; encoder and model are refitted each time."""
+    return validate(encoded_folds(folded, features, label, folds, ordered), spec, classes, **params)
 
 
 def leaderboard(df: DataFrame, specs, features, label: str, key, classes: int = 0, folds: int = 3,
-                time: str | None = None, parallel: int = 2, params: dict | None = None) -> DataFrame:
+                time: str | None = None, parallel: int = 4, params: dict | None = None) -> DataFrame:
     """Mean metrics of every candidate, best first, with its place.
 
     Classes rank by roc_auc, else f1, else accuracy; numbers by the smallest rmse. A candidate that cannot
@@ -70,13 +99,14 @@ def leaderboard(df: DataFrame, specs, features, label: str, key, classes: int =
     specs, params = list(specs), params or {}
     task = specs[0].task
     wanted = [c for c in dict.fromkeys([*(features or ["features"]), label, *key, *([time] if time else [])])]
-    folded = assign_folds(df.select(*[col(c) for c in wanted]), label, task, key, folds, time).persist()
+    folded = checkpointed(assign_folds(df.select(*[col(c) for c in wanted]), label, task, key, folds, time))
+    encoded = encoded_folds(folded, features, label, folds, bool(time))
 
     errors: dict[str, str] = {}
 
     def attempt(spec: ModelSpec) -> list[tuple]:
         try:
-            return cross_validate(folded, spec, features, label, classes, folds, bool(time), **params.get(spec.name, {}))
+            return validate(encoded, spec, classes, **params.get(spec.name, {}))
         except Exception as error:  # a model that cannot handle this table must not end the comparison
             if any(sign in str(error) for sign in INFRASTRUCTURE):
                 raise
@@ -84,11 +114,8 @@ def leaderboard(df: DataFrame, specs, features, label: str, key, classes: int =
             errors[spec.name] = str(error)[:500]
             return []
 
-    try:
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            rows = [row for found in pool.map(attempt, specs) for row in found]
-    finally:
-        folded.unpersist()
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = [row for found in pool.map(attempt, specs) for row in found]
     names = ["roc_auc", "pr_auc", "f1", "precision", "recall", "accuracy"] if task == "classification" else \
         ["rmse", "mae", "r2", "mape"]
     means = fold_average(df.sparkSession.createDataFrame(rows, SCORE_SCHEMA), ["model", "metric"], "value")

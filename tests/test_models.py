@@ -70,10 +70,15 @@ def test_saved_models_predict_the_same(spark, colors, name):
 
 
 def test_candidates_follow_the_shape():
-    names = lambda *a: [s.name for s in candidates(*a)]
-    assert "gbt" not in names("classification", 500, 5, 1) and "gbt" in names("classification", 5000, 5, 1)
-    assert "svm" not in names("classification", 5000, 201, 1) and "knn" not in names("classification", 5000, 501, 1)
-    assert "nb" not in names("classification", 500, 5, 0) and names("regression", 10, 2, 0) == ["lin_reg", "rf_reg", "knn_reg"]
+    def doubtful(*shape):
+        found = candidates(*shape)
+        assert [c.spec.name for c in found] == list(CLASSIFIERS if shape[0] == "classification" else REGRESSORS)
+        assert all((c.reason is None) == c.recommended for c in found)
+        return {c.spec.name for c in found if not c.recommended}
+
+    assert doubtful("classification", 5000, 5, 1) == set() and doubtful("classification", 500, 5, 1) == {"gbt"}
+    assert doubtful("classification", 5000, 201, 1) == {"svm"} and doubtful("classification", 5000, 501, 1) == {"svm", "knn"}
+    assert doubtful("classification", 5000, 5, 0) == {"nb"} and doubtful("regression", 10, 2, 0) == {"gbt_reg"}
 
 
 def test_leaderboard_ranks_and_names_failures(colors):
