@@ -68,26 +68,25 @@ class NearestNeighborsModel(Model, _NeighborParams, MLWritable, MLReadable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` (and ``probability`` for classes). Equal feature vectors share one search."""
-        vector = vector_to_array(col(self.getOrDefault(self.featuresCol)))
-        keyed = df.withColumn("__row", F.xxhash64(vector))
-        queries = keyed.groupBy("__row").agg(F.first(vector).alias("vector"), F.count(F.lit(1)).alias("__rows"))
-        points = self.rows.withColumnRenamed("point", "__row")
+        keyed = df.withColumn("__vector", vector_to_array(col(self.getOrDefault(self.featuresCol))))
+        distinct = keyed.groupBy("__vector").agg(F.count(F.lit(1)).alias("__rows"))
+        queries = checkpointed(distinct.withColumn("__row", F.monotonically_increasing_id()))
+        points = self.rows.withColumnsRenamed({"point": "__row", "vector": "__vector"})
         near = nearest_neighbors(
-            queries, "__row", points, "__row", "vector", self.getOrDefault(self.k), self.getOrDefault(self.blockRows),
+            queries, "__row", points, "__row", "__vector", self.getOrDefault(self.k), self.getOrDefault(self.blockRows),
             payload="label",
         )
         classes = self.getOrDefault(self.numClasses)
         shares = [F.avg((F.col("payload") == c).cast("double")) for c in range(classes)]
         answer = F.array(*shares) if classes else F.avg("payload")
-        answers = near.groupBy("__row").agg(answer.alias("__answer"))
+        answers = near.groupBy("__row").agg(answer.alias("__answer")).join(queries, "__row").drop("__row")
         # Equal vectors make hot keys, which the statistics join spreads.
-        answered = attach(keyed, answers.join(queries.select("__row", "__rows"), "__row"), ["__row"], rows="__rows")
+        answered = attach(keyed, answers, ["__vector"], rows="__rows").drop("__vector", "__rows")
         if not classes:
-            return answered.withColumnRenamed("__answer", "prediction").drop("__row", "__rows")
+            return answered.withColumnRenamed("__answer", "prediction")
         best = F.array_position("__answer", F.array_max("__answer")) - 1
         return answered.withColumns(
-            {"probability": array_to_vector("__answer"), "prediction": best.cast("double")}
-        ).drop("__row", "__rows", "__answer")
+            {"probability": array_to_vector("__answer"), "prediction": best.cast("double")}).drop("__answer")
 
     def write(self):
         return _NeighborsWriter(self)

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import neighbors
 from gridloom.operators.clean import impute_neighbors
 from gridloom.operators.neighbors import knn_classify, knn_regress, nearest_neighbors
 
@@ -42,6 +43,48 @@ def test_nearest_neighbors_are_exact(spark, block_rows, holes):
     assert got == {k: v for k, v in brute(queries, points, 5).items() if v}
 
 
+def test_large_tables_visit_few_blocks(spark, monkeypatch):
+    points = spark.range(200_000).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).alias("v")).cache()
+    queries = points.where("id % 500 = 7").select((F.col("id") + 1_000_000).alias("id"), "v")
+    monkeypatch.setattr(neighbors, "MAX_PIVOTS", 30)  # so that cells are split by pivots of their own
+    visited = []
+    found = nearest_neighbors(queries, "id", points, "id", "v", 5, 1000, region_blocks=16, visited=visited).toPandas()
+    held = points.toPandas().sort_values("id")
+    x = np.stack(held["v"].to_numpy())
+    for key, rows in found.groupby("id"):
+        distance = ((x - x[key - 1_000_000]) ** 2).sum(1)
+        assert rows.sort_values("position")["neighbor"].tolist() == np.lexsort((np.arange(len(x)), distance))[:5].tolist()
+    assert found["id"].nunique() == 400
+    blocks = 200_000 // 1000
+    assert len(visited) >= 2 and visited[0] == 400 and sum(visited) < 0.1 * 400 * blocks
+    points.unpersist()
+
+
+def test_many_patterns_of_missing_coordinates(spark):
+    """More patterns than rows in a block, in regions that mix them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [None if rng.random() < 0.5 else round(float(x), 6) for x in rng.normal(size=9)]) for i in range(400)]
+    asked = [(1000 + i, v) for i, (_, v) in enumerate(rows[:50])]
+    schema = "key long, v array<double>"
+    found = nearest_neighbors(
+        spark.createDataFrame(asked, schema), "key", spark.createDataFrame(rows, schema), "key", "v", 3, 50, region_blocks=20).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["key"], r["position"])):
+        got.setdefault(r["key"], []).append(r["neighbor"])
+    assert got == {k: v for k, v in brute(asked, rows, 3).items() if v}
+
+
+def test_vectors_of_one_hash_keep_their_own_answers(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from gridloom.operators.models import NearestNeighbors
+
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    df = spark.range(40).select(F.col("id").cast("double").alias("label"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    found = NearestNeighbors(k=1).fit(df).transform(df)
+    assert found.where("prediction <> label").count() == 0 and found.count() == 40
+
+
 def test_ties_take_the_smaller_key(spark):
     points = spark.createDataFrame([(i, [1.0]) for i in range(20)], "key long, v array<double>")
     query = spark.createDataFrame([(99, [1.0])], "key long, v array<double>")
