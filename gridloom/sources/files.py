@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ISO_DATE_PATTERN, ISO_TIMESTAMP_PATTERN, col
+from .records import records
 
 # Quotes inside quoted text are doubled; blanks and the empty text stay as they are.
 TEXT_RULES = {
@@ -22,14 +23,30 @@ CSV_TYPES = (
 )
 
 
-def _reader(spark: SparkSession, multiline: bool):
-    # An unquoted empty field is missing, a quoted one is the empty text: so missing needs a mark of its own.
-    return spark.read.options(**{**TEXT_RULES, "emptyValue": "", "nullValue": "\0", "multiLine": multiline})
+# An unquoted empty field is missing, a quoted one is the empty text: so missing needs a mark of its own.
+READ_RULES = {**TEXT_RULES, "emptyValue": "", "nullValue": "\0"}
+
+
+def _raw(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """All columns as text."""
+    plain = spark.read.options(**READ_RULES, multiLine=multiline).csv(path)
+    return _parsed(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in plain.columns])) if multiline else plain
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of files read in byte ranges, parsed by Spark's own CSV parser."""
+    # Columns get other names on the way, as names may repeat or hold any character.
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in READ_RULES.items() if k != "header"}
+    options |= {"mode": "FAILFAST", "nanValue": "NaN", "maxCharsPerColumn": "-1", "multiLine": "true"}
+    row = F.from_csv("__text", inner.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    parsed = records(spark, path).select(row.alias("__row"))
+    return parsed.select(*[F.col(f"__row.c{i}").alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def csv_schema(spark: SparkSession, path: str, sample_rows: int | None = None, multiline: bool = True) -> T.StructType:
     """Types that every value fits, from one pass; ``sample_rows`` reads the first rows alone."""
-    raw = _reader(spark, multiline).csv(path)
+    raw = _raw(spark, path, multiline)
     head = raw if sample_rows is None else raw.limit(sample_rows)
     checks = []
     for i, name in enumerate(raw.columns):
@@ -47,11 +64,13 @@ def csv_schema(spark: SparkSession, path: str, sample_rows: int | None = None, m
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
     """CSV with a header; a value that breaks its column's type raises instead of vanishing.
 
-    Quoted text may hold line ends; then a file is one task. Without such text, ``multiline=False`` splits
-    large files.
+    Quoted text may hold line ends; large files are read in byte ranges all the same. Without such text,
+    ``multiline=False`` spares the pass that looks for it.
     """
     schema = schema or csv_schema(spark, path, multiline=multiline)
-    return _reader(spark, multiline).option("mode", "FAILFAST").option("nanValue", "NaN").schema(schema).csv(path)
+    if multiline:
+        return _parsed(spark, path, schema)
+    return spark.read.options(**READ_RULES).option("mode", "FAILFAST").option("nanValue", "NaN").schema(schema).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
