@@ -5,7 +5,8 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import (
-    chart_series, compare, drill_down, group_aggregate, matrix_long, pie_shares, pivot_cross, pivot_rows, rank,
+    chart_series, compare, drill_down, group_aggregate, matrix_long, pie_shares, pivot_cross, pivot_long, pivot_rows,
+    rank,
 )
 from ..operators.distribution import (
     boxplot, boxplot_outliers, histogram, nice_histogram, sample_rows, scatter,
@@ -80,6 +81,12 @@ for _agg in SQL_AGG:
         return table if agg == "count" else rounded(table, F=4, O=4)
 
 
+@query("pivot_long", """
+select l_shipdate, l_linestatus as level, round(sum(l_extendedprice), 4) as value from lineitem group by l_shipdate, l_linestatus""")
+def pivoted_long(t):
+    return rounded(pivot_long(t("lineitem"), "l_shipdate", "l_linestatus", "l_extendedprice", "sum"), value=4)
+
+
 @query("chart_bar_color", """
 select l_returnflag, l_linestatus, round(sum(l_quantity), 4) as l_quantity
 from lineitem group by l_returnflag, l_linestatus""")

@@ -28,6 +28,12 @@ def codes(t):
     return prepare.encode_target(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
+@query("class_codes", """
+select label, (row_number() over (order by label) - 1)::int as code from (select distinct p_name as label from part)""")
+def label_codes(t):
+    return prepare.class_codes(t("part"), "p_name")
+
+
 @query("target_classes", "select distinct o_orderpriority as label from orders")
 def classes(t):
     return t.spark.createDataFrame([(c,) for c in prepare.target_classes(t("orders"), "o_orderpriority")], "label string")

@@ -70,6 +70,13 @@ def pivot_levels(df: DataFrame, column: str, limit: int = MAX_PIVOT_LEVELS) -> l
     return sorted(r["level"] for r in found)
 
 
+def pivot_long(df: DataFrame, rows: str, columns: str, value: str, agg: str) -> DataFrame:
+    """The cells of a cross table as (rows, level, value): any number of levels."""
+    labelled = df.select(
+        col(rows), F.coalesce(col(columns).cast("string"), F.lit("null")).alias("level"), col(value).alias("value"))
+    return group_aggregate(labelled, [rows, "level"], "value", agg)
+
+
 def pivot_cross(df: DataFrame, rows: str, columns: str, value: str, agg: str, levels=None) -> DataFrame:
     """Rows by column levels; a cell without rows is null. Levels are looked up once if not given."""
     levels = pivot_levels(df, columns) if levels is None else list(levels)

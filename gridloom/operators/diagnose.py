@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +12,7 @@ from .order import quantile_map
 from .profile import cardinality_map, per_column
 
 PATTERN_ROWS = 200
-PAIRS_AT_ONCE = 60
+SUMS_AT_ONCE = 60
 CORRELATION_THRESHOLD = 0.8
 ASSOCIATION_THRESHOLD = 0.3
 
@@ -76,31 +75,61 @@ def outlier_report(df: DataFrame, columns=None, reach: float = 1.5) -> DataFrame
 def _pair_correlation(df: DataFrame, pairs) -> DataFrame:
     """Absolute correlation of column pairs over rows where both are present.
 
-    Many pairs share a wide aggregation, whose code stays small as it holds ``PAIRS_AT_ONCE`` at most. Written out because the built-in ``corr`` raises on a column without variance.
+    A first pass gives count, mean and deviation of every column. Two columns without missing values then need
+    one sum per pair; others need their own moments over the rows they share, about the same means. Wide
+    aggregations hold at most ``SUMS_AT_ONCE`` sums, so that their code is compiled.
     """
     names = sorted({c for pair in pairs for c in pair})
     at = {c: f"__v{i}" for i, c in enumerate(names)}
     values = df.select(*[as_double(df, c).alias(at[c]) for c in names])
-
-    def moments_of(i: int) -> Column:
-        x, y = (F.col(at[c]) for c in pairs[i])
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.struct(F.lit(i).alias("pair"), F.covar_pop(x, y).alias("c"), spread.alias("s")).alias(f"__p{i}")
-
-    parts = []
-    for first in range(0, len(pairs), PAIRS_AT_ONCE):
-        chunk = range(first, min(first + PAIRS_AT_ONCE, len(pairs)))
-        wide = values.agg(*[moments_of(i) for i in chunk])
-        parts.append(wide.select(F.inline(F.array(*[F.col(f"__p{i}") for i in chunk]))))
-    moments = reduce(DataFrame.unionByName, parts)
-    value = F.abs(F.try_divide("c", "s"))
-    labels = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"
-    )
-    # A pair without common rows keeps its row, without a value.
-    return labels.join(moments, "pair", "left").select(
-        "column_a", "column_b", F.when(value > 1.0, 1.0).otherwise(value).alias("value")
-    )
+    rows = F.count(F.lit(1)).alias("rows")
+    seen = values.agg(rows, *[
+        F.struct(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).alias(v) for v in at.values()]).first()
+    full = {c for c in names if seen[at[c]]["n"] == seen["rows"] > 0}
+    centred = values.select(*[(F.col(v) - F.lit(seen[v]["m"] or 0.0)).alias(v) for v in at.values()])
+
+    def sums_of(i: int) -> list[Column]:
+        a, b = pairs[i]
+        x, y = F.col(at[a]), F.col(at[b])
+        if a in full and b in full:
+            return [F.avg(x * y)]
+        here, there = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return [F.avg(x * y), F.avg(here), F.avg(there), F.avg(here * here), F.avg(there * there)]
+
+    value: dict = {}
+    waiting, wide = [], []
+    for i, (a, b) in enumerate(pairs):
+        if a == b:
+            value[i] = 1.0 if seen[at[a]]["s"] else None
+            continue
+        wanted = sums_of(i)
+        if waiting and len(waiting) + len(wanted) > SUMS_AT_ONCE:
+            wide.append(waiting)
+            waiting = []
+        waiting = waiting + [(i, s) for s in wanted]
+    wide += [waiting] if waiting else []
+    for part in wide:
+        row = centred.agg(*[s.alias(f"s{j}") for j, (_, s) in enumerate(part)]).first()
+        found: dict = {}
+        for j, (i, _) in enumerate(part):
+            found.setdefault(i, []).append(row[f"s{j}"])
+        for i, sums in found.items():
+            value[i] = _correlation(sums, *(seen[at[c]]["s"] for c in pairs[i]))
+    return df.sparkSession.createDataFrame(
+        [(a, b, value[i]) for i, (a, b) in enumerate(pairs)], "column_a string, column_b string, value double")
+
+
+def _correlation(sums: list, *deviations) -> float | None:
+    """Absolute correlation from the mean product of two centred columns, and their own moments if rows are missing."""
+    product = sums[0]
+    if len(sums) > 1 and product is not None:
+        product -= sums[1] * sums[2]
+        deviations = [max(0.0, sums[j + 3] - sums[j + 1] ** 2) ** 0.5 for j in range(2)]
+        floor = [1e-7 * sums[j + 3] ** 0.5 for j in range(2)]  # what rounding leaves of no variance
+        deviations = [d if d > f else 0.0 for d, f in zip(deviations, floor)]
+    if product is None or not deviations[0] or not deviations[1]:
+        return None
+    return min(1.0, abs(product / (deviations[0] * deviations[1])))
 
 
 def _empty_pairs(df: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from .prepare import feature_encoder
 
 SEED = 42
 ROWS_PER_TASK = 10_000
+FOREST_DEPTH = 30  # as deep as Spark's forests go
 SMALL_ROWS, WIDE_FEATURES, VERY_WIDE_FEATURES = 1000, 200, 500
 
 
@@ -141,7 +142,7 @@ CLASSIFIERS = {s.name: s for s in (
     ModelSpec("log_reg", "classification", lambda d, k, p: _scaled(
         LogisticRegression(featuresCol="scaled", **{"maxIter": 1000, "tol": 1e-4, **p}))),
     ModelSpec("rf", "classification", lambda d, k, p: [
-        RandomForestClassifier(**{"numTrees": 200, "maxDepth": 15, "seed": SEED, **p})]),
+        RandomForestClassifier(**{"numTrees": 200, "maxDepth": FOREST_DEPTH, "seed": SEED, **p})]),
     ModelSpec("knn", "classification", lambda d, k, p: _scaled(
         NearestNeighbors(featuresCol="scaled", **{"numClasses": max(k, 2), **p}))),
     ModelSpec("svm", "classification", lambda d, k, p: _scaled(
@@ -154,7 +155,7 @@ CLASSIFIERS = {s.name: s for s in (
 REGRESSORS = {s.name: s for s in (
     ModelSpec("lin_reg", "regression", lambda d, k, p: _scaled(LinearRegression(featuresCol="scaled", **p))),
     ModelSpec("rf_reg", "regression", lambda d, k, p: [
-        RandomForestRegressor(**{"numTrees": 300, "maxDepth": 15, "seed": SEED, **p})]),
+        RandomForestRegressor(**{"numTrees": 300, "maxDepth": FOREST_DEPTH, "seed": SEED, **p})]),
     ModelSpec("knn_reg", "regression", lambda d, k, p: _scaled(NearestNeighbors(featuresCol="scaled", **p))),
     ModelSpec("gbt_reg", "regression", lambda d, k, p: [BoostedTrees(**{"seed": SEED, **p})]),
 )}

@@ -77,6 +77,12 @@ def level_codes(levels: DataFrame, value: str) -> DataFrame:
     return numbered.select(*levels.columns, (F.col("__local") + F.col("__start")).cast("int").alias("code"))
 
 
+def class_codes(df: DataFrame, target: str) -> DataFrame:
+    """(label, code) for every label of a class target, in the order of the labels; any number of them."""
+    labels = df.select(col(target).cast("string").alias("label")).where("label is not null").distinct()
+    return level_codes(labels, "label").select("label", F.col("code").cast("int").alias("code"))
+
+
 def target_classes(df: DataFrame, target: str) -> list[str]:
     """The sorted labels of a class target; position is the code."""
     found = df.select(col(target).cast("string").alias("v")).where("v is not null").distinct().limit(MAX_CLASSES + 1).collect()

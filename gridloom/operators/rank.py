@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col
+from ..session import checkpointed
 from .information import mutual_information
 from .models import training_rows
 from .prepare import encode_target, ordinal_encode
@@ -19,7 +20,7 @@ from .profile import per_column
 TOP_FEATURES = 20
 LASSO_ALPHA = 0.001
 RANK_TREES = 100
-MAX_DEPTH = 15
+MAX_DEPTH = 30  # as deep as Spark's forests go
 
 
 def variance_scores(df: DataFrame, columns) -> DataFrame:
@@ -45,12 +46,13 @@ def chi2_scores(df: DataFrame, columns, target: str) -> DataFrame:
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(F.greatest(as_double(df, c), F.lit(0.0))).alias(f"s{i}") for i, c in enumerate(columns)],
     )
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("o")) for i, c in enumerate(columns)])
-    per_feature = Window.partitionBy("feature")  # one row per class
-    expected = F.col("__n") / F.sum("__n").over(per_feature) * F.sum("o").over(per_feature)
-    cells = sums.select("__class", "__n", F.inline(entries)).withColumn("e", expected)
+    sums = checkpointed(sums)
+    total = sums.agg(F.sum("__n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(columns))]).first()
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("o"),
+                 (F.col("__n") / F.lit(total["n"]) * F.lit(total[f"s{i}"])).alias("e")) for i, c in enumerate(columns)])
     part = F.try_divide((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")), F.col("e"))
-    return cells.groupBy("feature").agg(F.sum(part).alias("score"))
+    return sums.select(F.inline(entries)).groupBy("feature").agg(F.sum(part).alias("score"))
 
 
 def _assembled(df: DataFrame, columns, target: str, task: str) -> DataFrame:

@@ -61,6 +61,8 @@ def clean_dataset(df: DataFrame, numeric, categorical, coercions: dict | None =
         report.steps.append("missing_indicator_added")
 
     if strategy == "knn":
+        if key is None:
+            raise ValueError("strategy 'knn' needs key, the column that names a row")
         df = clean.impute_neighbors(df, numeric, key)
     else:
         df = clean.impute(df, numeric, strategy)
