@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import vocabulary
+from ..operators.prepare import level_codes
 from .registry import query
 
 # The phrases put around column values, so that every tag and every default occurs.
@@ -81,3 +83,44 @@ select doc_id, name from d, n where contains(d.plain, n.plain)
   or len(list_filter(string_split(n.plain, ' '), lambda w: not list_contains(string_split(d.plain, ' '), w))) = 0""")
 def mentions(t):
     return t("documents").select("doc_id", F.explode(text.mentioned(F.col("text"), NAMES)).alias("name"))
+
+
+WORDS_SQL = """v as (select word as name, row_number() over (order by word) - 1 as place from (
+  select distinct unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) as word from documents)
+  where word <> '')"""
+
+
+def document_words(t):
+    words = t("documents").select(F.explode(text.tokens(F.col("text"))).alias("name")).distinct()
+    return level_codes(words, "name").select("name", F.col("code").alias("place"))
+
+
+@query("fuzzy_vocabulary", f"""
+with {WORDS_SQL},
+u as (select distinct p_partkey, word from (
+  select p_partkey, unnest(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) as word from part) where word <> ''),
+w as (select distinct word from u),
+s as (select name, place, name as spelled, 0 as cost from v union all
+  select name, place, name[:i - 1] || name[i + 1] || name[i] || name[i + 2:], 1
+  from (select name, place, unnest(range(1, length(name))) as i from v)),
+d as (select word, name, place, min(cost + levenshtein(word, spelled)) as edits from w, s
+  where abs(length(word) - length(spelled)) <= 10 group by word, name, place),
+best as (select word, arg_max(name, (1 - edits / greatest(length(word), length(name)), -place)) as name from d
+  where 1 - edits / greatest(length(word), length(name)) >= 0.8 group by word)
+select distinct p_partkey, name from u join best using (word)""")
+def fuzzy_table(t):
+    return vocabulary.closest_names(t("part"), "p_partkey", "p_name", document_words(t), "name", "place").drop("position")
+
+
+@query("mention_vocabulary", f"""
+with {WORDS_SQL}, n as (
+  select name from v union select string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] from part),
+p as (select distinct p_name as plain from part)
+select p_partkey, name from part join (
+  select plain, name from p, n where contains(plain, name)
+    or len(list_filter(string_split(name, ' '), lambda w: not list_contains(string_split(plain, ' '), w))) = 0) on plain = p_name""")
+def mention_table(t):
+    words = F.split("p_name", " ")
+    turned = t("part").select(F.concat_ws(" ", words[1], words[0]).alias("name"))
+    names = document_words(t).select("name").unionByName(turned)
+    return vocabulary.mentions(t("part"), "p_partkey", "p_name", names, "name")
