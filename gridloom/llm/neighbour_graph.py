@@ -14,6 +14,8 @@ found from everywhere.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,6 +36,8 @@ ROUNDS, SETTLED = 8, 0.05  # at most so many rounds, fewer once this share of en
 BEAM = 256
 LONGEST = 64  # vectors of largest norm that start every beam
 VERIFIED = 60  # of the beam, by the original vectors
+WORKER_ROWS = 1_000  # lists, or lists with their guests, that a Python worker holds
+GUESTS = 256  # queries that visit a node's list together
 CROWD = 2_000  # visitors of a node beyond which they meet in several groups
 GRAPH = "node long, code binary, nbrs array<long>, sims array<float>, open array<boolean>, cand boolean"
 GRAPH_TYPES = [("node", pa.int64()), ("code", pa.binary()), ("nbrs", pa.list_(pa.int64())),
@@ -150,7 +154,7 @@ def _meet(keys, size: int, count: int):
                     b = min(hi, a + size)
                     found.append(_offers(nodes[a:b], code_bytes(codes.slice(a, b - a)), bar[a:b], count))
                     held += len(found[-1][0])
-                if held > 1 << 18:
+                if held > 1 << 16:
                     yield _candidates(found)
                     found, held = [], 0
             if held:
@@ -285,6 +289,18 @@ class _Rounds:
         return self.spark.read.schema(df.schema).parquet(self.path)
 
 
+@contextmanager
+def _small_batches(spark, rows: int):
+    """Lists are wide rows: fewer of them go to a Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _sorted(df: DataFrame, keys: list) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -355,39 +371,46 @@ def _begin(longest: list):
 
 
 def _visit(batches):
-    """Queries beside the list of a visited node: its entries that beat the end of the query's beam."""
+    """Groups of queries beside the list of the node they visit: its entries that beat the end of a query's beam."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        nodes, bar = batch.column("node").to_numpy(), batch.column("bar").to_numpy()
         ids, sizes = _flat(batch.column("ids"))
-        ends = np.cumsum(sizes)
-        codes, lists = batch.column("code"), batch.column("codes").flatten()
-        found = []
-        for i in range(batch.num_rows):
-            lo, hi = ends[i] - sizes[i], ends[i]
-            if lo == hi:
-                continue
+        guests = batch.column("guests").combine_chunks() if isinstance(batch.column("guests"), pa.ChunkedArray) else batch.column("guests")
+        counts = np.diff(guests.offsets.to_numpy())
+        guests = guests.flatten()
+        nodes, bar, codes = guests.field("node").to_numpy(), guests.field("bar").to_numpy(), guests.field("code")
+        lists = batch.column("codes").flatten()
+        ends, last = np.cumsum(sizes), np.cumsum(counts)
+        found, held = [], 0
+        for i in np.flatnonzero(sizes):
+            lo, hi, first, stop = ends[i] - sizes[i], ends[i], last[i] - counts[i], last[i]
             x, norm = decode(code_bytes(lists.slice(lo, hi - lo)))
-            mine, _ = decode(code_bytes(codes.slice(i, 1)))
-            score = x @ mine[0] * norm  # the query's own norm changes no order
-            good = score > bar[i]
-            found.append((np.full(int(good.sum()), nodes[i]), ids[lo:hi][good], score[good]))
-        if found:
+            mine, _ = decode(code_bytes(codes.slice(first, stop - first)))
+            score = (mine @ x.T) * norm  # the query's own norm changes no order
+            good = score > bar[first:stop, None]
+            query, entry = np.nonzero(good)
+            found.append((nodes[first:stop][query], ids[lo:hi][entry], score[good]))
+            held += len(query)
+            if held > 1 << 16:
+                yield _candidates(found)
+                found, held = [], 0
+        if held:
             yield _candidates(found)
 
 
-
 def _at_lists(visits: DataFrame, lists: DataFrame) -> DataFrame:
-    """Visits beside the list of the node they go to. Nodes that take 1/200 of all visits or more (so at most 200)
-    have their lists broadcast, so that none is one task's work."""
+    """Visits, in groups of some ``GUESTS``, beside the list of the node they go to. Nodes that take 1/200 of all
+    visits or more (so at most 200) have their lists broadcast, so that none is one task's work."""
     counts = stored(visits.groupBy("at").agg(F.count(F.lit(1)).alias("n")), "visits")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = [r[0] for r in counts.where((F.col("n") > CROWD) & (F.col("n") * 200 >= total)).select("at").collect()]
+    groups = split_crowds(visits, ["at"], counts, GUESTS).groupBy("at", "group").agg(
+        F.collect_list(F.struct("node", "code", "bar")).alias("guests")).drop("group")
     if not hot:
-        return visits.join(lists, "at")
-    cold = visits.where(~F.col("at").isin(hot)).join(lists, "at")
-    return cold.unionByName(visits.where(F.col("at").isin(hot)).join(F.broadcast(lists.where(F.col("at").isin(hot))), "at"))
+        return groups.join(lists, "at")
+    cold = groups.where(~F.col("at").isin(hot)).join(lists, "at")
+    return cold.unionByName(groups.where(F.col("at").isin(hot)).join(F.broadcast(lists.where(F.col("at").isin(hot))), "at"))
 
 
 def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
@@ -409,8 +432,9 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = B
                       F.expr("cast(array() as array<float>)").alias("sims"),
                       F.expr("cast(array() as array<boolean>)").alias("open"), F.lit(False).alias("cand"))
     starts = own.mapInArrow(_begin([(n, bytes(c)) for n, c in longest]), GRAPH)
-    here = own.select("node", "code", F.lit(float("-inf")).cast("float").alias("bar"))
-    near = here.join(lists, here["node"] == lists["at"]).mapInArrow(_visit, GRAPH)
+    here = own.select(F.col("node").alias("at"), F.array(F.struct(
+        "node", "code", F.lit(float("-inf")).cast("float").alias("bar"))).alias("guests"))
+    near = here.join(lists, "at").mapInArrow(_visit, GRAPH)
     table = _Rounds(spark, "beams")
     beams = table.put(_sorted(own.unionByName(starts).unionByName(near), ["node"]).mapInArrow(_merge(beam, None), GRAPH))
     while not beams.where(F.exists("open", lambda o: o)).isEmpty():
@@ -434,10 +458,11 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20, beam: int
     found. An empty table gives no rows. Wider beams and longer lists find more of the true neighbours.
     """
     nodes, rows = nodes_of(vectors, k + 1)
-    graph, codes = neighbour_graph(nodes, size, rounds)
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = stored(asked.join(nodes.select("vector", "node"), "vector").select(F.col("vec_id").alias("query_id"), "node"), "queries")
-    found = search(graph, codes, queries, beam)
+    with _small_batches(vectors.sparkSession, WORKER_ROWS):
+        graph, codes = neighbour_graph(nodes, size, rounds)
+        found = search(graph, codes, queries, beam)
     pairs = found.select(F.col("node").alias("query"), F.explode(F.slice("nbrs", 1, verified)).alias("node"))
     own = found.select(F.col("node").alias("query"), "node")
     exact = nodes.select("node", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "ids")
