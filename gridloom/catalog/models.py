@@ -50,6 +50,20 @@ def fitted_on_parts(t, name, **params):
     return predicted(model, rows.where("not is_train"), "p_partkey", "p_retailprice")
 
 
+def bayes_sql(rows: str) -> str:
+    """Gaussian naive Bayes in closed form. ``rows`` selects id, label, v (features), trains, asked; gives (id, label, said)."""
+    return f"""
+r as ({rows}),
+e as (select id, label, trains, asked, unnest(v)::double as x, generate_subscripts(v, 1) as i from r),
+prior as (select label, ln(count(*)) - ln(sum(count(*)) over ()) as p from r where trains group by label),
+m as (select label, i, avg(x) as mu, var_pop(x) as var from e where trains group by label, i),
+least as (select 1e-9 * max(var) as eps from (select var_pop(x) as var from e where trains group by i)),
+ll as (select e.id, m.label, any_value(p) - sum(ln(2 * pi() * (var + eps)) + (x - mu) ** 2 / (var + eps)) / 2 as l
+  from e join m using (i) join prior on prior.label = m.label, least where asked group by e.id, m.label),
+said as (select id, arg_max(label, l) as said from ll group by id),
+answer as (select id, label, said from said join r using (id))"""
+
+
 @query("fit_log_reg")
 def log_reg(t):
     return fitted_on_documents(t, "log_reg")
@@ -65,7 +79,12 @@ def svc(t):
     return fitted_on_documents(t, "svm")
 
 
-@query("fit_nb")
+BAYES_VECTORS = bayes_sql(f"""
+select vec_id as id, label, embedding as v, {hash_sql('vec_id')} < {TRAIN_LIMIT} as trains,
+  {hash_sql('vec_id')} >= {TRAIN_LIMIT} as asked from embeddings""")
+
+
+@query("fit_nb", f"with {BAYES_VECTORS} select id as vec_id, label as actual, said::double as prediction from answer")
 def bayes(t):
     return fitted_on_vectors(t, "nb")
 
@@ -186,13 +205,20 @@ def order_model(t):
     return model, features, classes
 
 
-@query("score_rows")
+BAYES_ORDERS = bayes_sql("""
+select o_orderkey as id, o_orderstatus as label, true as trains, true as asked, [o_totalprice] || list_transform(
+  (select list(distinct o_orderpriority order by o_orderpriority) from orders), lambda p: (o_orderpriority = p)::int::double) as v
+from orders""")
+SCORED_SQL = f"with {BAYES_ORDERS} select orders.*, said as predicted_o_orderstatus from orders join answer on o_orderkey = id"
+
+
+@query("score_rows", SCORED_SQL)
 def scored(t):
     model, features, classes = order_model(t)
     return score_rows(model, t("orders"), features, "o_orderstatus", classes)
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", SCORED_SQL)
 def reloaded(t):
     model, features, classes = order_model(t)
     path = scratch_path(t.spark, "model")
