@@ -4,7 +4,8 @@ Features are cut once into at most 256 bins by mergeable quantile sketches; a tr
 blocks of bin bytes. A level of all trees that are being grown (one per training set and class) is one job:
 tasks sum first and second derivatives per tree, node, feature and bin over their blocks, a shuffle by tree
 and feature adds them up, and where a feature's sums meet its best cut is chosen, so the driver sees one
-proposal per tree and node and task. Derivatives are whole numbers of a fixed scale: sums, and with them
+proposal per tree and node and task. The first tree counts in full, as in Spark's own boosted trees, later ones by the
+learning rate. Derivatives are whole numbers of a fixed scale: sums, and with them
 trees, do not depend on how rows are spread. Every few rounds blocks take the new trees into their margins
 and are written to the shared folder; a lost executor costs at most those rounds' trees to apply again.
 """
@@ -296,7 +297,8 @@ class _Plan:
                 for s, c in slots:
                     _, scale, cuts = self.sets[s]
                     opened[s][c] = _split(
-                        trees[s][c], opened[s][c], best.get((s, c)), cuts, self.rate, scale, level + 1 < self.depth)
+                        trees[s][c], opened[s][c], best.get((s, c)), cuts, self.rate if round_ else 1.0, scale,
+                        level + 1 < self.depth)
             for s in self.sets:
                 grown[s].append(trees[s])
                 pending[s].append(trees[s])

@@ -27,10 +27,11 @@ def data(kind, rows=500, seed=0):
     return x, y
 
 
-def plain_trees(x, y, start, classes, scale, rounds, depth, rate):
+def plain_trees(x, y, start, classes, scale, rounds, depth, rate_):
     """Per round and class {node: (feature, threshold)} by looking at every cut of every feature."""
     out, margins = [], np.tile(start, (len(x), 1))
-    for _ in range(rounds):
+    for round_ in range(rounds):
+        rate = rate_ if round_ else 1.0
         first, second = B.derivatives(margins, y, classes, scale)
         trees, added = [], np.zeros_like(margins)
         for c in range(margins.shape[1]):
@@ -74,7 +75,7 @@ def test_same_splits_as_a_plain_booster(spark, monkeypatch, kind, classes):
     df = table(spark, x, y)
     start, scale, count = B._starts(df, classes)
     assert count == len(x)
-    want, margins = plain_trees(x, y, start, classes, scale, rounds=3, depth=3, rate=0.3)
+    want, margins = plain_trees(x, y, start, classes, scale, rounds=3, depth=3, rate_=0.3)
     found = {}
     for rows in (B.BLOCK_ROWS, 90):  # one block grown in a task; several grown by jobs
         monkeypatch.setattr(B, "BLOCK_ROWS", rows)
