@@ -11,6 +11,7 @@ against the patterns around it. Candidates inside patterns of high confidence ar
 from __future__ import annotations
 
 import re
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +41,7 @@ WINDOW = 64  # characters in which context words are looked for
 ROUNDS = 3
 LEAST_SCORE = 0.8
 LEAST_SEEDS = 5  # different seed values a pattern must surround
+PATTERN_SHARE = 20_000  # strong patterns looked up in one pass over the texts
 PRIOR = 1.0  # instances of score 0 that every pattern is taken to surround besides its own
 
 ITEM = pa.struct([
@@ -93,14 +95,22 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 
 def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates, outside the base matches and one another."""
-    taken, found = sorted((s, e) for _, s, e in taken), []
+    """Candidates, outside the base matches and one another; an earlier kind wins. Linear in the matches, after one sort."""
+    found: list[tuple[int, int, int]] = []
+    busy = sorted((s, e) for _, s, e in taken)
     for kind, (hint, shape) in enumerate(zip(HINTS, LOOSE)):
-        if hint.search(text):
-            for m in shape.finditer(text):
-                if all(m.end() <= s or e <= m.start() for s, e in taken):
-                    found.append((kind, *m.span()))
-                    taken.append(m.span())
+        if not hint.search(text):
+            continue
+        free, at, reach = [], 0, 0  # matches rise, and reach is the furthest end of a span that begins before one's end
+        for m in shape.finditer(text):
+            start, end = m.span()
+            while at < len(busy) and busy[at][0] < end:
+                reach = max(reach, busy[at][1])
+                at += 1
+            if reach <= start:
+                free.append((start, end))
+        found += [(kind, *span) for span in free]
+        busy = list(merge(busy, free))
     return found
 
 
@@ -120,11 +130,13 @@ def _items(batches):
         for text in batch.column("text").to_pylist():
             base, failed = base_spans(text)
             loose = loose_spans(text, base + failed)
-            failed += [x for x in loose if not _holds(x[0], text[x[1]:x[2]])]
+            wrong = [x for x in loose if not _holds(x[0], text[x[1]:x[2]])]
+            failed += wrong
+            wrong = set(wrong)
             rows.append([
                 {"kind": k, "start": s, "end": e, "base": spans is base, "failed": spans is failed,
                  "value": text[s:e].lower(), **dict(zip(("left", "before", "right"), _context(text, s, e)))}
-                for spans in (base, failed, [x for x in loose if x not in failed]) for k, s, e in spans])
+                for spans in (base, failed, [x for x in loose if x not in wrong]) for k, s, e in spans])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(rows, pa.list_(ITEM))], ["doc_id", "text_key", "items"])
 
@@ -146,11 +158,11 @@ def pattern_scores(items: DataFrame) -> DataFrame:
     # One edge per pattern and distinct instance; an instance that is a seed anywhere is one everywhere.
     edges = stored(edges.groupBy("kind", "value", "pattern").agg(
         F.max("base").alias("seed"), F.max("failed").alias("failed")), "pattern-edges")
-    instances = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("worth"))
+    degree = F.count(F.lit(1)).alias("degree")
+    instances = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("worth"), degree)
     for last in range(ROUNDS):
-        instances = stored(instances.withColumnsRenamed({"kind": "__k", "value": "__v"}), "instances")
-        same = (F.col("kind") == F.col("__k")) & (F.col("value") == F.col("__v"))
-        scores = edges.join(instances, same).groupBy("pattern").agg(
+        # A value with very many patterns, or a pattern around very many values, is a hot key: attach spreads both.
+        scores = attach(edges, instances, ["kind", "value"], "degree").groupBy("pattern").agg(
             (F.sum("worth") / (F.count(F.lit(1)) + PRIOR)).alias("score"),
             F.sum(F.col("seed").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("instances"))
         scores = stored(scores, "patterns")
@@ -160,10 +172,64 @@ def pattern_scores(items: DataFrame) -> DataFrame:
             around = attach(edges, scores, ["pattern"], "instances")
             joint = 1 - F.exp(F.sum(F.log(1 - F.least(heard, F.lit(0.999)))))
             instances = around.groupBy("kind", "value").agg(
-                F.when(F.max("seed"), 1.0).when(F.max("failed"), 0.0).otherwise(joint).alias("worth"))
+                F.when(F.max("seed"), 1.0).when(F.max("failed"), 0.0).otherwise(joint).alias("worth"), degree)
     return scores
 
 
+def _slots(patterns: list[str]):
+    """Arrow batches of texts to (pattern, slots): how often the context of each pattern occurs, whatever it surrounds."""
+    def run(batches):
+        wanted: dict = {}
+        for pattern in patterns:
+            _, side, *words = pattern.split("\u0001")
+            wanted.setdefault((side, *words), []).append(pattern)
+        left = {k[1] for k in wanted if k[0] in ("L", "LR")} | {k[1].rsplit(" ", 1)[-1] for k in wanted if k[0] == "LL"}
+        right = {k[1] for k in wanted if k[0] == "R"}
+        counts: dict = dict.fromkeys(wanted, 0)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = text.lower().split()
+                if len(words) < 2 or (left.isdisjoint(words) and right.isdisjoint(words)):
+                    continue
+                last = len(words) - 1
+                for i, word in enumerate(words):
+                    if word in left and i < last:
+                        keys = [("L", word), ("LL", f"{words[i - 1]} {word}")] if i else [("L", word)]
+                        keys += [("LR", word, words[i + 2])] if i + 1 < last else []
+                        for key in keys:
+                            if key in counts:
+                                counts[key] += 1
+                    if i and word in right:
+                        counts["R", word] += 1
+        rows = [(pattern, n) for key, n in counts.items() for pattern in wanted[key] if n]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["pattern", "slots"])
+
+    return run
+
+
+def specific_patterns(texts: DataFrame, items: DataFrame, strong: DataFrame) -> DataFrame:
+    """The strong patterns whose context seldom occurs without an identifier: a common word surrounds anything.
+
+    Of all places of a pattern in the whole texts, those held by candidates aside, at least ``LEAST_SCORE`` must hold a
+    base match. Patterns are looked up in shares of bounded size, each by a pass over the texts.
+    """
+    strong = stored(strong, "strong")
+    shares = max(1, -(-strong.count() // PATTERN_SHARE))
+    counted = None
+    for share in range(shares):
+        mine = [r[0] for r in strong.where(F.pmod(F.xxhash64("pattern"), F.lit(shares)) == share).select("pattern").collect()]
+        part = texts.select("text").mapInArrow(_slots(mine), "pattern string, slots long")
+        counted = part if counted is None else counted.unionByName(part)
+    slots = counted.groupBy(F.col("pattern").alias("__s")).agg(F.sum("slots").alias("slots"))
+    held = items.withColumn("pattern", F.explode(_patterns())).groupBy(F.col("pattern").alias("__h")).agg(
+        F.count_if(F.col("base")).alias("hits"), F.count_if(~F.col("base") & ~F.col("failed")).alias("open"), F.count(F.lit(1)).alias("all"))
+    rated = strong.join(held, F.col("pattern") == F.col("__h")).join(slots, F.col("pattern") == F.col("__s"), "left")
+    # An identifier of several words is no one-word slot, so there are at least as many places as matches.
+    places = F.greatest(F.coalesce("slots", F.lit(0)), F.col("all"))
+    return rated.where(F.col("hits") >= LEAST_SCORE * (places - F.col("open") + PRIOR)).select("pattern", "instances")
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
 
@@ -177,9 +243,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = stored(rows.mapInArrow(_items, f"doc_id long, text_key string, items array<{ITEM_SQL}>"), "identifiers")
     items = found.select("doc_id", "text_key", F.explode("items").alias("__item")).select("doc_id", "text_key", "__item.*")
     strong = pattern_scores(items).where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
+    strong = specific_patterns(rows, items, strong)
     loose = items.where("not base and not failed").withColumn("pattern", F.explode(_patterns()))
-    new = loose.join(strong.select(F.col("pattern").alias("__p")), F.col("pattern") == F.col("__p"), "left_semi")
-    new = new.select("doc_id", "text_key", "kind", "start", "end").distinct().groupBy("doc_id", "text_key").agg(
+    new = attach(loose, strong, ["pattern"], "instances").select("doc_id", "text_key", "kind", "start", "end").distinct().groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("__new"))  # bounded by one document
     new = new.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -73,6 +74,36 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
     assert all(got[i]["n_found"] == 0 and got[i]["n_phone"] == 1 for i in range(40))
 
 
+def test_common_words_are_no_patterns(spark):
+    """Function words around addresses do not make a clock reading or a verse number an address."""
+    rng = random.Random(6)
+    rows = [(i, f"we saw the 10.0.0.{i} and {words(rng, 6)}", "", "", 0) for i in range(12)]
+    rows += [(100 + i, f"the {words(rng, 1)} and the {words(rng, 4)} then", "", "", 0) for i in range(40)]
+    rows += [(200, "it was the 12:30:45:10 and late", "", "", 0), (201, "read the 1:2:3:4 and pray", "", "", 0)]
+    rows += [(300 + i, f"{words(rng, 5)} gateway= 10.1.0.{i} {words(rng, 5)}", "", "", 0) for i in range(12)]
+    rows += [(400, f"{words(rng, 5)} gateway= ab12:0:0:9:1 {words(rng, 5)}", "", "", 0)]
+    got = {r["doc_id"]: r["n_found"] for r in P.find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, n in got.items() if n} == {400}
+
+
+def test_many_candidates_in_one_text_are_linear():
+    text = "call 555-010-1234 or 12:30:45:10 " * 60_000
+    begin = time.perf_counter()
+    found = P.loose_spans(text, P.base_spans(text)[0])
+    assert len(found) == 120_000 and time.perf_counter() - begin < 2 * 3  # 100,000 in 2 s, on a busy machine
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("12:. -(a@") for _ in range(rng.randint(0, 80)))
+        base, failed = P.base_spans(text)
+        taken, want = [(s, e) for _, s, e in base + failed], []
+        for kind, shape in enumerate(P.LOOSE):
+            for m in shape.finditer(text) if P.HINTS[kind].search(text) else ():
+                if all(m.end() <= s or e <= m.start() for s, e in taken):
+                    want.append((kind, *m.span()))
+                    taken.append(m.span())
+        assert P.loose_spans(text, base + failed) == want
+
+
 def quality_rows(count=700, seed=1):
     rng = random.Random(seed)
     docs, labels = [], []
