@@ -94,6 +94,26 @@ def perceptron(t):
     return fitted_on_vectors(t, "mlp")
 
 
+@query("fit_svm_kernel")
+def kernel_svc(t):
+    return fitted_on_vectors(t, "svm_kernel")
+
+
+@query("fit_mlp_adam")
+def network(t):
+    return fitted_on_vectors(t, "mlp_adam")
+
+
+@query("fit_svr")
+def kernel_regressor(t):
+    return fitted_on_parts(t, "svr")
+
+
+@query("fit_mlp_reg")
+def network_regressor(t):
+    return fitted_on_parts(t, "mlp_reg")
+
+
 @query("fit_gbt")
 def boosted(t):
     return fitted_on_documents(t, "gbt")
@@ -163,9 +183,9 @@ def averaged(t):
 
 
 @query("model_candidates", """
-select unnest(['log_reg', 'rf', 'knn', 'svm', 'nb', 'mlp', 'gbt']) as model,
-       unnest([true, true, true, true, true, true, count(*) >= 1000]) as recommended,
-       unnest([null, null, null, null, null, null, case when count(*) < 1000 then 'fewer than 1000 rows' end]) as reason
+select unnest(['log_reg', 'rf', 'knn', 'svm', 'nb', 'mlp', 'gbt', 'svm_kernel', 'mlp_adam']) as model,
+       unnest([true, true, true, true, true, true, count(*) >= 1000, true, true]) as recommended,
+       unnest([null, null, null, null, null, null, case when count(*) < 1000 then 'fewer than 1000 rows' end, null, null]) as reason
 from labels join documents using (doc_id)""")
 def shortlist(t):
     found = candidates("classification", labelled_documents(t).count(), len(DOC_FEATURES), 2)

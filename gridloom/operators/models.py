@@ -22,7 +22,9 @@ from ..functions.columns import col
 from ..session import checkpointed
 from .attach import attach
 from .boosting import BoostedTrees
+from .kernel import KernelMachine
 from .neighbors import BLOCK_ROWS, nearest_neighbors
+from .network import NeuralNetwork
 from .prepare import feature_encoder
 
 SEED = 42
@@ -151,6 +153,10 @@ CLASSIFIERS = {s.name: s for s in (
     ModelSpec("mlp", "classification", lambda d, k, p: _scaled(MultilayerPerceptronClassifier(
         featuresCol="scaled", **{"layers": [d, 100, max(k, 2)], "maxIter": 1000, "seed": SEED, **p}))),
     ModelSpec("gbt", "classification", lambda d, k, p: [BoostedTrees(**{"numClasses": max(k, 2), "seed": SEED, **p})]),
+    ModelSpec("svm_kernel", "classification", lambda d, k, p: _scaled(
+        KernelMachine(featuresCol="scaled", **{"numClasses": max(k, 2), "seed": SEED, **p}))),
+    ModelSpec("mlp_adam", "classification", lambda d, k, p: _scaled(
+        NeuralNetwork(featuresCol="scaled", **{"numClasses": max(k, 2), "seed": SEED, **p}))),
 )}
 REGRESSORS = {s.name: s for s in (
     ModelSpec("lin_reg", "regression", lambda d, k, p: _scaled(LinearRegression(featuresCol="scaled", **p))),
@@ -158,6 +164,8 @@ REGRESSORS = {s.name: s for s in (
         RandomForestRegressor(**{"numTrees": 300, "maxDepth": FOREST_DEPTH, "seed": SEED, **p})]),
     ModelSpec("knn_reg", "regression", lambda d, k, p: _scaled(NearestNeighbors(featuresCol="scaled", **p))),
     ModelSpec("gbt_reg", "regression", lambda d, k, p: [BoostedTrees(**{"seed": SEED, **p})]),
+    ModelSpec("svr", "regression", lambda d, k, p: _scaled(KernelMachine(featuresCol="scaled", **{"seed": SEED, **p}))),
+    ModelSpec("mlp_reg", "regression", lambda d, k, p: _scaled(NeuralNetwork(featuresCol="scaled", **{"seed": SEED, **p}))),
 )}
 MODELS = {**CLASSIFIERS, **REGRESSORS}
 PENALIZED = ("log_reg", "svm")
