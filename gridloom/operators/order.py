@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import all_of, as_double, col, same
 from ..session import checkpointed
 from .attach import broadcastable
+from .brackets import whole_quantiles
 
 # Distinct values one aggregation buffer may hold before the distributed form is used.
 MAX_BUFFERED_VALUES = 250_000
 MAX_RANGES = 4096
+BRACKETED = 8  # more quantiles than that are as many comparisons a value; locating them by range costs less
 
 
 def range_splits(df: DataFrame, value: str) -> list[float]:
@@ -121,8 +123,9 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), limit: int = MAX_BUF
     """Exact linearly interpolated quantiles: one row per group and column.
 
     Output: the group columns, ``column``, ``n`` (non-missing values) and ``q`` (array in the order
-    of ``probabilities``; null when the group has no value). Columns whose distinct values fit one
-    aggregation buffer use the built-in ``percentile``; larger ones are located by range.
+    of ``probabilities``; null when the group has no value). A few quantiles of a whole table are bracketed
+    by sketches. Otherwise columns whose distinct values fit one aggregation buffer use the built-in
+    ``percentile``; larger ones are located by range.
     """
     columns, by = list(columns), list(by)
     keys = [f"__by{i}" for i in range(len(by))]
@@ -132,6 +135,10 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), limit: int = MAX_BUF
         *[as_double(df, c).alias(n) for c, n in zip(columns, names)],
     )
     title = dict(zip(names, columns))
+    found = None if by or len(probabilities) > BRACKETED else whole_quantiles(values, names, [float(p) for p in probabilities], limit)
+    if found is not None:
+        return df.sparkSession.createDataFrame(
+            [(title[c], n, q) for c, (n, q) in found.items()], "column string, n long, q array<double>")
     small = _buffered_columns(values, keys, names, limit)
     large = [n for n in names if n not in small]
     parts = []

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import split
+from gridloom.operators import brackets, split
 from gridloom.operators.attach import attach
 from gridloom.operators.engineer import frequency
 from gridloom.operators.order import quantile_map, quantiles, range_splits, running_totals
@@ -112,3 +113,39 @@ def test_time_folds_expand(spark):
     blocks = split.time_folds(df.withColumn("d", F.to_date("d")), "d", ["id"], 3).collect()
     assert sorted(r["block"] for r in blocks) == [0, 0, 0, 0, 1, 1, 2, 2, 3, 3]
     assert next(r["block"] for r in blocks if r["id"] == 5) == 3  # no date sorts last
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_bracketed_quantiles_match_numpy(spark, monkeypatch, accuracy):
+    """Distinct, tied, constant, empty and infinite columns; small sketches narrow a bracket more than once."""
+    for name, value in (("ACCURACY", accuracy), ("SLACK", 2 / accuracy), ("FEW_ROWS", 2 * accuracy), ("COLUMNS_AT_ONCE", 4)):
+        monkeypatch.setattr(brackets, name, value)
+    counted, real = [], brackets._count
+    monkeypatch.setattr(brackets, "_count", lambda v, b: counted.append([x.inside for x in b]) or real(v, b))
+    rng = np.random.default_rng(5)
+    n = 30_000
+    data = {"distinct": rng.normal(size=n), "tied": rng.integers(0, 5, n).astype(float), "same": np.full(n, 2.5),
+            "holes": np.where(rng.random(n) < 0.5, np.nan, rng.exponential(size=n)),
+            "far": np.where(rng.random(n) < 0.4, -np.inf, rng.normal(size=n)), "none": np.full(n, np.nan)}
+    df = spark.createDataFrame(pd.DataFrame(data)).repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.7501, 1.0]
+    found = {r["column"]: r for r in quantiles(df, list(data), probs, limit=0).collect()}
+    for c, values in data.items():
+        kept = values[~np.isnan(values)]
+        assert found[c]["n"] == len(kept)
+        if c == "none":
+            assert found[c]["q"] is None
+            continue
+        ordered = np.sort(kept)
+        for p, q in zip(probs, found[c]["q"]):
+            spot = (len(kept) - 1) * p
+            low, high = ordered[int(np.floor(spot))], ordered[int(np.ceil(spot))]
+            assert q == (low if low == high else low + (high - low) * (spot - np.floor(spot))), (c, p)
+    assert len(counted) == (2 if accuracy == 100 else 1)
+
+
+def test_missed_brackets_are_located_instead(spark, monkeypatch):
+    monkeypatch.setattr(brackets, "FEW_ROWS", 10)
+    monkeypatch.setattr(brackets, "_count", lambda v, b: False)
+    df = spark.range(101).select(F.col("id").cast("double").alias("v"))
+    assert quantiles(df, ["v"], [0.25, 0.5], limit=0).first()["q"] == [25.0, 50.0]
