@@ -7,7 +7,7 @@ from ..operators.models import CLASSIFIERS, REGRESSORS, candidates, fit_model, l
 from ..operators.neighbors import knn_classify, knn_regress, nearest_neighbors, standardize
 from ..operators.prepare import encode_target, target_classes
 from ..operators.split import random_split
-from ..plans.leaderboard import leaderboard, permutation_importance
+from ..plans.leaderboard import leaderboard, permutation_importance, permuted
 from ..session import scratch_path
 from .evaluate import RANGE, hash_sql
 from .features import labelled_documents
@@ -96,12 +96,12 @@ def perceptron(t):
 
 @query("fit_svm_kernel")
 def kernel_svc(t):
-    return fitted_on_vectors(t, "svm_kernel")
+    return fitted_on_documents(t, "svm_kernel")
 
 
 @query("fit_mlp_adam")
 def network(t):
-    return fitted_on_vectors(t, "mlp_adam")
+    return fitted_on_documents(t, "mlp_adam")
 
 
 @query("fit_svr")
@@ -217,6 +217,19 @@ def shuffled(t):
     return permutation_importance(model, test, DOC_FEATURES, "quality", ["doc_id"], "classification")
 
 
+@query("permuted_rows", f"""
+with placed as (select c_custkey, c_acctbal, c_mktsegment, row_number() over (order by {hash_sql('c_custkey')}, c_custkey) - 1 as place,
+  count(*) over () as n from customer),
+trials as (select feature, repeat::int as repeat, ('0x' || substr(md5('42-' || feature || '-' || repeat), 1, 13))::bigint as drawn
+  from (select unnest(['c_acctbal', 'c_mktsegment']) as feature), range(5) r(repeat))
+select feature, repeat, a.c_custkey, case when feature = 'c_acctbal' then b.c_acctbal else a.c_acctbal end as c_acctbal,
+  case when feature = 'c_mktsegment' then b.c_mktsegment else a.c_mktsegment end as c_mktsegment
+from placed a cross join trials join placed b on b.place = (a.place + 1 + drawn % (a.n - 1)) % a.n""")
+def moved(t):
+    rows = t("customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return permuted(rows, ["c_acctbal", "c_mktsegment"], ["c_custkey"], repeats=5)
+
+
 def order_model(t):
     orders, features = t("orders"), ["o_totalprice", "o_orderpriority"]
     classes = target_classes(orders, "o_orderstatus")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -11,7 +12,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, quoted, type_of
+from ..functions.hashing import HASH_DIGITS, HASH_RANGE, row_number_hash
 from ..operators.metrics import class_metrics, error_metrics, fold_average, ranking_metrics
 from ..operators.models import ModelSpec, fit_prepared, prepare, training_rows, with_score
 from ..operators.split import kfold, stratified_kfold, time_folds
@@ -127,26 +129,52 @@ def leaderboard(df: DataFrame, specs, features, label: str, key, classes: int =
     return table.withColumn("place", place).orderBy("place")
 
 
+def hash_places(df: DataFrame, key, seed: int) -> tuple[DataFrame, int]:
+    """(rows with ``__place``, their number): places 0 to n - 1 in the order of a hash of the key, then the key.
+
+    Hashes are uniform, so ranges of them are about equal; a range is sorted by itself behind the counts before it.
+    """
+    shared = checkpointed(df.withColumn("__hash", row_number_hash(key, seed)))
+    n = shared.count()
+    step = -(-HASH_RANGE // max(1, -(-n // BUCKET_ROWS)))
+    ranged = shared.withColumn("__range", F.floor(F.col("__hash") / F.lit(step)).cast("long"))
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per 50,000 rows
+    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__hash", *[col(k) for k in key])) - 1
+    placed = ranged.withColumn("__inside", inside).join(offsets, "__range")
+    return placed.select(*[col(c) for c in df.columns], (F.col("__before") + F.col("__inside")).alias("__place")), n
+
+
+def turn(feature: str, repeat: int, rows: int, seed: int) -> int:
+    """By how many places a trial moves its feature: 1 to rows - 1, from the leading digits of an md5."""
+    digest = hashlib.md5(f"{seed}-{feature}-{repeat}".encode()).hexdigest()
+    return 1 + int(digest[:HASH_DIGITS], 16) % (rows - 1) if rows > 1 else 0
+
+
 def permuted(df: DataFrame, features, key, repeats: int, seed: int = 42) -> DataFrame:
     """One copy of the rows per (feature, repeat), with that feature taken from another random row.
 
-    Rows are dealt into bounded buckets and ordered by a hash; each takes the value of its successor,
-    the last one that of the first.
+    Rows stand in hash order of their key, in a circle; a trial takes every value of its feature from the row a
+    drawn number of places further on. Rows are shuffled once, and per trial only the one value that moves.
     """
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    trials = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)
+    features = list(features)
+    placed, n = hash_places(df, key, seed)
+    placed = checkpointed(placed)
+    trials = [(f, r) for f in features for r in range(repeats)]
+    kinds = {f: type_of(df, f) for f in features}
+    moves = F.array(*[
+        F.struct(
+            F.pmod(F.col("__place") - F.lit(turn(f, r, n, seed)), F.lit(max(1, n))).alias("__to"), F.lit(f).alias("feature"),
+            F.lit(r).alias("repeat"),
+            *[(col(o) if o == f else F.lit(None).cast(kinds[o])).alias(f"__t{i}") for i, o in enumerate(features)])
+        for f, r in trials
     ])
-    copies = df.select("*", F.inline(trials))
-    salt = F.xxhash64(*[col(k) for k in key], "feature", "repeat", F.lit(seed))
-    order = Window.partitionBy("feature", "repeat", F.pmod(salt, F.lit(buckets))).orderBy(F.xxhash64(salt), *[col(k) for k in key])
-    taken = {
-        f: F.coalesce(F.lead(F.struct(col(f).alias("v"))).over(order), F.first(F.struct(col(f).alias("v"))).over(order))["v"]
-        for f in features
-    }
-    return copies.select(
-        "feature", "repeat", *[col(c) for c in df.columns if c not in features],
-        *[F.when(F.col("feature") == f, taken[f]).otherwise(col(f)).alias(f) for f in features],
+    taken = placed.select(F.inline(moves))
+    joined = placed.join(taken, F.col("__place") == F.col("__to"))
+    return joined.select(
+        "feature", "repeat", *[placed[quoted(c)] for c in df.columns if c not in features],
+        *[F.when(F.col("feature") == f, F.col(f"__t{i}")).otherwise(placed[quoted(f)]).alias(f) for i, f in enumerate(features)],
     )
 
 
