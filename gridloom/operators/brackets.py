@@ -18,7 +18,7 @@ ACCURACY = 10_000  # of a sketch: its ranks are right within rows / ACCURACY
 SLACK = 2 / ACCURACY
 FEW_ROWS = 2 * ACCURACY  # below it, a bracket by ranks is no narrower than the column
 COLUMNS_AT_ONCE = 20
-BRACKETS_AT_ONCE = 60  # counts per aggregation; its code stays small enough to be compiled
+BRACKETS_AT_ONCE = 20  # counts per aggregation; its code stays small enough to be compiled
 
 
 @dataclass
