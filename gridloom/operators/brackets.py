@@ -3,7 +3,7 @@
 A mergeable sketch of every column brackets each wanted rank between two values; the sketch's error is known,
 so the bracket holds about 4 of 10,000 values. Counting what lies below and inside tells where the rank stands in the
 bracket, and only the values inside are shuffled. A bracket that still holds too many values is sketched and
-counted again, so a pass more serves 2,500 times the rows. Every bracket is checked by its counts.
+counted again, so two passes more serve about 2,500 times the rows. Every bracket is checked by its counts.
 """
 
 from __future__ import annotations
