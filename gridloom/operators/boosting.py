@@ -104,10 +104,10 @@ def better(a: tuple, b: tuple) -> tuple:
     return tuple(np.where(take, y, x) for x, y in zip(a, b))
 
 
-def feature_cuts(df: DataFrame, size: int) -> list[np.ndarray]:
+def feature_cuts(df: DataFrame, size: int, bins: int = BINS) -> list[np.ndarray]:
     """Upper ends of the bins of every element of ``features`` but the last one."""
     values = df.select(vector_to_array("features").alias("f"))
-    wanted = [(i + 1) / BINS for i in range(BINS - 1)]
+    wanted = [(i + 1) / bins for i in range(bins - 1)]
     cuts = []
     for first in range(0, size, COLUMNS_AT_ONCE):
         some = range(first, min(size, first + COLUMNS_AT_ONCE))
@@ -349,33 +349,56 @@ def _grow_by_jobs(plan: _Plan, state) -> dict:
         held[0].unpersist()
 
 
-def grow(sets: list[DataFrame], classes: int, rounds: int, depth: int, rate: float, sampled: float, columns: float,
-         seed: int) -> list[tuple[np.ndarray, list[list[Tree]]]]:
-    """(margins at the start, trees per round and class) of every set of rows (features, label).
+@dataclass
+class Packed:
+    """Training sets as a table of blocks of bins and labels.
 
-    Training sets of several blocks share a job per level. One that is a single block (its size is known before)
-    is grown by the task that holds it, by the same sums and choices, without a job per level.
+    ``about`` holds per set the margins at the start, the scale and the cuts, ``rows`` their number; ``several`` names
+    the sets of more than one block.
     """
+
+    about: dict
+    rows: dict
+    several: list
+    blocks: DataFrame
+
+    def chosen(self, numbers):
+        """An RDD of (set, bins, labels, key) of the blocks of some sets."""
+        return self.blocks.where(F.col("number").isin(numbers)).rdd.map(_unpack)
+
+
+def binned_blocks(sets: list[DataFrame], classes: int, bins: int = BINS) -> Packed:
+    """Sets of rows (features, label) cut into bins and written once."""
     spark = sets[0].sparkSession
     shared_dir(spark)
-    about, several, path = {}, [], scratch_path(spark, "blocks")
+    about, rows, several, path = {}, {}, [], scratch_path(spark, "blocks")
     for number, df in enumerate(sets):
         first = df.select(F.size(vector_to_array("features"))).first()
         size = first[0] if first else 0
-        cuts = feature_cuts(df, size)
+        cuts = feature_cuts(df, size, bins)
         start, scale, count = _starts(df, classes)
-        about[number] = (start, scale, cuts)
+        about[number], rows[number] = (start, scale, cuts), count
         parts = max(1, -(-count // BLOCK_ROWS), -(-count * size // BLOCK_BYTES))
         if parts > 1:
             several.append(number)
         narrow = df.select(vector_to_array("features").alias("f"), "label").coalesce(parts)
         narrow.mapInArrow(_pack(number, cuts), "number int, body binary").write.mode("append").parquet(path)
-    blocks = spark.read.schema("number int, body binary").parquet(path)
+    return Packed(about, rows, several, spark.read.schema("number int, body binary").parquet(path))
+
+
+def grow(sets: list[DataFrame], classes: int, rounds: int, depth: int, rate: float, sampled: float, columns: float,
+         seed: int) -> list[tuple[np.ndarray, list[list[Tree]]]]:
+    """(margins at the start, trees per round and class) of every set of rows (features, label).
+
+    Training sets of several blocks share a job per level. One that is a single block (its size is known before)
+    is grown by the task that holds it, by the same sums and choices, without a job per level.
+    """
+    packed = binned_blocks(sets, classes)
+    about, several = packed.about, packed.several
     starts = {n: start for n, (start, _, _) in about.items()}
 
     def chosen(numbers):
-        rows = blocks.where(F.col("number").isin(numbers)).rdd
-        return rows.map(_unpack).map(lambda b: (*b, np.tile(starts[b[0]], (len(b[1]), 1))))
+        return packed.chosen(numbers).map(lambda b: (*b, np.tile(starts[b[0]], (len(b[1]), 1))))
 
     def plan(numbers):
         return _Plan(classes, rounds, depth, rate, sampled, columns, seed, {n: about[n] for n in numbers})

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier,
+    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
 )
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from ..functions.columns import col
 from ..session import checkpointed
 from .attach import attach
 from .boosting import BoostedTrees
+from .forest import RandomForest
 from .kernel import KernelMachine
 from .neighbors import BLOCK_ROWS, nearest_neighbors
 from .network import NeuralNetwork
@@ -144,7 +145,7 @@ CLASSIFIERS = {s.name: s for s in (
     ModelSpec("log_reg", "classification", lambda d, k, p: _scaled(
         LogisticRegression(featuresCol="scaled", **{"maxIter": 1000, "tol": 1e-4, **p}))),
     ModelSpec("rf", "classification", lambda d, k, p: [
-        RandomForestClassifier(**{"numTrees": 200, "maxDepth": FOREST_DEPTH, "seed": SEED, **p})]),
+        RandomForest(**{"numClasses": max(k, 2), "numTrees": 200, "maxDepth": FOREST_DEPTH, "seed": SEED, **p})]),
     ModelSpec("knn", "classification", lambda d, k, p: _scaled(
         NearestNeighbors(featuresCol="scaled", **{"numClasses": max(k, 2), **p}))),
     ModelSpec("svm", "classification", lambda d, k, p: _scaled(
@@ -161,7 +162,7 @@ CLASSIFIERS = {s.name: s for s in (
 REGRESSORS = {s.name: s for s in (
     ModelSpec("lin_reg", "regression", lambda d, k, p: _scaled(LinearRegression(featuresCol="scaled", **p))),
     ModelSpec("rf_reg", "regression", lambda d, k, p: [
-        RandomForestRegressor(**{"numTrees": 300, "maxDepth": FOREST_DEPTH, "seed": SEED, **p})]),
+        RandomForest(**{"numTrees": 300, "maxDepth": FOREST_DEPTH, "seed": SEED, **p})]),
     ModelSpec("knn_reg", "regression", lambda d, k, p: _scaled(NearestNeighbors(featuresCol="scaled", **p))),
     ModelSpec("gbt_reg", "regression", lambda d, k, p: [BoostedTrees(**{"seed": SEED, **p})]),
     ModelSpec("svr", "regression", lambda d, k, p: _scaled(KernelMachine(featuresCol="scaled", **{"seed": SEED, **p}))),
@@ -205,11 +206,11 @@ def training_rows(df: DataFrame) -> DataFrame:
 
 
 def fit_prepared(spec: ModelSpec, sets: list[DataFrame], sizes: list[int], classes: int, params: dict) -> list[PipelineModel]:
-    """One model per training set of rows (features, label) as ``training_rows`` gives them. Boosted trees grow
+    """One model per training set of rows (features, label) as ``training_rows`` gives them. Trees grow
     for all sets together."""
     fitted = []
     stages = [spec.stages(size, classes, params) for size in sizes]
-    if all(isinstance(s[-1], BoostedTrees) and len(s) == 1 for s in stages):
+    if all(isinstance(s[-1], (BoostedTrees, RandomForest)) and len(s) == 1 for s in stages):
         return [PipelineModel([m]) for m in stages[0][0].fit_all(sets)]
     for rows, size in zip(sets, sizes):
         own = params
