@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col
 from ..session import checkpointed
+from .forest import RandomForest
 from .information import mutual_information
 from .models import training_rows
 from .prepare import encode_target, ordinal_encode
@@ -92,8 +93,8 @@ def l1_scores(df: DataFrame, columns, target: str, task: str) -> DataFrame:
 def tree_scores(df: DataFrame, columns, target: str, task: str, trees: int = RANK_TREES, depth: int = MAX_DEPTH) -> DataFrame:
     """Importances of a random forest."""
     rows = _assembled(df, columns, target, task)
-    forest = RandomForestClassifier if task == "classification" else RandomForestRegressor
-    model = forest(numTrees=trees, maxDepth=depth, seed=42).fit(rows)
+    classes = int(rows.agg(F.max("label")).first()[0] or 0) + 1 if task == "classification" else 0
+    model = RandomForest(numClasses=max(2, classes) if classes else 0, numTrees=trees, maxDepth=depth, seed=42).fit(rows)
     return _scores(df, columns, model.featureImportances.toArray())
 
 

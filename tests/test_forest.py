@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import boosting as B
 from gridloom.operators import forest as R
+from gridloom.operators.rank import tree_scores
 from gridloom.session import scratch_path
 
 
@@ -104,6 +105,13 @@ def test_jobs_do_not_grow_with_depth(spark):
     assert counts[0] == counts[1]
 
 
+def test_jobs_of_importances_do_not_grow_with_depth(spark):
+    x, y = data(0)
+    df = spark.createDataFrame([(*r, float(v)) for r, v in zip(x.tolist(), y)], "a double, b double, c double, y double")
+    counts = [jobs(spark, lambda: tree_scores(df, ["a", "b", "c"], "y", "regression", 10, d)) for d in (2, 20)]
+    assert counts[0] == counts[1]
+
+
 def test_many_cells_and_odd_sets(spark, monkeypatch):
     x, y = data(0, 200)
     monkeypatch.setattr(R, "MOST_CELLS", 20)
