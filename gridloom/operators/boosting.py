@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import scratch_path, shared_dir
+from .cells import MOST_CELLS, cell_bins, cells_of, drawn_sums
 
 BINS = 256
 BLOCK_ROWS = 1 << 16
@@ -37,6 +38,8 @@ COLUMNS_AT_ONCE = 50  # sketches per aggregation
 ACCURACY = 4096  # of a sketch: ranks are right within rows / ACCURACY
 WHOLE = float(1 << 30)  # derivatives are multiples of 1 / WHOLE (times the spread of a number to predict)
 PENALTY, LEAST_WEIGHT = 1.0, 1.0  # on squared leaf values; second derivatives in a leaf
+CELL_GAIN = 4  # rows a cell must hold on average to grow on cells
+CELL_BYTES = 1 << 28  # of drawn sums of a training set, all rounds
 ROUNDS_KEPT = 10  # trees applied on the fly before margins are written again
 REDUCE_BYTES = 1 << 22  # of histograms per reducing task
 
@@ -177,27 +180,48 @@ def _histograms(step: dict, seed: int, sampled: float, classes: int):
                 continue
             margins = _with_trees(margins.copy(), x, pending)
             first, second = derivatives(margins, y, classes, scale)
-            drawn = np.random.default_rng([seed, number, round_, key]).random(len(y)) < sampled
-            for c, tree in enumerate(trees):
-                if not len(open_nodes[c]):
-                    continue
-                slot = np.full(len(tree.value), -1)
-                slot[open_nodes[c]] = np.arange(len(open_nodes[c]))
-                at = slot[tree.leaves(x, True)]
-                rows = np.flatnonzero(drawn & (at >= 0))
-                base, size = at[rows] * BINS, len(open_nodes[c]) * BINS
-                g, h = first[rows, c].astype(float), second[rows, c].astype(float)
-                for f in features[c]:
-                    place = base + x[rows, f]
-                    # Whole numbers below 2^53 add exactly in doubles.
-                    found = np.stack([np.bincount(place, g, size), np.bincount(place, h, size)]).astype(np.int64)
-                    name = (number, c, int(f))
-                    sums[name] = sums[name] + found if name in sums else found
+            drawn = _sampled(seed, sampled)(number, round_, key, len(y))
+            for name, found in _node_sums(number, x, first, second, drawn, trees, features, open_nodes):
+                sums[name] = sums[name] + found if name in sums else found
         return iter(sums.items())
 
     return run
 
 
+def _sampled(seed: int, share: float):
+    """Which rows of a block a round draws."""
+    return lambda number, round_, key, n: np.random.default_rng([seed, number, round_, key]).random(n) < share
+
+
+def _node_sums(number: int, x, first, second, drawn, trees, features, open_nodes):
+    """((training set, tree, feature), sums per open node and bin) over rows of bins."""
+    for c, tree in enumerate(trees):
+        if not len(open_nodes[c]):
+            continue
+        slot = np.full(len(tree.value), -1)
+        slot[open_nodes[c]] = np.arange(len(open_nodes[c]))
+        at = slot[tree.leaves(x, True)]
+        rows = np.flatnonzero(drawn & (at >= 0))
+        base, size = at[rows] * BINS, len(open_nodes[c]) * BINS
+        g, h = first[rows, c].astype(float), second[rows, c].astype(float)
+        for f in features[c]:
+            place = base + x[rows, f]
+            # Whole numbers below 2^53 add exactly in doubles.
+            yield (number, c, int(f)), np.stack([np.bincount(place, g, size), np.bincount(place, h, size)]).astype(np.int64)
+
+
+def cell_derivatives(margins: np.ndarray, sums: np.ndarray, start: np.ndarray, classes: int, scale: float) -> tuple:
+    """First and second derivatives per cell and tree, added over its drawn rows (``sums`` as ``drawn_sums`` gives them)."""
+    if classes == 0:
+        n, labels = sums[0][:, None], sums[1][:, None]
+        return np.rint((margins - start) / scale * n * WHOLE).astype(np.int64) - labels, np.rint(n * WHOLE).astype(np.int64)
+    first, second = 0, 0
+    for label, n in enumerate(sums):
+        g, h = derivatives(margins, np.full(len(margins), float(label)), classes, scale)
+        first, second = first + n[:, None] * g, second + n[:, None] * h
+    return first, second
+
+
 def _proposals(penalty: float, least: float):
     """Reduce side: the best proposal per tree among the features that met in this task."""
     def run(items):
@@ -263,6 +287,11 @@ def _starts(df: DataFrame, classes: int) -> tuple[np.ndarray, float, int]:
     return (share[1:] - share[0] if classes <= 2 else share), 1.0, int(counts.sum()) - len(counts)
 
 
+def whole_labels(start: np.ndarray, scale: float):
+    """Labels to predict as whole numbers, measured from their mean."""
+    return lambda y: np.rint((y - start[0]) / scale * WHOLE)
+
+
 @dataclass
 class _Plan:
     """What growing needs to know besides the blocks: values of the fit, and per training set its own."""
@@ -326,6 +355,37 @@ def _grow_in_task(plan: _Plan, block: tuple) -> dict:
     return plan.grow(propose, advance)
 
 
+def _grow_on_cells(plan: _Plan, number: int, x: np.ndarray, sums: dict) -> dict:
+    """All rounds of a training set from its cells ``x`` and the drawn ``sums`` of every round."""
+    start, scale, _ = plan.sets[number]
+    held = [np.tile(start, (len(x), 1))]
+
+    def propose(step, _):
+        pending, trees, features, open_nodes, _, round_ = step[number]
+        drawn = sums[round_]
+        margins = _with_trees(held[0].copy(), x, pending)
+        first, second = cell_derivatives(margins, drawn, start, plan.classes, scale)
+        any_drawn = (drawn.sum(0) if plan.classes else drawn[0]) > 0
+        found = _node_sums(number, x, first, second, any_drawn, trees, features, open_nodes)
+        return dict(_proposals(PENALTY, LEAST_WEIGHT)(found))
+
+    def advance(rounds):
+        held[0] = _with_trees(held[0].copy(), x, rounds[number])
+
+    return plan.grow(propose, advance)
+
+
+def _cells_in_task(plans: dict, cells, sizes: dict):
+    def run(items):
+        sums: dict = {}
+        for number, (round_, found) in items:
+            sums.setdefault(number, {})[round_] = found
+        for number, rounds in sums.items():
+            yield _grow_on_cells(plans[number], number, cell_bins(cells.value[number], sizes[number]), rounds)
+
+    return run
+
+
 def _grow_by_jobs(plan: _Plan, state) -> dict:
     """A job per level for all training sets of ``plan`` together."""
     held = [_kept(state)]
@@ -391,7 +451,8 @@ def grow(sets: list[DataFrame], classes: int, rounds: int, depth: int, rate: flo
     """(margins at the start, trees per round and class) of every set of rows (features, label).
 
     Training sets of several blocks share a job per level. One that is a single block (its size is known before)
-    is grown by the task that holds it, by the same sums and choices, without a job per level.
+    is grown by the task that holds it, by the same sums and choices, without a job per level. So is one whose rows
+    agree in so many bins that its cells are few: one job draws the rows of all rounds and adds them up per cell.
     """
     packed = binned_blocks(sets, classes)
     about, several = packed.about, packed.several
@@ -410,6 +471,20 @@ def grow(sets: list[DataFrame], classes: int, rounds: int, depth: int, rate: flo
         spread = chosen(single).keyBy(lambda b: b[0]).partitionBy(len(single), lambda n: single.index(n)).values()
         for found in spread.map(lambda b: _grow_in_task(plans[b[0]], b)).collect():
             grown |= found
+    if several and rounds:
+        sizes = {n: len(about[n][2]) for n in several}
+        most = {n: min(MOST_CELLS, packed.rows[n] // CELL_GAIN, CELL_BYTES // (8 * rounds * (classes or 2))) for n in several}
+        cells = cells_of(packed.blocks.where(F.col("number").isin(several)), sizes, most)
+        if cells:
+            shared = sets[0].sparkSession.sparkContext.broadcast(cells)  # at most MOST_CELLS rows of bins a set
+            whole = {n: whole_labels(*about[n][:2]) for n in cells} if not classes else {}
+            few = sorted(cells)
+            sums = drawn_sums(packed.chosen(few), sum(packed.rows[n] for n in few), shared, whole, classes, rounds, _sampled(seed, sampled))
+            by_set = sums.map(lambda item: (item[0][0], (item[0][1], item[1]))).partitionBy(len(few), lambda n: few.index(n))
+            for found in by_set.mapPartitions(_cells_in_task({n: plan([n]) for n in few}, shared, sizes)).collect():
+                grown |= found
+            shared.unpersist()
+        several = [n for n in several if n not in cells]
     if several:
         grown |= _grow_by_jobs(plan(several), chosen(several))
     return [(starts[n], grown[n]) for n in about]

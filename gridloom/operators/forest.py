@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from .boosting import WHOLE, binned, binned_blocks
+from .boosting import WHOLE, binned, binned_blocks, whole_labels
 from .cells import MOST_CELLS, cell_bins, cells_of, drawn_sums
 
 FOREST_BINS = 32
@@ -192,7 +192,7 @@ class RandomForest(Estimator, _ForestParams):
             def weigh(number, draw, key, n):
                 return np.random.default_rng([seed, number, draw, key]).poisson(1.0, n)
 
-            whole = {n: _whole(*packed.about[n][:2]) for n in cells} if not classes else {}
+            whole = {n: whole_labels(*packed.about[n][:2]) for n in cells} if not classes else {}
             total = sum(packed.rows[n] for n in cells)
             sums = drawn_sums(packed.chosen(list(cells)), total, shared, whole, classes, trees, weigh)
             for number, tree, body in sums.mapPartitions(_grown(shared, sizes, classes, depth, seed, tried)).collect():
@@ -218,11 +218,6 @@ class RandomForest(Estimator, _ForestParams):
         return forest(**{k: v for k, v in get.items() if k != "numClasses"}).fit(df)
 
 
-def _whole(start: np.ndarray, scale: float):
-    """Labels as whole numbers, measured from their mean."""
-    return lambda y: np.rint((y - start[0]) / scale * WHOLE)
-
-
 class RandomForestModel(Model, _ForestParams, MLWritable, MLReadable):
     def __init__(self, trees: Trees | None = None, gains: np.ndarray | None = None):
         super().__init__()

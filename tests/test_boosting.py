@@ -133,3 +133,21 @@ def test_odd_training_sets(spark):
     assert empty.transform(table(spark, x, [0] * 40)).first()["prediction"] == 0
     with pytest.raises(ValueError, match="7"):
         B.BoostedTrees(numClasses=3).fit(table(spark, x, [7] * 40))
+
+
+@pytest.mark.parametrize("kind, classes", [("number", 0), ("two", 2), ("three", 3)])
+def test_few_cells_grow_as_all_rows_without_a_job_per_level(spark, monkeypatch, kind, classes):
+    x, y = data(kind, 1200)
+    x = np.round(x)  # 4 ** 4 cells at most
+    df = table(spark, x, y)
+    ways = {}
+    for gain in (1, 10**6):  # on cells; by jobs
+        monkeypatch.setattr(B, "BLOCK_ROWS", 90)
+        monkeypatch.setattr(B, "CELL_GAIN", gain)
+        if gain == 1:
+            monkeypatch.setattr(B, "_grow_by_jobs", None)
+        ways[gain] = B.grow([df], classes, 4, 3, 0.3, 0.8, 0.5, 7)[0][1]
+        monkeypatch.undo()
+    assert cuts_of(ways[1]) == cuts_of(ways[10**6])
+    values = [np.concatenate([t.value for r in trees for t in r]) for trees in ways.values()]
+    assert np.allclose(*values, rtol=0, atol=1e-6)
