@@ -21,6 +21,7 @@ from ..session import checkpointed
 from .attach import attach
 
 BLOCK_ROWS = 20_000
+DISTANCES_AT_ONCE = 1 << 20  # between queries and points of a block
 MAX_PIVOTS = 512
 REGION_BLOCKS = 1024
 CELL = ["__pattern", "__pivot", "__inner"]
@@ -30,6 +31,9 @@ BOUNDS_AT_ONCE = 1 << 20  # query and box coordinates compared in one step
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
+    rows = series.to_numpy()
+    if len(rows) and all(isinstance(v, np.ndarray) and v.dtype == float for v in rows):
+        return np.stack(rows)  # no object per number
     return np.array([[np.nan if x is None else x for x in v] for v in series], dtype=float)
 
 
@@ -236,7 +240,7 @@ def _best(mine: pd.DataFrame, theirs: pd.DataFrame, k: int) -> pd.DataFrame:
     p, ids = _matrix(theirs["__vector"]), theirs["__point"].to_numpy()
     extra = theirs["__payload"].to_numpy(dtype=float)
     q, keys = _matrix(mine["__vector"]), mine["__query"].to_numpy()
-    rows, step = [], max(1, 4_000_000 // len(p))
+    rows, step = [], max(1, DISTANCES_AT_ONCE // len(p))
     for start in range(0, len(q), step):
         rough = _squared(q[start:start + step], p)
         kth = np.partition(rough, min(k, len(p)) - 1, axis=1)[:, min(k, len(p)) - 1]

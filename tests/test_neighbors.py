@@ -115,3 +115,23 @@ def test_no_points(spark):
     empty = spark.createDataFrame([], "key long, v array<double>")
     query = spark.createDataFrame([(1, [1.0])], "key long, v array<double>")
     assert nearest_neighbors(query, "key", empty, "key", "v").count() == 0
+
+
+def test_a_block_needs_no_object_per_number():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from gridloom.operators import neighbors
+
+    rows = 20_000
+    points = np.random.default_rng(3).normal(size=(rows, 32))
+    theirs = pd.DataFrame({"__point": np.arange(rows), "__payload": np.zeros(rows), "__vector": list(points)})
+    mine = pd.DataFrame({"__query": np.arange(300), "__vector": list(points[:300])})
+    tracemalloc.start()
+    found = neighbors._best(mine, theirs, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["__point"].tolist()[::2] == list(range(300))
+    assert peak < 14 * points.nbytes
