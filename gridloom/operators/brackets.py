@@ -2,8 +2,9 @@
 
 A mergeable sketch of every column brackets each wanted rank between two values; the sketch's error is known,
 so the bracket holds about 4 of 10,000 values. Counting what lies below and inside tells where the rank stands in the
-bracket, and only the values inside are shuffled. A bracket that still holds too many values is sketched and
-counted again, so two passes more serve about 2,500 times the rows. Every bracket is checked by its counts.
+bracket, and only the values inside are shuffled. Where a bracket still holds too many values, those equal to its
+ends are counted, and what lies between the ends is sketched and counted again, so three passes more serve about 2,500 times
+the rows, and values that many rows share are never met twice. Every bracket is checked by its counts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ BRACKETS_AT_ONCE = 20  # counts per aggregation; its code stays small enough to
 
 @dataclass
 class Bracket:
-    """``low`` <= the values at ranks ``first`` and ``last`` <= ``high``; ``below`` values are smaller than ``low``."""
+    """``low`` <= the values at ranks ``first`` and ``last`` <= ``high``; ``below`` values are smaller than ``low``.
+
+    ``inner``: ranks on an end are found, ``below`` and ``inside`` tell of what lies between the ends.
+    """
 
     column: str
     first: int
@@ -33,12 +37,19 @@ class Bracket:
     below: int
     inside: int
     found: dict = field(default_factory=dict)  # rank: value
+    inner: bool = False
+
+    @property
+    def wanted(self) -> list[int]:
+        return [r for r in sorted({self.first, self.last}) if r not in self.found]
 
     @property
     def settled(self) -> bool:
-        return self.low == self.high
+        return self.low == self.high or not self.wanted
 
     def between(self):
+        if self.inner:
+            return (F.col(self.column) > F.lit(self.low)) & (F.col(self.column) < F.lit(self.high))
         return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
 
 
@@ -65,15 +76,31 @@ def _first_brackets(values: DataFrame, names, probabilities) -> dict[str, tuple[
     return found
 
 
+def _take_ends(values: DataFrame, brackets: list[Bracket]) -> None:
+    """Find the ranks on an end of their bracket; the bracket then holds what lies between its ends.
+
+    Between two values that many rows share a bracket would not shrink otherwise.
+    """
+    for some in _chunks(brackets, BRACKETS_AT_ONCE):
+        counts = [F.struct(*[F.count_if(F.col(b.column) == F.lit(end)) for end in (b.low, b.high)]).alias(f"c{i}") for i, b in enumerate(some)]
+        for b, (least, most) in zip(some, values.agg(*counts).first()):
+            for rank in b.wanted:
+                if rank < b.below + least:
+                    b.found[rank] = b.low
+                elif rank >= b.below + b.inside - most:
+                    b.found[rank] = b.high
+            b.below, b.inside, b.inner = b.below + least, b.inside - least - most, True
+
+
 def _narrowed(values: DataFrame, brackets: list[Bracket]) -> None:
     """Sketch what lies inside each bracket and move its ends towards the ranks."""
     for some in _chunks(brackets, COLUMNS_AT_ONCE):
         sketches = []
         for i, b in enumerate(some):
-            ends = [min(1.0, max(0.0, (rank - b.below + 1) / b.inside + side)) for rank, side in ((b.first, -SLACK), (b.last, SLACK))]
+            ends = [min(1.0, max(0.0, (rank - b.below + 1) / b.inside + side)) for rank, side in ((b.wanted[0], -SLACK), (b.wanted[-1], SLACK))]
             sketches.append(F.percentile_approx(F.when(b.between(), F.col(b.column)), ends, ACCURACY).alias(f"q{i}"))
         for b, (low, high) in zip(some, values.agg(*sketches).first()):
-            b.low, b.high = low, high
+            b.low, b.high, b.inner = low, high, False
 
 
 def _count(values: DataFrame, brackets: list[Bracket]) -> bool:
@@ -82,7 +109,7 @@ def _count(values: DataFrame, brackets: list[Bracket]) -> bool:
         counts = [F.struct(F.count_if(F.col(b.column) < F.lit(b.low)), F.count_if(b.between())).alias(f"c{i}") for i, b in enumerate(some)]
         for b, (below, inside) in zip(some, values.agg(*counts).first()):
             b.below, b.inside = below, inside
-    return all(b.below <= b.first <= b.last < b.below + b.inside for b in brackets)
+    return all(b.below <= rank < b.below + b.inside for b in brackets for rank in b.wanted)
 
 
 def _pick(values: DataFrame, brackets: list[Bracket]) -> None:
@@ -93,8 +120,8 @@ def _pick(values: DataFrame, brackets: list[Bracket]) -> None:
         # A bracket holds few values by now, so its window is small.
         until = F.sum("f").over(Window.partitionBy("at").orderBy("v"))
         placed = inside.withColumn("until", until).withColumn("before", F.col("until") - F.col("f"))
-        wanted = F.array(*[F.array(F.lit(b.first - b.below), F.lit(b.last - b.below)).cast("array<long>") for b in some])
-        hits = F.filter(F.array_distinct(F.get(wanted, F.col("at"))), lambda r: (F.col("before") <= r) & (r < F.col("until")))
+        wanted = F.array(*[F.array(*[F.lit(rank - b.below) for rank in b.wanted]).cast("array<long>") for b in some])
+        hits = F.filter(F.get(wanted, F.col("at")), lambda r: (F.col("before") <= r) & (r < F.col("until")))
         for at, v, rank in placed.select("at", "v", F.explode(hits)).collect():
             some[at].found[rank + some[at].below] = v
 
@@ -114,10 +141,12 @@ def whole_quantiles(values: DataFrame, names, probabilities, limit: int) -> dict
         if not _count(values, waiting):
             return None
         waiting = [b for b in waiting if b.inside > limit and not b.settled]
+        _take_ends(values, waiting)
+        waiting = [b for b in waiting if b.inside > limit and not b.settled]
         _narrowed(values, waiting)
     for b in brackets:
-        if b.settled:
-            b.found = {b.first: b.low, b.last: b.low}
+        if b.low == b.high:
+            b.found |= dict.fromkeys(b.wanted, b.low)
     _pick(values, [b for b in brackets if not b.settled])
     answers = {}
     for c, (n, own) in found.items():

@@ -144,6 +144,27 @@ def test_bracketed_quantiles_match_numpy(spark, monkeypatch, accuracy):
     assert len(counted) == (2 if accuracy == 100 else 1)
 
 
+def test_a_rank_between_two_shared_values_ends(spark, monkeypatch):
+    """The median lies between two values that more rows share than a bracket may hold; so does a quartile, in part."""
+    for name, value in (("ACCURACY", 100), ("SLACK", 2 / 100), ("FEW_ROWS", 200)):
+        monkeypatch.setattr(brackets, name, value)
+    passes, real = [], brackets._count
+
+    def count(values, some):
+        passes.append(len(some))
+        assert len(passes) < 6, "brackets do not shrink"
+        return real(values, some)
+
+    monkeypatch.setattr(brackets, "_count", count)
+    n = 8_000
+    data = {"halves": np.arange(n) % 2.0, "uneven": np.where(np.arange(n) < n // 4, -1.0, np.arange(n) // 1_000),
+            "between": np.where(np.arange(n) < n // 2 - 1, 0.0, np.where(np.arange(n) < n // 2 + 1, 3.0, 7.0)),
+            "one_side": np.where(np.arange(n) < n // 2, 0.0, np.arange(n))}
+    df = spark.createDataFrame(pd.DataFrame(data)).repartition(5)
+    found = {r["column"]: list(r["q"]) for r in quantiles(df, list(data), [0.25, 0.5, 0.75], limit=0).collect()}
+    assert found == {c: np.quantile(v, [0.25, 0.5, 0.75]).tolist() for c, v in data.items()}
+
+
 def test_missed_brackets_are_located_instead(spark, monkeypatch):
     monkeypatch.setattr(brackets, "FEW_ROWS", 10)
     monkeypatch.setattr(brackets, "_count", lambda v, b: False)
