@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import keyword_only
@@ -30,6 +31,7 @@ from .prepare import feature_encoder
 
 SEED = 42
 ROWS_PER_TASK = 10_000
+MOST_FITS = 4  # of one model side by side
 FOREST_DEPTH = 30  # as deep as Spark's forests go
 SMALL_ROWS, WIDE_FEATURES, VERY_WIDE_FEATURES = 1000, 200, 500
 
@@ -207,17 +209,19 @@ def training_rows(df: DataFrame) -> DataFrame:
 
 def fit_prepared(spec: ModelSpec, sets: list[DataFrame], sizes: list[int], classes: int, params: dict) -> list[PipelineModel]:
     """One model per training set of rows (features, label) as ``training_rows`` gives them. Trees grow
-    for all sets together."""
-    fitted = []
+    for all sets together; other models fit their sets side by side, as an iteration is a job that leaves most tasks idle."""
     stages = [spec.stages(size, classes, params) for size in sizes]
     if all(isinstance(s[-1], (BoostedTrees, RandomForest)) and len(s) == 1 for s in stages):
         return [PipelineModel([m]) for m in stages[0][0].fit_all(sets)]
-    for rows, size in zip(sets, sizes):
+
+    def fit(rows: DataFrame, size: int) -> PipelineModel:
         own = params
         if spec.name in PENALIZED:  # a unit penalty on the sum of losses, as Spark divides that sum by the rows
             own = {"regParam": 1 / max(1, rows.count()), **params}
-        fitted.append(Pipeline(stages=spec.stages(size, classes, own)).fit(rows))
-    return fitted
+        return Pipeline(stages=spec.stages(size, classes, own)).fit(rows)
+
+    with ThreadPoolExecutor(max_workers=min(MOST_FITS, max(1, len(sets)))) as pool:
+        return list(pool.map(fit, sets, sizes))
 
 
 def prepare(train: DataFrame, features=None, label: str = "label") -> tuple:

@@ -1,13 +1,15 @@
 """Leak-free pipelines, candidates, leaderboard, importance, scoring and saved models."""
 
 import random
+import threading
 
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from gridloom.operators.models import (
-    CLASSIFIERS, REGRESSORS, candidates, fit_model, load_model, save_model, score_rows, with_score,
+    CLASSIFIERS, REGRESSORS, ModelSpec, candidates, fit_model, fit_prepared, load_model, save_model, score_rows, with_score,
 )
 from gridloom.operators.rank import embedded_scores, tree_scores, unify, variance_filter
 from gridloom.plans.leaderboard import cross_validate, leaderboard, permutation_importance, permuted
@@ -140,3 +142,21 @@ def test_feature_scores(colors):
     trees = {r["feature"]: r["score"] for r in tree_scores(colors, ["color", "noise"], "label", "classification", 10, 4).collect()}
     assert trees["color"] > trees["noise"]
     assert variance_filter(colors, ["noise"], 0.0).count() == 0 and variance_filter(colors, ["noise"], 0.1).count() == 1
+
+
+def test_sets_of_one_model_are_fitted_side_by_side(spark):
+    """Every fit waits until the other has begun; the models stand in the order of their sets."""
+    begun = threading.Barrier(2)
+
+    class Waits(LinearRegression):
+        def _fit(self, df):
+            begun.wait(60)
+            return super()._fit(df)
+
+    def rows(slope):
+        return spark.range(20).select(
+            array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") * slope).cast("double").alias("label"))
+
+    spec = ModelSpec("line", "regression", lambda d, k, p: [Waits(**p)])
+    fitted = fit_prepared(spec, [rows(2), rows(5)], [1, 1], 0, {})
+    assert [round(float(m.stages[-1].coefficients[0]), 6) for m in fitted] == [2.0, 5.0]
