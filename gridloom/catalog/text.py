@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import vocabulary
 from ..operators.prepare import level_codes
+from ..session import checkpointed
 from .registry import query
 
 # The phrases put around column values, so that every tag and every default occurs.
@@ -91,7 +92,7 @@ WORDS_SQL = """v as (select word as name, row_number() over (order by word) - 1
 
 
 def document_words(t):
-    words = t("documents").select(F.explode(text.tokens(F.col("text"))).alias("name")).distinct()
+    words = checkpointed(t("documents").select(F.explode(text.tokens(F.col("text"))).alias("name")).distinct())  # read more than once
     return level_codes(words, "name").select("name", F.col("code").alias("place"))
 
 

@@ -43,6 +43,21 @@ def _deletions(text: Column, most: Column, rounds: int) -> Column:
     return found
 
 
+def _keys(text: Column, cutoff: float, longest: int) -> Column:
+    """What a text of at most ``longest`` letters may share with a close one: itself without its allowed slips.
+
+    Slips are a (letters only here), b (letters only there) and c (changed or swapped); the texts meet without a + c letters here,
+    b + c there. If the other is longer by d letters, b is d at least and it allows at most d slips more, so a + c stays
+    within what this length allows; if it is not longer, all slips are.
+    """
+    return _deletions(text, _allowed(F.length(text), cutoff), int((1 - cutoff) * longest + 1e-9))
+
+
+def _short_lengths(lengths, cutoff: float) -> list[int]:
+    """Lengths up to ``SHORT`` that a text may have to be close to one of the given lengths."""
+    return [n for n in range(1, SHORT + 1) if any(abs(n - m) <= int((1 - cutoff) * max(n, m) + 1e-9) for m in lengths)]
+
+
 def _pieces(name: Column, cutoff: float) -> Column:
     """The pieces of a long name: one more than slips can touch, as one swap of neighbours touches two."""
     length = F.length(name)
@@ -81,13 +96,12 @@ def _edits(word: Column, name: Column) -> Column:
 def close_pairs(words: DataFrame, names: DataFrame, cutoff: float = CLOSE_ENOUGH) -> DataFrame:
     """(word, name, plain, score) for all pairs of rows (word) and (name, plain) at or above the cutoff."""
     name, word = F.col("plain"), F.col("word")
-    most = int((1 - cutoff) / cutoff * SHORT + 1e-9)
-    short = names.where(F.length(name) <= SHORT).select(
-        "name", "plain", F.explode(_deletions(name, _most(F.length(name), cutoff), most)).alias("__key"))
-    near = F.when(F.length(word) <= SHORT, _most(F.length(word), cutoff)).otherwise(_allowed(F.length(word), cutoff))
     limit = int(SHORT / cutoff + 1e-9)  # longer words are close to no short name
-    seeking = words.where(F.length(word) <= limit).select(
-        "word", F.explode(_deletions(word, near, int((1 - cutoff) * limit + 1e-9))).alias("__key"))
+    sought = words.where(F.length(word) <= limit)
+    lengths = [r[0] for r in sought.select(F.length(word)).distinct().collect()]  # at most ``limit`` numbers
+    short = names.where(F.length(name).isin(_short_lengths(lengths, cutoff))).select(
+        "name", "plain", F.explode(_keys(name, cutoff, SHORT)).alias("__key"))
+    seeking = sought.select("word", F.explode(_keys(word, cutoff, limit)).alias("__key"))
     met = seeking.join(short, "__key").select("word", "name", "plain")
     long_ = names.where(F.length(name) > SHORT).select("name", "plain", F.explode(_pieces(name, cutoff)).alias("__key"))
     asked = words.select("word", F.explode(F.array_distinct(_probes(word, cutoff))).alias("__key")).where("__key.piece is not null")

@@ -42,6 +42,26 @@ def test_index_loses_no_close_pair(spark, cutoff):
     assert sorted((r["word"], r["name"]) for r in got.collect()) == want and len(want) > 100
 
 
+def test_index_drops_no_more_letters_than_slips_are_allowed(spark):
+    """A name of 14 letters allows 2 slips at 0.8: 1 + 14 + 91 keys; and those meet a name that is longer by its slips."""
+    names = spark.createDataFrame([("abcdefghijklmn",), ("abcdefgh",), ("abcd",)], "name string")
+    most = names.select("name", V._keys(F.col("name"), 0.8, V.SHORT).alias("keys")).collect()
+    assert {r["name"]: len(r["keys"]) for r in most} == {"abcdefghijklmn": 106, "abcdefgh": 9, "abcd": 1}
+    vocabulary = names.select("name", F.col("name").alias("plain"))
+    words = ["abcdxe", "abcde", "xabcxdefghijxklmn", "abcdefghijklmnxyz", "bacdefghijkmln", "abcdefghxx", "abcdefxgxhx"]
+    found = V.close_pairs(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary, 0.8)
+    assert {(r["word"], r["name"]) for r in found.collect()} == {
+        (w, r["name"]) for w in words for r in names.collect()
+        if 1 - edits(w, r["name"]) / max(len(w), len(r["name"])) >= 0.8}
+
+
+@pytest.mark.parametrize("cutoff", [0.8, 0.7])
+def test_only_lengths_that_can_be_close_are_indexed(cutoff):
+    for given in ([], [1], [4, 9], [17], [30]):
+        assert V._short_lengths(given, cutoff) == [n for n in range(1, V.SHORT + 1) if any(
+            1 - abs(n - m) / max(n, m) >= cutoff for m in given)]
+
+
 def test_same_names_as_from_a_list(spark):
     names = ["BMI", "weight", "Height", "order_total", "wait", ""]
     questions = ["bmi vs wieght", "heigth and weight, weight", "order total", "nothing", "ordertotal", "wieghts", "", None]
