@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.attach import broadcastable
-from .common import stored, text_or_empty
+from .common import byte_view, spans_of, stored, text_or_empty
 from .graph import components
 from .ngram_join import Threshold, connecting_links
 from .shingles import mixed
@@ -29,6 +29,7 @@ FILLER = "\uffff"  # no character: fills a line shorter than a shingle, which so
 BANDS = 16
 ROWS = 4  # of a band: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 16 < 0.0003
 STEP_CHARACTERS = 1 << 18
+HASH_CHARACTERS, SIGN_SHINGLES = 1 << 16, 1 << 17  # hashed, and signed, at a time: temporary arrays stay in the cache
 _RNG = np.random.default_rng(41)
 _FLIPS = _RNG.integers(0, 2**32, BANDS * ROWS, np.uint32, endpoint=False)
 _ODD = _RNG.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -43,6 +44,13 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all lines, repeats included, and where each line's begin."""
     codes = np.frombuffer("".join([line.ljust(SHINGLE, FILLER) for line in lines]).encode("utf-32-le"), "<u4")
     sizes = np.maximum([len(line) for line in lines], SHINGLE)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    hashes = [_hashes(codes[at[a]:at[b]], sizes[a:b]) for a, b in spans_of(at, HASH_CHARACTERS)]
+    counts = sizes - SHINGLE + 1
+    return np.concatenate(hashes), np.cumsum(counts) - counts
+
+
+def _hashes(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     h = codes * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     span = 1
@@ -53,20 +61,25 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     inside = np.ones(len(codes), bool)  # shingles that do not run over the end of their line
     inside[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False
-    counts = sizes - SHINGLE + 1
-    return mixed(h[inside[:len(h)]]), np.cumsum(counts) - counts
+    return mixed(h[inside[:len(h)]])
 
 
 def band_keys(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """(lines, BANDS) 64-bit keys of the bands of every line's signature."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    keys = np.zeros((len(begins), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(begins), band, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            key = mixed(key) + np.minimum.reduceat((x ^ _FLIPS[k]) * _ODD[k], begins)
-        keys[:, band] = mixed(key)
-    return keys
+    at = np.append(begins, len(x))
+    minima = np.empty((BANDS * ROWS, len(begins)), np.uint32)
+    for first, last in spans_of(at, SIGN_SHINGLES):
+        some, spots = x[at[first]:at[last]], begins[first:last] - begins[first]
+        held = np.empty_like(some)
+        for k in range(BANDS * ROWS):
+            np.bitwise_xor(some, _FLIPS[k], out=held)
+            np.multiply(held, _ODD[k], out=held)
+            np.minimum.reduceat(held, spots, out=minima[k, first:last])
+    key = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(begins), axis=1)
+    for row in range(ROWS):
+        key = mixed(key) + minima[row::ROWS]
+    return np.ascontiguousarray(mixed(key).T)
 
 
 LINE = "doc_id long, row_key long, line_no int, digest binary, bytes binary"
@@ -100,8 +113,7 @@ class BandSource:
     """The band keys of stored lines, for the counting pass."""
 
     def sets(self, data, at):
-        for i in range(len(at) - 1):
-            yield data[at[i]:at[i + 1]].view(np.uint64)
+        yield data[at[0]:at[-1]].view(np.uint64)  # of all lines at once: a line has 16 keys, one of each band
 
 
 def _shared_bands(maps, bits):
@@ -110,7 +122,8 @@ def _shared_bands(maps, bits):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint64).reshape(-1, BANDS)
+            data, at = byte_view(batch.column("bytes"))
+            keys = data[at[0]:at[-1]].view(np.uint64).reshape(-1, BANDS)
             spots = (keys >> np.uint64(64 - bits)).astype(np.int64)
             line, band = np.nonzero(several[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays(
@@ -126,7 +139,15 @@ def line_sets(column) -> list[np.ndarray]:
     if not lines:
         return []
     hashes, begins = shingle_hashes(lines)
-    return [np.unique(h) for h in np.split(hashes, begins[1:])]
+    at = [*begins.tolist(), len(hashes)]
+    for a, b in zip(at, at[1:]):
+        hashes[a:b].sort()
+    new = np.empty(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    new[begins] = True
+    hashes = hashes[new]
+    at = np.cumsum(np.add.reduceat(new, begins, dtype=np.int64)).tolist()
+    return [hashes[a:b] for a, b in zip([0, *at], at)]
 
 
 def _wanted_lines(batches):

@@ -203,6 +203,8 @@ def _verify(threshold: Threshold, decode):
                     sets.append(tokens)
                     continue
                 for own in sets:
+                    if not threshold.linked(min(len(own), len(tokens)), len(own), len(tokens)):
+                        continue
                     spot = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
                     if threshold.linked(int((own[spot] == tokens).sum()), len(own), len(tokens)):
                         left.append(a)

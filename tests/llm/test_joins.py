@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,25 @@ def test_fuzzy_lines_equal_all_pairs(spark, empty, clashing):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert rows_of(L.dedup_lines(clashing(docs))) == plain_lines(rows)
     assert L.dedup_lines(empty).count() == 0
+
+
+def test_line_hashes_do_not_depend_on_the_blocks_they_are_made_in(monkeypatch):
+    """Short, long and repeated lines under tiny blocks: the same hashes, keys and sets, each set sorted and distinct."""
+    lines = ["a", "abcdefgh", "abcabcabcabcabcabc", "ünï" * 40, "x" * 50, "the quick brown fox jumps"] * 3
+    plain = [L.shingle_hashes([line])[0] for line in lines]
+    monkeypatch.setattr(L, "HASH_CHARACTERS", 16)
+    monkeypatch.setattr(L, "SIGN_SHINGLES", 16)
+    hashes, begins = L.shingle_hashes(lines)
+    assert np.array_equal(hashes, np.concatenate(plain))
+    keys = L.band_keys(hashes, begins)
+    for line, key, found in zip(plain, keys, L.line_sets(pa.array([x.encode() for x in lines]))):
+        assert np.array_equal(found, np.unique(line))
+        x = (line >> np.uint64(32)).astype(np.uint32)
+        expected = np.zeros(L.BANDS, np.uint64)
+        for band in range(L.BANDS):
+            k = np.full(1, band, np.uint64)
+            for row in range(band * L.ROWS, (band + 1) * L.ROWS):
+                k = L.mixed(k) + ((x ^ L._FLIPS[row]) * L._ODD[row]).min()
+            expected[band] = L.mixed(k)[0]
+        assert np.array_equal(key, expected)
+    assert L.line_sets(pa.array([], pa.binary())) == []
