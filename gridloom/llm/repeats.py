@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.attach import attach, broadcastable
-from .common import byte_view, stored, text_bytes
+from .common import byte_view, spans_of, stored, text_bytes
 from .shingles import mixed
 from .token_classes import token_classes
 
@@ -31,6 +31,7 @@ LENGTH = 50
 ANCHOR = 24  # bytes of the strings whose hashes choose the anchor
 PIECE = 1 << 16  # string starts handled at a time; a place in a piece fits PLACE_BITS
 PLACE_BITS = 16
+PLACE_MASK = np.uint64((1 << PLACE_BITS) - 1)
 INDEX_BYTES = 1 << 20  # text of one index, whole anchors; one anchor alone may have 2 HOT stretches
 PACKED = 1 << 21  # up to here three ranks of 21 bits make a sort key
 WINDOWS = LENGTH - ANCHOR + 1
@@ -50,37 +51,99 @@ def _words(codes: np.ndarray) -> np.ndarray:
     return a[:-4] | a[4:] << np.uint64(32)
 
 
+def _scrambled(h: np.ndarray) -> np.ndarray:
+    """``mixed`` in place."""
+    t = h >> np.uint64(30)
+    h ^= t
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= np.right_shift(h, np.uint64(27), out=t)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= np.right_shift(h, np.uint64(31), out=t)
+    return h
+
+
+def _places(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the short strings of a piece, and the anchor place of every string start."""
+    words = _words(part)
+    count = len(part) - ANCHOR + 1
+    h = words[:count].copy()
+    for j in range(8, ANCHOR, 8):
+        h = _scrambled(h)
+        h += words[j:j + count]
+    h = _scrambled(h)
+    low = h & ~PLACE_MASK
+    low |= np.arange(count, dtype=np.uint64)
+    span = 1
+    while span * 2 <= WINDOWS:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < WINDOWS:
+        low = np.minimum(low[:-(WINDOWS - span)], low[WINDOWS - span:])
+    low &= PLACE_MASK
+    return h, low.astype(np.int64)
+
+
+def _runs(h: np.ndarray, place: np.ndarray, starts: np.ndarray | None = None) -> tuple:
+    """(anchor hash, first string start, number of strings, first start - anchor place) of the runs of string starts with
+    one anchor place. ``starts`` are the starts behind ``place``, if not all are strings."""
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    counts = np.diff(np.append(first, len(place)))
+    long = np.flatnonzero(counts > MOST)  # cut in two, so that a stretch has at most DEPTH bytes
+    if len(long):
+        first = np.sort(np.concatenate([first, first[long] + MOST]))
+        counts = np.diff(np.append(first, len(place)))
+    at = place[first]
+    # Smallest hashes crowd at the low end; scrambled, anchors spread evenly.
+    anchor = mixed(h[at] & ~PLACE_MASK, 3)
+    first = first if starts is None else starts[first]
+    return anchor, first, counts, first - at
+
+
 def pieces(codes: np.ndarray):
     """Per piece of a text (anchor hash, first string start, number of strings, first start - anchor place) of its runs of
     strings with one anchor place, and the hashes of the short strings from the piece's begin on. Texts shorter than
     LENGTH have none."""
-    place_mask = np.uint64((1 << PLACE_BITS) - 1)
     for begin in range(0, len(codes) - LENGTH + 1, PIECE - LENGTH):
         part = codes[begin:begin + PIECE]
         if len(part) < LENGTH:
             break
-        words = _words(part)
-        count = len(part) - ANCHOR + 1
-        h = words[:count]
-        for j in range(8, ANCHOR, 8):
-            h = mixed(h) + words[j:j + count]
-        h = mixed(h)
-        low = h & ~place_mask | np.arange(count, dtype=np.uint64)
-        span = 1
-        while span * 2 <= WINDOWS:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if span < WINDOWS:
-            low = np.minimum(low[:-(WINDOWS - span)], low[WINDOWS - span:])
-        place = (low & place_mask).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        counts = np.diff(np.append(first, len(place)))
-        long = np.flatnonzero(counts > MOST)  # cut in two, so that a stretch has at most DEPTH bytes
-        if len(long):
-            first = np.sort(np.concatenate([first, first[long] + MOST]))
-            counts = np.diff(np.append(first, len(place)))
-        # Smallest hashes crowd at the low end; scrambled, anchors spread evenly.
-        yield mixed(h[place[first]] & ~place_mask, 3), first + begin, counts, first - place[first], h, begin
+        h, place = _places(part)
+        anchor, first, counts, lead = _runs(h, place)
+        yield anchor, first + begin, counts, lead, h, begin
+
+
+def text_pieces(data: np.ndarray, at: np.ndarray, wanted=None):
+    """(text number, piece as of ``pieces``) of every text ``data[at[i]:at[i + 1]]``, in order; short texts are hashed
+    together, by the same hashes and choices. Of the runs those stay whose anchors ``wanted`` marks; a piece has one or more."""
+    def kept(anchor, *rest):
+        if wanted is None:
+            return anchor, *rest
+        keep = np.flatnonzero(wanted(anchor))
+        return tuple(x[keep] for x in (anchor, *rest))
+
+    for one, last in spans_of(at, PIECE - 1):  # a text below PIECE bytes is one piece
+        data_here, ends = data[at[one]:at[last]], at[one + 1:last + 1] - at[one]
+        if last == one + 1:
+            for *runs, h, begin in pieces(data_here):
+                runs = kept(*runs)
+                if len(runs[0]):
+                    yield one, (*runs, h, begin)
+            continue
+        if len(data_here) < LENGTH:
+            continue
+        h, place = _places(data_here)
+        whole = np.ones(len(place), bool)  # strings that do not run over the end of their text
+        over = (ends[:, None] - np.arange(1, LENGTH)).ravel()
+        whole[over[(over >= 0) & (over < len(place))]] = False
+        starts = np.flatnonzero(whole)
+        if not len(starts):
+            continue
+        anchor, first, counts, lead = kept(*_runs(h, place[starts], starts))
+        cuts = [0, *np.searchsorted(first, ends).tolist()]
+        begins = [0, *ends.tolist()]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                yield one + i, (anchor[a:b], first[a:b] - begins[i], counts[a:b], lead[a:b], h[begins[i]:begins[i + 1]], 0)
 
 
 def collapsed(codes, anchor, first, counts, lead, h, begin):
@@ -140,10 +203,9 @@ class AnchorSource:
     """For the counting pass: the distinct anchors of every text, and a token of its own for each further row of one."""
 
     def sets(self, data, at):
-        for i in range(len(at) - 1):
+        for i, some in groupby(text_pieces(data, at), lambda found: found[0]):
             codes = data[at[i]:at[i + 1]]
-            anchors = [p[0][collapsed(codes, *p)[0]] for p in pieces(codes)]
-            anchors = np.sort(np.concatenate(anchors or [np.zeros(0, np.uint64)]))
+            anchors = np.sort(np.concatenate([p[0][collapsed(codes, *p)[0]] for _, p in some]))
             again = np.flatnonzero(anchors[1:] == anchors[:-1]) + 1
             anchors[again] = again_token(anchors[again])
             yield anchors
@@ -170,26 +232,21 @@ def _repeated_segments(maps, bits):
             data, at = byte_view(batch.column("bytes"))
             docs, rows = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
             parts, held = [], 0
-            for i in range(len(docs)):
+            for i, (anchor, first, counts, lead, h, begin) in text_pieces(data, at, lambda anchor: marked(several, anchor)):
                 codes = data[at[i]:at[i + 1]]
-                for anchor, first, counts, lead, h, begin in pieces(codes):
-                    keep = np.flatnonzero(marked(several, anchor))
-                    if not len(keep):
-                        continue
-                    which, start = collapsed(codes, anchor[keep], first[keep], counts[keep], lead[keep], h, begin)
-                    keep = keep[which]
-                    hot = np.zeros(len(keep), bool)
-                    if any_hot:
-                        hot = marked(many, anchor[keep]) | marked(many, again_token(anchor[keep]))
-                    size = counts[keep] + LENGTH - 1
-                    ends = np.cumsum(size)
-                    where = np.repeat(first[keep] - (ends - size), size) + np.arange(ends[-1])
-                    parts.append((anchor[keep].astype(np.int64), lead[keep], codes[where], size,
-                                  np.full(len(keep), docs[i]), np.full(len(keep), rows[i]), start, hot))
-                    held += int(ends[-1])
-                    if held >= SHIP_BYTES:
-                        yield table(parts)
-                        parts, held = [], 0
+                keep, start = collapsed(codes, anchor, first, counts, lead, h, begin)
+                hot = np.zeros(len(keep), bool)
+                if any_hot:
+                    hot = marked(many, anchor[keep]) | marked(many, again_token(anchor[keep]))
+                size = counts[keep] + LENGTH - 1
+                ends = np.cumsum(size)
+                where = np.repeat(first[keep] - (ends - size), size) + np.arange(ends[-1])
+                parts.append((anchor[keep].astype(np.int64), lead[keep], codes[where], size,
+                              np.full(len(keep), docs[i]), np.full(len(keep), rows[i]), start, hot))
+                held += int(ends[-1])
+                if held >= SHIP_BYTES:
+                    yield table(parts)
+                    parts, held = [], 0
             if parts:
                 yield table(parts)
 
@@ -222,12 +279,14 @@ class RunIndex:
         self.starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
         self.symbols = symbols[self.starts]
         lengths = np.diff(np.append(self.starts, len(symbols)))
+        self.run_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)  # rank of a row among the run starts
         by_symbol = np.argsort(self.symbols, kind="stable")
         self.target = np.empty(len(self.starts), np.int64)  # row that a run's first row steps to
         # Symbol 0 leads to the rows of the end marks, which come first, as many as there are texts.
         self.target[by_symbol] = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         begins = self._string_begins(rank24, left, order)
         self.string_starts = begins + count
+        self.string_of = np.repeat(np.arange(len(begins), dtype=np.int32), np.diff(np.append(begins, len(order))))
         self.samples = np.minimum.reduceat(docs[text[order]], begins) if len(order) else docs[:0]
         self.count, self.sizes = count, sizes
 
@@ -276,13 +335,12 @@ class RunIndex:
         found = np.full((self.count, MOST), np.iinfo(np.int64).max)
         text, row = np.arange(self.count), np.arange(self.count)
         for step in range(1, int(self.sizes.max(initial=0)) + 1):
-            run = np.searchsorted(self.starts, row, side="right") - 1
+            run = self.run_of[row]
             go = self.symbols[run] > 0
             text, row, run = text[go], row[go], run[go]
             row = self.target[run] + row - self.starts[run]
             if step >= LENGTH:
-                string = np.searchsorted(self.string_starts, row, side="right") - 1
-                found[text, self.sizes[text] - step] = self.samples[string]
+                found[text, self.sizes[text] - step] = self.samples[self.string_of[row - self.count]]
         return found
 
 

@@ -83,3 +83,22 @@ def test_an_anchor_is_hot_by_its_rows(spark, monkeypatch):
     rows = shipped(spark, texts, monkeypatch)
     cold = rows.where("not hot").groupBy("anchor").count().agg(F.max("count")).first()[0] or 0
     assert rows.where("hot").count() > 500 and cold < 2 * R.HOT
+
+
+def test_short_texts_hashed_together_give_the_pieces_of_each(monkeypatch):
+    """Texts of 0 to 400 bytes, some equal, some of one letter, beside a long one: as if each were cut by itself."""
+    rng = random.Random(5)
+    monkeypatch.setattr(R, "PIECE", 1000)
+    texts = [bytes(rng.choice(b"abcd \n") for _ in range(n)) for n in (0, 10, 49, 50, 51, 400, 73, 0, 260, 49, 900, 999, 2500, 50, 50)]
+    texts += [b"x" * 300, texts[5], b"", texts[8][:200] + texts[5][100:], bytes(120)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    alone = [(i, p) for i, t in enumerate(texts) for p in R.pieces(np.frombuffer(t, np.uint8))]
+    found = list(R.text_pieces(data, at))
+    assert [i for i, _ in found] == [i for i, _ in alone] and len(found) > len(texts) - 6
+    for (_, p), (_, q) in zip(found, alone):
+        assert all(np.array_equal(x, y) for x, y in zip(p[:4], q[:4])) and p[5] == q[5]
+        assert np.array_equal(p[4][:len(q[4])], q[4])
+    few = list(R.text_pieces(data, at, lambda anchor: anchor % np.uint64(3) == 0))
+    thirds = [(i, p[0][p[0] % np.uint64(3) == 0]) for i, p in alone]
+    assert [(i, p[0].tolist()) for i, p in few] == [(i, a.tolist()) for i, a in thirds if len(a)]
