@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
@@ -32,6 +32,7 @@ from .prepare import feature_encoder
 SEED = 42
 ROWS_PER_TASK = 10_000
 MOST_FITS = 4  # of one model side by side
+NEAR_PAIRS = 1 << 36  # coordinate differences up to which neighbours are found without an index
 FOREST_DEPTH = 30  # as deep as Spark's forests go
 SMALL_ROWS, WIDE_FEATURES, VERY_WIDE_FEATURES = 1000, 200, 500
 
@@ -73,14 +74,19 @@ class NearestNeighborsModel(Model, _NeighborParams, MLWritable, MLReadable):
         self.rows = rows
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction`` (and ``probability`` for classes). Equal feature vectors share one search."""
+        """Adds ``prediction`` (and ``probability`` for classes). Equal feature vectors share one search, and of equal
+        points only the first k are searched: among equal distances the smaller point wins."""
         keyed = df.withColumn("__vector", vector_to_array(col(self.getOrDefault(self.featuresCol))))
         distinct = keyed.groupBy("__vector").agg(F.count(F.lit(1)).alias("__rows"))
         queries = checkpointed(distinct.withColumn("__row", F.monotonically_increasing_id()))
+        k = self.getOrDefault(self.k)
         points = self.rows.withColumnsRenamed({"point": "__row", "vector": "__vector"})
+        # Spark drops rows past the k-th in every task before it shuffles, so equal vectors make no hot key.
+        place = F.row_number().over(Window.partitionBy("__vector").orderBy("__row"))
+        points = checkpointed(points.withColumn("__place", place).where(F.col("__place") <= k).drop("__place"))
         near = nearest_neighbors(
-            queries, "__row", points, "__row", "__vector", self.getOrDefault(self.k), self.getOrDefault(self.blockRows),
-            payload="label",
+            queries, "__row", points, "__row", "__vector", k, self.getOrDefault(self.blockRows), payload="label",
+            all_pairs=NEAR_PAIRS,
         )
         classes = self.getOrDefault(self.numClasses)
         shares = [F.avg((F.col("payload") == c).cast("double")) for c in range(classes)]

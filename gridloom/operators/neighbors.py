@@ -6,7 +6,8 @@ theirs. A query first looks at regions, then at the boxes of those in reach, whi
 bound of the distance. They are visited nearest first in growing numbers, and after every round only blocks
 nearer than the k-th neighbour found so far remain. No neighbour is lost, whatever the boxes prune. The
 driver holds one row per region, that is per some 20 million points. Coordinates may be
-missing: the distance then uses the shared ones, scaled up to the full length.
+missing: the distance then uses the shared ones, scaled up to the full length. A search whose distances are few
+(the caller says how many) is cheaper without the index, whose steps are jobs: every query visits every block.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BLOCK_ROWS = 20_000
 DISTANCES_AT_ONCE = 1 << 20  # between queries and points of a block
 MAX_PIVOTS = 512
 REGION_BLOCKS = 1024
+CHUNK_QUERIES = 1000  # queries that visit a block together where all visit all
 CELL = ["__pattern", "__pivot", "__inner"]
 ALONE = "all"  # the block of a table that is one block
 FIRST_VISITS, MORE_VISITS = 1, 4  # blocks a query visits in the first round, and the growth from round to round
@@ -216,6 +218,23 @@ def _candidates(queries: DataFrame, boxes: DataFrame, dims: int, k: int, chunk_r
     ).applyInPandas(lambda a, b: bound(a, b), "__query long, __block string, __least double")
 
 
+def _visit_all(queries: DataFrame, asked: int, points: DataFrame, rows: int, k: int, block_rows: int) -> DataFrame:
+    """As ``_visit``, for ``asked`` queries that all visit all blocks; points are dealt to blocks by hash."""
+    blocks, chunks = -(-rows // block_rows), max(1, -(-asked // CHUNK_QUERIES))
+    group = ["__block", "__chunk"]
+    tasks = min(blocks * chunks, 4 * queries.sparkSession.sparkContext.defaultParallelism)
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    mine = queries.withColumn("__chunk", F.pmod(F.xxhash64("__query"), F.lit(chunks)).cast("int")).withColumn("__block", every(blocks))
+    theirs = points.withColumn("__block", F.pmod(F.xxhash64("__point"), F.lit(blocks)).cast("int")).withColumn("__chunk", every(chunks))
+    # A number of partitions of its own: the rows are few bytes, the distances are the work.
+    return mine.select(*group, "__query", "__vector").repartition(tasks, *group).groupBy(*group).cogroup(
+        theirs.select(*group, "__point", "__payload", "__vector").repartition(tasks, *group).groupBy(*group)
+    ).applyInPandas(lambda a, b: _best(a, b, k), "__query long, __point long, __d2 double, __payload double")
+
+
 def _visit(visits: DataFrame, blocks: DataFrame, k: int, block_rows: int, alone: bool = False) -> DataFrame:
     """(__query, __point, __d2, __payload): the k nearest points of every visited block. ``visits`` holds (__query,
     __vector, __block)."""
@@ -284,12 +303,13 @@ def search_rounds(queries: DataFrame, blocks: DataFrame, boxes: DataFrame, dims:
 
 def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, point_key: str, vector: str,
                       k: int = 5, block_rows: int = BLOCK_ROWS, payload: str | None = None,
-                      region_blocks: int = REGION_BLOCKS, visited: list | None = None) -> DataFrame:
+                      region_blocks: int = REGION_BLOCKS, visited: list | None = None, all_pairs: int = 0) -> DataFrame:
     """(query key, ``neighbor``, ``distance``, ``position``): the k nearest points of every query.
 
     Keys are unique longs; equal distances are settled by the smaller point key. A numeric ``payload``
     column of the points comes along as ``payload``: joining it back later would meet points that are
     near to very many queries as hot keys. ``visited`` is filled with the number of (query, block) visits per round.
+    Up to ``all_pairs`` coordinate differences between all queries and points there is no index.
     """
     vec = F.transform(col(vector), lambda x: x.cast("double")).alias("__vector")
     left = queries.select(col(query_key).cast("long").alias("__query"), vec)
@@ -299,6 +319,9 @@ def nearest_neighbors(queries: DataFrame, query_key: str, points: DataFrame, poi
     if first is None:
         return _result(left.select("__query").limit(0).select("__query", *_no_neighbor()), query_key, k)
     rows = right.count()
+    asked = left.count() if all_pairs else 0
+    if all_pairs and asked * rows * max(1, len(first["__vector"])) <= all_pairs:
+        return _result(_visit_all(left, asked, right, rows, k, block_rows), query_key, k)
     if rows <= block_rows:  # one block, visited by every query
         blocks = right.withColumn("__block", F.lit(ALONE))
         return _result(_visit(left.withColumn("__block", F.lit(ALONE)), blocks, k, block_rows, alone=True), query_key, k)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, quoted, type_of
 from ..functions.hashing import HASH_DIGITS, HASH_RANGE, row_number_hash
 from ..operators.metrics import class_metrics, error_metrics, fold_average, ranking_metrics
-from ..operators.models import ModelSpec, fit_prepared, prepare, training_rows, with_score
+from ..operators.models import MOST_FITS, ModelSpec, fit_prepared, prepare, training_rows, with_score
 from ..operators.split import kfold, stratified_kfold, time_folds
 from ..session import checkpointed
 
@@ -62,25 +62,28 @@ class EncodedFold:
 
 
 def encoded_folds(folded: DataFrame, features, label: str, folds: int, ordered: bool = False) -> list[EncodedFold]:
-    """Every fold encoded and written once, for all models."""
-    found = []
-    for fold in range(folds):
+    """Every fold encoded and written once, for all models; folds side by side, as most of the steps are small jobs."""
+    def one(fold: int) -> EncodedFold:
         train = folded.where((F.col("fold") < fold) if ordered else (F.col("fold") != fold))
         test = folded.where(F.col("fold") == fold)
         encoder, rows, size = prepare(train, features, label)
         if encoder is not None:
             test = encoder.transform(test)
-        found.append(EncodedFold(fold, rows, training_rows(test.withColumn("label", col(label).cast("double"))), size))
-    return found
+        return EncodedFold(fold, rows, training_rows(test.withColumn("label", col(label).cast("double"))), size)
+
+    with ThreadPoolExecutor(max_workers=min(MOST_FITS, max(1, folds))) as pool:
+        return list(pool.map(one, range(folds)))
 
 
 def validate(encoded: list[EncodedFold], spec: ModelSpec, classes: int, **params) -> list[tuple]:
     """(model, fold, metric, value) for every fold; the model is fitted anew for each."""
     models = fit_prepared(spec, [e.train for e in encoded], [e.size for e in encoded], classes, params)
-    scored = [
-        with_score(m.transform(e.test)).select(F.lit(e.fold).alias("fold"), "label", "prediction", "score")
-        for m, e in zip(models, encoded)
-    ]
+
+    def score(model: PipelineModel, e: EncodedFold) -> DataFrame:
+        return with_score(model.transform(e.test)).select(F.lit(e.fold).alias("fold"), "label", "prediction", "score")
+
+    with ThreadPoolExecutor(max_workers=min(MOST_FITS, max(1, len(encoded)))) as pool:  # neighbours search right here
+        scored = list(pool.map(score, models, encoded))
     predictions = checkpointed(reduce(DataFrame.unionByName, scored))
     return [(spec.name, *row) for row in fold_scores(predictions, spec.task, classes)]
 

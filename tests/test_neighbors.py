@@ -85,6 +85,36 @@ def test_vectors_of_one_hash_keep_their_own_answers(spark, monkeypatch):
     assert found.where("prediction <> label").count() == 0 and found.count() == 40
 
 
+def test_few_distances_need_few_jobs(spark):
+    """More points than a block: the same answers as by the index, equal points and ties included, from a few jobs."""
+    from pyspark.ml.functions import array_to_vector
+
+    from gridloom.operators.models import NearestNeighbors
+
+    at = F.array((F.col("id") % 40).cast("double"), (F.col("id") % 7).cast("double"))
+    df = spark.range(1200).select(F.col("id").cast("double").alias("label"), array_to_vector(at).alias("features")).coalesce(1)
+    model = NearestNeighbors(k=5, blockRows=50).fit(df)
+    spark.sparkContext.setJobGroup("few-distances", "")
+    found = {tuple(r["features"]): r["prediction"] for r in model.transform(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-distances"))
+    spark.sparkContext.setJobGroup("other", "")
+    rows = [(i, [float(i % 40), float(i % 7)]) for i in range(1200)]
+    asked = [(n, list(v)) for n, v in enumerate(found)]
+    want = brute(asked, rows, 5)
+    assert {v: sum(want[n]) / 5 for n, v in enumerate(found)} == pytest.approx(found)
+    assert jobs <= 30
+
+
+def test_all_pairs_equal_the_index(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [None if rng.random() < 0.2 else float(x) for x in rng.integers(0, 4, 3)]) for i in range(300)]
+    asked = [(1000 + i, v) for i, (_, v) in enumerate(rows[:60])]
+    points, queries = (spark.createDataFrame(r, "key long, v array<double>") for r in (rows, asked))
+    index, pairs = (sorted(map(tuple, nearest_neighbors(queries, "key", points, "key", "v", 4, 30, all_pairs=n).collect()), key=repr)
+                    for n in (0, 10**9))
+    assert index == pairs
+
+
 def test_ties_take_the_smaller_key(spark):
     points = spark.createDataFrame([(i, [1.0]) for i in range(20)], "key long, v array<double>")
     query = spark.createDataFrame([(99, [1.0])], "key long, v array<double>")
