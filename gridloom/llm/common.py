@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,3 +61,22 @@ def spans_of(at: np.ndarray, limit: int):
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hand_back() -> None:
+    """Give the system the memory that this worker has freed; the allocators keep it otherwise, task after task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function over Arrow batches after whose task the worker, idle or not, holds no freed memory."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return whole

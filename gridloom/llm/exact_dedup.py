@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.attach import attach, broadcastable
-from .common import as_rows, byte_view, spans_of, stored, text_bytes
+from .common import as_rows, byte_view, lean, spans_of, stored, text_bytes
 
 PRIME = 2**31 - 1
 BASES = (1_103_515_245, 1_664_525_019, 742_938_285, 950_706_376)  # any four values below the prime
@@ -90,7 +90,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int, *extra) -> DataFrame:
 def fingerprints(docs: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row per (doc_id, text): length, four hashes, SHA-256 and the number of input rows alike in both."""
     hashed = _chunks(docs, chunk_bytes, F.sha2("__bytes", 256).alias("text_sha256")).mapInArrow(
-        _hash_chunks,
+        lean(_hash_chunks),
         "doc_id long, text_sha256 string, n_bytes long, chunk_no int, " + ", ".join(f"{h} long" for h in HASHES),
     )
     copies = F.sum((F.col("chunk_no") == 0).cast("long"))

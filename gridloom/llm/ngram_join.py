@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators.attach import attach, broadcastable
-from .common import as_rows, byte_view, stored, text_bytes
+from .common import as_rows, byte_view, lean, stored, text_bytes
 from .graph import components, local_roots
 from .shingles import Shingler, mixed
 from .token_classes import token_classes
@@ -322,7 +322,7 @@ def connecting_links(sigs: DataFrame, sets_of, threshold: Threshold, decode=stor
     groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("hub")).where("docs > 1")
     placed = stored(attach(sigs, groups, ["sig"], "docs"), "signature-groups")
     few = placed.where(F.col("docs") <= CROWDED).repartition("sig").sortWithinPartitions("sig")
-    pairs = stored(few.select("sig", "doc_id", "n").mapInArrow(_pairs_of_groups(threshold), "a long, b long").distinct(), "pairs")
+    pairs = stored(few.select("sig", "doc_id", "n").mapInArrow(lean(_pairs_of_groups(threshold)), "a long, b long").distinct(), "pairs")
     crowd = stored(placed.where(F.col("docs") > CROWDED).select("doc_id", "n", "hub").distinct(), "crowd")
     clusters = components(crowd.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     members = crowd.select("doc_id", "n").distinct().join(clusters, F.col("doc_id") == F.col("node")).select(
@@ -335,10 +335,10 @@ def connecting_links(sigs: DataFrame, sets_of, threshold: Threshold, decode=stor
         "a", F.lit(None).cast("long").alias("b"), "tokens")
     partners = pairs.join(held, F.col("b") == F.col("__id")).select("a", "b", "tokens")
     verified = hubs.unionByName(partners).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(
-        _verify(threshold, decode), "a long, b long")
+        lean(_verify(threshold, decode)), "a long, b long")
     blocks = _blocks(members, threshold).join(held, F.col("doc_id") == F.col("__id")).drop("__id")
     crowded = blocks.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).select(
-        *BLOCK_KEY, "side", "doc_id", "tokens").mapInArrow(_verify_blocks(threshold, decode), "a long, b long")
+        *BLOCK_KEY, "side", "doc_id", "tokens").mapInArrow(lean(_verify_blocks(threshold, decode)), "a long, b long")
     return stored(verified.unionByName(crowded), "links")
 
 
@@ -349,10 +349,11 @@ def near_links(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> Dat
     tokens = ids.agg(F.sum("n_shingles")).first()[0] or 0
     maps, bits = token_classes(texts, Shingler(words), tokens, FREQUENT)
     sigs = stored(
-        texts.mapInArrow(_signature_rows(words, maps, bits, threshold), "sig long, doc_id long, n int"), "signatures")
+        texts.mapInArrow(lean(_signature_rows(words, maps, bits, threshold)), "sig long, doc_id long, n int"), "signatures")
+    maps.unpersist()
 
     def sets(wanted: DataFrame) -> DataFrame:
-        return _chosen(docs, wanted).mapInArrow(_set_rows(words), "doc_id long, tokens binary")
+        return _chosen(docs, wanted).mapInArrow(lean(_set_rows(words)), "doc_id long, tokens binary")
 
     return connecting_links(sigs, sets, threshold)
 
@@ -367,7 +368,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     that share it are in one component; a null doc_id has a null component. An empty table gives no rows.
     """
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"))
-    sums = stored(rows.mapInArrow(_summaries(words), "doc_id long, n_shingles long, f1 long, f2 long"), "set-sums")
+    sums = stored(rows.mapInArrow(lean(_summaries(words)), "doc_id long, n_shingles long, f1 long, f2 long"), "set-sums")
     alike = sums.where("n_shingles > 0 and doc_id is not null")
     keys = ["n_shingles", "f1", "f2"]
     classes = stored(alike.groupBy(*keys).agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("rows")), "equal-sets")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from .common import stored, text_or_empty
+from .common import lean, stored, text_or_empty
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(
-        _pieces(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+        lean(_pieces(tokenizer_path, end_id, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 600) -> list[tuple[tuple, float]]:

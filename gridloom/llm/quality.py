@@ -8,16 +8,16 @@ Training follows the gradient only through the chunks that won the pooling.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from .common import byte_view, spans_of, text_or_empty
+from .common import byte_view, hand_back, lean, spans_of, text_or_empty
 from .tokens import release
 
 BLOCK = 8  # bytes a chunk moves on by; a chunk spans two blocks
@@ -203,22 +203,23 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     rows = docs.select(
         col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(col("doc_id")), F.lit(False)).alias("held_out"),
         text_or_empty().alias("text"))
-    scored = rows.mapInArrow(_score(net), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(lean(_score(net)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents whose text scores at least ``threshold``, with all their columns and no shuffle."""
     net = train(*training_sample(docs, labels))
-    score = F.pandas_udf(_series(net), "double")
+    score = F.arrow_udf(_column(net), "double")
     return docs.where(score(text_or_empty()) >= threshold)
 
 
-def _series(net: Network):
-    def run(texts: pd.Series) -> pd.Series:
+def _column(net: Network):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release()
-        data, at = byte_view(pa.array(texts, pa.large_string()))
-        return pd.Series(net.scores(data, at) if len(texts) else [])
+        for column in texts:  # Arrow's own bytes: no object per text
+            yield pa.array(net.scores(*byte_view(column)) if len(column) else [], pa.float64())
+        hand_back()
 
     return run
 

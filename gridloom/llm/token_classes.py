@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_view
+from .common import byte_view, lean
 
 BUCKET_TOKENS = 1 << 21
 MAX_BITS = 27  # at most 16 MB per bitmap
@@ -82,9 +82,9 @@ def token_classes(texts: DataFrame, source, tokens: int, frequent: int):
     spark = texts.sparkSession
     bucket_bits = max(6, min(20, math.ceil(math.log2(max(2, tokens / BUCKET_TOKENS)))))
     bits = max(bucket_bits + 3, min(MAX_BITS, math.ceil(math.log2(max(2, tokens * 8)))))
-    blocks = texts.mapInArrow(_token_blocks(source, bucket_bits), "bucket int, block binary")
+    blocks = texts.mapInArrow(lean(_token_blocks(source, bucket_bits)), "bucket int, block binary")
     sliced = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _class_bits(bucket_bits, bits, frequent), "bucket int, several binary, many binary")
+        lean(_class_bits(bucket_bits, bits, frequent)), "bucket int, several binary, many binary")
     size = (1 << bits) // 8
     maps = np.zeros((2, size), np.uint8)
     step = size >> bucket_bits

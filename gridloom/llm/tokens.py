@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import hand_back
+
 MEMORY = 1_000_000  # parts remembered per worker, about 200 MB
 LONGEST = 48  # characters of a part that is remembered
 STEP_BYTES = 1 << 21
@@ -163,6 +165,7 @@ class PartEncoder:
 def release() -> None:
     """Drop what this worker remembers; operators without a tokenizer call it when a task begins."""
     _ENCODERS.clear()
+    hand_back()
 
 
 def encoder(path: str, spaced: bool, count_only: bool = False) -> PartEncoder:

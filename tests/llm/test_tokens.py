@@ -1,6 +1,8 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +11,8 @@ from tokenizers import Tokenizer
 
 from gridloom.llm import packing as K
 from gridloom.llm import token_counts as T
-from gridloom.llm.tokens import PartEncoder
+from gridloom.llm.common import lean
+from gridloom.llm.tokens import PartEncoder, release
 from gridloom.session import scratch_path
 
 from .conftest import odd_rows, rows_of
@@ -116,3 +119,20 @@ def test_packing(odd, empty, clashing):
             reached += length
         assert reached <= 1024
     assert K.pack(empty, BYTES).count() == 0
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """An executor's limit counts what idle workers keep: blocks below the largest allocation that glibc maps by itself."""
+    def held():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    blocks = [b"x" * (100_000 + i) for i in range(2000)]
+    last, full = b"x" * 100_000, held()
+    del blocks
+    release()
+    assert full - held() > 150 and len(last) == 100_000
+    blocks = [b"x" * (100_000 + i) for i in range(2000)]
+    last, full = b"x" * 100_000, held()
+    del blocks
+    assert list(lean(iter)([1, 2])) == [1, 2]
+    assert full - held() > 150 and len(last) == 100_000
